@@ -9,7 +9,7 @@ from studylantern.functions import moment, strip
 from studylantern.schemas import DEMOGRAPHIC_HEADERS, PII_HEADERS
 from studylantern.sources.feeds import ORDINAL
 
-_BOM = "﻿"
+_BOM = "\ufeff"
 
 
 def read_demographics(spark: SparkSession, path: str) -> DataFrame:
