@@ -58,11 +58,13 @@ def _narrow(rows: DataFrame, target: DataFrame, found: list[str], cell: list[str
     only counts are shuffled) and the finer cell holding the ``need``-th row
     is returned.
     """
-    here = target.select("user_id", "need", "before", *[F.col(c).alias(f"_at_{c}") for c in found])
-    match = rows["user_id"] == here["user_id"]
+    here = target.select(
+        F.col("user_id").alias("_learner"), "need", "before", *[F.col(c).alias(f"_at_{c}") for c in found]
+    )
+    match = F.col("user_id") == F.col("_learner")
     for c in found:
-        match = match & rows[c].eqNullSafe(here[f"_at_{c}"])
-    inside = rows.join(F.broadcast(here), match).drop(here["user_id"])
+        match = match & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+    inside = rows.join(F.broadcast(here), match)
     cells = inside.groupBy("user_id", "need", "before", *cell).agg(
         F.count(F.lit(1)).alias("c"), F.sum("days").alias("s")
     )
