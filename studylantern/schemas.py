@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql.types import StructType
 
-_TABLES = {
+_TABLES: dict[str, str] = {
     "users": "user_id long, email string, sis_user_id string, login_id string, updated_at timestamp",
     "courses": "course_id long, name string, course_code string, workflow_state string, start_at timestamp, "
                "end_at timestamp, time_zone string, updated_at timestamp",
@@ -90,7 +92,7 @@ _TABLES["student_demographics"] = (
     "user_id long, " + ", ".join(f"{c} string" for c in DEMOGRAPHIC_HEADERS.values()) + ", loaded_at timestamp"
 )
 
-_FEEDS = {
+_FEEDS: dict[str, str] = {
     "users": "id long, email string, sis_user_id string, login_id string",
     "assignments": "id long, name string, due_at string, points_possible double",
     "enrollments": "id long, user struct<id: long>, type string, role string, enrollment_state string, "
@@ -113,5 +115,11 @@ _FEEDS = {
     "outcomes": "draft_id string, ok boolean, message_id string, error string",
 }
 
-TABLES: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _TABLES.items()}
-FEEDS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _FEEDS.items()}
+TABLES: dict[str, str] = _TABLES
+FEEDS: dict[str, str] = _FEEDS
+
+
+@cache
+def table_schema(name: str) -> StructType:
+    """Schema of a table; parsing DDL needs a running session."""
+    return StructType.fromDDL(TABLES[name])

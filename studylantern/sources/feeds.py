@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from studylantern.config import DEFAULT, Config
 from studylantern.functions import bool_int, days_between, first_truthy, iso_timestamp, moment
@@ -17,7 +16,7 @@ from studylantern.functions import bool_int, days_between, first_truthy, iso_tim
 ORDINAL = "ordinal"
 
 
-def read_feed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of the JSON pages under ``path``: a page is a list of records or one record.
 
     One file is one page of bounded size, so a file per task is fine; many

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylantern.config import DEFAULT, Config
-from studylantern.sources import tables
+from studylantern.schemas import TABLES
 
 COUNTERS = ("courses", "users", "enrollments", "assignments", "submissions", "quizzes", "quiz_submissions", "student_summaries")
 
@@ -29,7 +29,7 @@ def run_row(
     """One ``sync_runs`` row."""
     counts = counts or {}
     values = (run_id, cfg.course_id, started_at, finished_at, status, error, *[counts.get(c, 0) for c in COUNTERS])
-    return spark.createDataFrame([values], tables.TABLES["sync_runs"])
+    return spark.createDataFrame([values], TABLES["sync_runs"])
 
 
 def last_run(runs: DataFrame) -> DataFrame:

@@ -11,9 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from studylantern.schemas import TABLES
+from studylantern.schemas import TABLES, table_schema
 
 
 def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
@@ -37,15 +36,15 @@ def _has_files(spark: SparkSession, path: str) -> bool:
     return fs.exists(folder) and any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(folder))
 
 
-def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def _empty(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame([], TABLES[name])
 
 
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
     """Newest committed snapshot of a table; an unwritten table is empty."""
     done = [v for v, committed in _versions(spark, f"{base}/{name}") if committed]
     if not done:
-        return _empty(spark, TABLES[name])
+        return _empty(spark, name)
     return spark.read.schema(TABLES[name]).parquet(f"{base}/{name}/v={max(done)}")
 
 
@@ -61,8 +60,8 @@ def load_log(spark: SparkSession, base: str, name: str) -> DataFrame:
     """All batches of an append-only log."""
     path = f"{base}/{name}"
     if not _has_files(spark, path):
-        return _empty(spark, TABLES[name])
-    return spark.read.schema(TABLES[name]).parquet(path).select(*TABLES[name].fieldNames())
+        return _empty(spark, name)
+    return spark.read.schema(TABLES[name]).parquet(path).select(*table_schema(name).fieldNames())
 
 
 def append(df: DataFrame, base: str, name: str, batch: str) -> None:
@@ -94,6 +93,6 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(
         *[
             (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in TABLES[name].fields
+            for f in table_schema(name).fields
         ]
     )
