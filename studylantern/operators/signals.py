@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from studylantern.config import DEFAULT, Config
 from studylantern.functions import days_since, moment, py_round
 from studylantern.functions.numbers import cents
-from studylantern.functions.times import DAY_MICROS
 
 
 def _timed(submissions: DataFrame) -> DataFrame:
@@ -49,71 +48,82 @@ def _halves_by_rank(rows: DataFrame) -> DataFrame:
     )
 
 
-def _narrow(rows: DataFrame, target: DataFrame, found: list[str], cell: list[str]) -> DataFrame:
-    """One refinement step towards the middle submission of each hot learner.
+def _halves_by_refinement(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """n, total and first-half sum of learners too large for one task.
 
-    ``target`` has one row per learner: the cell found so far, how many rows
-    of it still belong to the first half (``need``) and the sum before it.
-    Rows of that cell are counted per finer ``cell`` (partial aggregation, so
-    only counts are shuffled) and the finer cell holding the ``need``-th row
-    is returned.
+    The middle submission is located by minute, then by exact (time,
+    distance). Both steps aggregate before the shuffle and then order only
+    group counts: at most one group per minute of the covered period, then the
+    distinct instants of a single minute. Rows equal in (time, distance) are
+    interchangeable, so counts are enough.
     """
-    here = target.select(
-        F.col("user_id").alias("_learner"), "need", "before", *[F.col(c).alias(f"_at_{c}") for c in found]
+    rows = rows.withColumn("minute", F.floor(F.unix_micros("submitted_at") / F.lit(60_000_000)))
+    learner = Window.partitionBy("user_id")
+
+    def running(*order: Column):
+        return learner.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    by_minute = running(F.col("minute").asc_nulls_last())
+    c, s = F.col("c"), F.col("s")
+    minutes = (
+        rows.join(hot, "user_id", "left_semi")
+        .groupBy("user_id", "minute")
+        .agg(F.count(F.lit(1)).alias("c"), F.sum("days").alias("s"))
+        .select(
+            F.col("user_id").alias("_learner"),
+            F.col("minute").alias("_minute"),
+            "c",
+            F.sum("c").over(learner).alias("n"),
+            F.sum("s").over(learner).alias("total"),
+            (F.sum("c").over(by_minute) - c).alias("skipped"),
+            (F.sum("s").over(by_minute) - s).alias("before"),
+        )
     )
-    match = F.col("user_id") == F.col("_learner")
-    for c in found:
-        match = match & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
-    inside = rows.join(F.broadcast(here), match)
-    cells = inside.groupBy("user_id", "need", "before", *cell).agg(
-        F.count(F.lit(1)).alias("c"), F.sum("days").alias("s")
+    # a single timed row has no halves but must not get lost
+    need = F.greatest(F.floor(F.col("n") / 2), F.lit(1)) - F.col("skipped")
+    middle = minutes.filter((need > 0) & (need <= c)).select(
+        "_learner", "_minute", "n", "total", "before", need.alias("need")
     )
-    so_far = Window.partitionBy("user_id").orderBy(*[F.col(c).asc_nulls_last() for c in cell]).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    # one row per hot learner, so as bounded as the list of hot learners
+    inside = rows.join(
+        F.broadcast(middle), (F.col("user_id") == F.col("_learner")) & F.col("minute").eqNullSafe(F.col("_minute"))
     )
-    run = cells.withColumn("c_run", F.sum("c").over(so_far)).withColumn("s_run", F.sum("s").over(so_far))
-    skipped = F.col("c_run") - F.col("c")
-    return run.filter((F.col("c_run") >= F.col("need")) & (skipped < F.col("need"))).select(
-        "user_id",
-        *cell,
-        (F.col("need") - skipped).alias("need"),
-        (F.col("before") + F.col("s_run") - F.col("s")).cast("decimal(38,2)").alias("before"),
+    in_time = running(F.col("submitted_at").asc_nulls_last(), F.col("days").asc())
+    instants = (
+        inside.groupBy("user_id", "n", "total", "before", "need", "submitted_at", "days")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .select(
+            "user_id", "n", "total", "before", "days", "c",
+            (F.col("need") - F.sum("c").over(in_time) + c).alias("rest"),
+            (F.sum(c * F.col("days")).over(in_time) - c * F.col("days")).alias("earlier"),
+        )
+    )
+    first_total = F.col("before") + F.col("earlier") + F.col("rest") * F.col("days")
+    return instants.filter((F.col("rest") > 0) & (F.col("rest") <= c)).select(
+        "user_id", "n", "total", first_total.alias("first_total")
     )
 
 
-def _halves_by_refinement(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """First-half sum of learners too large for one task.
+def hot_learners(submissions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Learners with more rows than one task should sort; at most ``rows / hot_learner_rows`` of them.
 
-    The middle submission is located by day, then second, then exact
-    (time, distance). A learner has at most one group per day, 86,400 per day
-    and a million instants per second, so no group grows with the row count;
-    rows equal in (time, distance) are interchangeable.
+    Reads the id column only.
     """
-    micros = F.unix_micros("submitted_at")
-    rows = rows.withColumn("day", F.floor(micros / F.lit(DAY_MICROS))).withColumn("second", F.unix_seconds("submitted_at"))
-    start = sizes.select(
-        "user_id", F.floor(F.col("n") / 2).alias("need"), F.lit(0).cast("decimal(38,2)").alias("before")
-    )
-    by_day = _narrow(rows, start, [], ["day"])
-    by_second = _narrow(rows, by_day, ["day"], ["second"])
-    exact = _narrow(rows, by_second, ["second"], ["submitted_at", "days"])
-    first = exact.select("user_id", (F.col("before") + F.col("need") * F.col("days")).alias("first_total"))
-    return sizes.join(first, "user_id").select("user_id", "n", "total", "first_total")
+    counts = submissions.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.filter(F.col("rows") > cfg.hot_learner_rows).select("user_id")
 
 
 def timing_halves(submissions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Per learner: count, sum, and sum of the chronologically first ``n // 2`` distances.
 
-    Learners above ``cfg.hot_learner_rows`` are listed first; there are at
-    most ``rows / hot_learner_rows`` of them, which bounds the broadcast. With
-    none, adaptive execution drops the refinement branch.
+    Both branches are exact for any learner; the split only decides where the
+    ordering work is done. Without hot learners adaptive execution drops the
+    refinement branch before it reads anything.
     """
     rows = _timed(submissions)
-    sizes = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("days").alias("total"))
-    hot = sizes.filter(F.col("n") > cfg.hot_learner_rows)
-    ids = F.broadcast(hot.select("user_id"))
-    usual = _halves_by_rank(rows.join(ids, "user_id", "left_anti"))
-    large = _halves_by_refinement(rows.join(ids, "user_id", "left_semi"), hot)
+    hot = F.broadcast(hot_learners(submissions, cfg))
+    usual = _halves_by_rank(rows.join(hot, "user_id", "left_anti"))
+    large = _halves_by_refinement(rows, hot)
     return usual.unionByName(large)
 
 

@@ -56,12 +56,15 @@ def replace(df: DataFrame, base: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{base}/{name}/v={newest + 1}")
 
 
-def load_log(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """All batches of an append-only log."""
+def load_log(spark: SparkSession, base: str, name: str, except_batch: str | None = None) -> DataFrame:
+    """All batches of an append-only log, or all but the one being repeated (pruned by folder)."""
     path = f"{base}/{name}"
     if not _has_files(spark, path):
         return _empty(spark, name)
-    return spark.read.schema(TABLES[name]).parquet(path).select(*table_schema(name).fieldNames())
+    log = spark.read.schema(TABLES[name] + ", batch string").parquet(path)
+    if except_batch is not None:
+        log = log.filter(F.col("batch") != except_batch)
+    return log.drop("batch")
 
 
 def append(df: DataFrame, base: str, name: str, batch: str) -> None:
