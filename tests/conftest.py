@@ -1,9 +1,12 @@
 import os
 import sys
+import time
 
 import pytest
 from pyspark.sql import SparkSession
 
+os.environ["TZ"] = "UTC"
+time.tzset()
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from studylantern.session import prepare  # noqa: E402

@@ -1,0 +1,154 @@
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from studylantern.config import DEFAULT
+from studylantern.operators import delivery, lifecycle
+
+AS_OF = "2024-01-31 00:00:00"
+DECISION = "decision_id long, draft_id string, action string, reviewer_id string, notes string, decided_at timestamp"
+OUTCOME = "draft_id string, ok boolean, message_id string, error string"
+GOOD_NOTE = "  wording is off  "
+
+
+def event(nudge_id, draft_id, status, user_id=1, at="2024-01-01", **more):
+    return dict(
+        nudge_id=nudge_id, draft_id=draft_id, user_id=user_id, nudge_type="reengagement", flag_code="R1",
+        template_id="reengagement", channel="email", delivery_status=status, subject="s", html_body="<p>___LEARNER_NAME___</p>",
+        created_at=at, **more,
+    )
+
+
+@pytest.fixture
+def decide(spark, table):
+    def run(events, decisions, outcomes=(), pii=(1,), cfg=DEFAULT):
+        given = [(i, d, a, "rev", n, None) for i, (d, a, n) in enumerate(decisions)]
+        frame = spark.createDataFrame(given, DECISION).withColumn("decided_at", F.lit(AS_OF).cast("timestamp"))
+        rows, rejects = lifecycle.apply_decisions(
+            table("nudge_events", *events), frame, spark.createDataFrame(list(outcomes), OUTCOME),
+            table("student_pii", *[dict(user_id=u, full_name="Ann", email="ann@x") for u in pii]), AS_OF, cfg,
+        )
+        written = sorted((r.draft_id, r.step, r.delivery_status) for r in rows.collect())
+        return written, {r.decision_id: r.reject_reason for r in rejects.collect()}, rows
+
+    return run
+
+
+@pytest.mark.parametrize("state", ["pending_review", "approved", "rejected", "sent", "failed", "escalated"])
+@pytest.mark.parametrize("action, result", [("approve", "approved"), ("reject", "rejected"), ("escalate", "escalated")])
+def test_every_decision_in_every_state(decide, state, action, result):
+    written, rejects, _ = decide([event(1, "d", "pending_review"), event(2, "d", state)], [("d", action, GOOD_NOTE)])
+    if state == "pending_review":
+        assert written == [("d", 0, result)] and rejects == {}
+    else:
+        assert written == [] and rejects == {0: f"Draft d is in state '{state}', can only {action} a pending_review draft"}
+
+
+def test_approve_sends_or_fails(decide):
+    events = [event(i, d, "pending_review") for i, d in enumerate("abc")]
+    written, rejects, rows = decide(
+        events, [(d, "approve", None) for d in "abc"], [("a", True, "m1", None), ("b", False, None, "mailbox full")]
+    )
+    assert written == [("a", 0, "approved"), ("a", 1, "sent"), ("b", 0, "approved"), ("b", 1, "failed"), ("c", 0, "approved")]
+    assert rejects == {}
+    done = {r.draft_id: r for r in rows.filter("step = 1").collect()}
+    assert done["a"].provider_message_id == "m1" and done["a"].delivered_at is not None and done["a"].review_notes is None
+    assert done["b"].review_notes == "mailbox full" and done["b"].delivered_at is None
+    assert done["a"].subject == "s" and done["a"].channel == "email"
+
+
+def test_approve_without_pii_fails(decide):
+    written, _, rows = decide([event(1, "d", "pending_review")], [("d", "approve", None)], [("d", True, "m", None)], pii=())
+    assert written == [("d", 0, "approved"), ("d", 1, "failed")]
+    assert rows.filter("step = 1").first().review_notes == "No PII on file for user_id=1; cannot send"
+
+
+def test_first_valid_decision_wins_and_the_rest_is_rejected(decide):
+    written, rejects, _ = decide(
+        [event(1, "d", "pending_review")],
+        [("d", "reject", "too short"), ("d", "reject", GOOD_NOTE), ("d", "approve", None), ("x", "approve", None), ("d", "burn", None)],
+    )
+    assert written == [("d", 0, "rejected")]
+    assert rejects == {
+        0: "note needs at least 10 characters",
+        2: "Draft d is in state 'rejected', can only approve a pending_review draft",
+        3: "Draft x not found",
+        4: "unknown action",
+    }
+
+
+def test_reject_note_is_stored_stripped(decide):
+    _, _, rows = decide([event(1, "d", "pending_review")], [("d", "reject", GOOD_NOTE)])
+    assert rows.first().review_notes == GOOD_NOTE.strip()
+
+
+def test_the_two_latest_state_definitions(spark, table):
+    events = table("nudge_events", event(2, "d", "approved", at="2024-01-01"), event(1, "d", "pending_review", at="2024-01-02"))
+    assert lifecycle.latest_state(events).first().delivery_status == "pending_review"
+    assert lifecycle.latest_by_id(events).first().delivery_status == "approved"
+    assert lifecycle.pending_drafts(events).count() == 0
+    same_time = table("nudge_events", event(1, "d", "approved"), event(2, "d", "sent"))
+    assert [tuple(r) for r in lifecycle.status_counts(same_time).collect()] == [("sent", 1)]
+
+
+@pytest.fixture
+def brief(spark, table, decide):
+    def run(recipients, outcomes):
+        cfg = replace(DEFAULT, ta_recipients=recipients)
+        _, _, rows = decide([event(1, "d", "pending_review")], [("d", "escalate", None)])
+        return delivery.ta_briefings(
+            rows.filter("delivery_status = 'escalated'"), table("users", dict(user_id=1)), table("student_risk_signals"),
+            table("enrollments"), spark.createDataFrame(outcomes, OUTCOME), AS_OF, cfg,
+        )
+
+    return run
+
+
+def test_briefing_passes_three_states(brief):
+    rows, failed = brief("a@x, ,b@x", [("d", True, "m", None)])
+    got = sorted(rows.collect(), key=lambda r: r.step)
+    assert [r.delivery_status for r in got] == ["pending_review", "approved", "sent"] and failed.count() == 0
+    assert len({r.draft_id for r in got}) == 1 and got[0].draft_id != "d"
+    assert got[0].subject == "Escalation: Student 1 needs follow-up (flag R1)" and got[0].nudge_type == "escalation_alert"
+    assert "Note: (no note provided)" in got[0].rendered_template and "Student 1" in got[0].html_body
+    assert got[0].reviewer_id is None and got[1].reviewer_id == "rev"
+    assert delivery.recipient_list("a@x, ,b@x") == "a@x, b@x"
+
+
+def test_briefing_without_recipients(brief):
+    rows, failed = brief(" , ", [])
+    assert rows.count() == 0 and failed.first().failure_reason == "TA_EMAIL is not set; cannot escalate"
+
+
+def test_outbox(spark, table):
+    approved = table("nudge_events", event(1, "a", "approved"), event(2, "b", "approved", user_id=2))
+    pii = table("student_pii", dict(user_id=1, full_name="Ann", email="ann@x"))
+    got = {r.draft_id: r for r in delivery.outbox(approved, pii).collect()}
+    assert (got["a"].to_address, got["a"].html, got["a"].failure_reason) == ("ann@x", "<p>Ann</p>", None)
+    assert got["b"].to_address is None and got["b"].failure_reason == "No PII on file for user_id=2; cannot send"
+    override = delivery.outbox(approved, pii, "ta@x").filter("draft_id = 'b'").first()
+    assert (override.to_address, override.html) == ("ta@x", "<p>___LEARNER_NAME___</p>")
+
+
+def test_variants(spark):
+    frame = spark.createDataFrame(
+        [("k1", "late_sub", None), ("k1", "late_sub", ""), ("k2", "late_sub", "b"), ("k3", "late_sub", "q"), ("k4", "other", None)],
+        "k string, flag_type string, wanted string",
+    )
+    good, bad = delivery.assign_variant(frame, "k", requested="wanted")
+    got = [(r.k, r.variant_id) for r in good.orderBy("k").collect()]
+    assert got[0] == got[1] and got[2] == ("k2", "b") and len(got) == 3
+    assert {r.k: r.reject_reason for r in bad.collect()} == {
+        "k3": "Unknown variant 'q' for late_sub", "k4": "No templates found for flag_type: other",
+    }
+
+
+def test_late_notices(spark, table):
+    work = table(
+        "submissions", dict(submission_id=1, assignment_id=1, user_id=1, days_from_deadline=-2.25),
+        dict(submission_id=2, assignment_id=1, user_id=2, days_from_deadline=0.0), dict(submission_id=3, assignment_id=1, user_id=3),
+    )
+    tasks = table("assignments", dict(assignment_id=1, name="Lab", due_at_roadmap="2024-01-05 23:59:00"))
+    (row,) = delivery.late_notices(work, tasks).collect()
+    assert row.variant_id == "a" and "Lab in Math Foundations was due 2024-01-05 and came in 2.2 day(s) later" in row.rendered_template
