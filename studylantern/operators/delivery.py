@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from studylantern.config import ALERT_TYPE, DEFAULT, NAME_PLACEHOLDER, TA_TEMPLATE, Config
 from studylantern.functions import digest_uuid, fill, fixed, moment, stable_bucket, text_to_html
-from studylantern.operators.drafts import EVENT_COLUMNS, event_row, learner_context, message_fields, SPECIFIC
-from studylantern.sources.dims import variant_dim
+from studylantern.operators.drafts import EVENT_COLUMNS, SPECIFIC, event_row, learner_context, message_fields
 
 
 def outbox(approved: DataFrame, pii: DataFrame, override: str | None = None) -> DataFrame:
@@ -105,28 +104,37 @@ def ta_briefings(
     return rows, failure
 
 
+def variant_letters(cfg: Config = DEFAULT) -> dict[str, list[str]]:
+    """Sorted variant letters per message kind."""
+    kinds: dict[str, list[str]] = {}
+    for kind, letter in sorted(cfg.variants):
+        kinds.setdefault(kind, []).append(letter)
+    return kinds
+
+
 def assign_variant(
-    df: DataFrame, key: str, kind: str = "flag_type", requested: str | None = None, variants: DataFrame | None = None
+    df: DataFrame, key: str, kind: str = "flag_type", requested: str | None = None, cfg: Config = DEFAULT
 ) -> tuple[DataFrame, DataFrame]:
     """(rows with ``variant_id``, rows whose kind or requested letter is unknown).
 
     The letter is the requested one or a pick by the hash of ``key``, so it is
-    stable across re-runs.
+    stable across re-runs. The letters come from the configuration as a
+    constant map, so this is a projection.
     """
-    dim = variant_dim(df.sparkSession) if variants is None else variants
-    table = F.broadcast(dim.withColumnRenamed("flag_type", "_kind"))
+    known = F.create_map(
+        *[part for k, ls in variant_letters(cfg).items() for part in (F.lit(k), F.array(*[F.lit(x) for x in ls]))]
+    )
+    letters = F.try_element_at(known, F.col(kind))
     wanted = F.nullif(F.col(requested), F.lit("")) if requested else F.lit(None).cast("string")
-    letters = F.col("letters")
-    # size() of an absent list is null, and so is the pick
+    # the size of an absent list is null, and so is the pick
     picked = F.get(letters, stable_bucket(F.col(key).cast("string"), F.array_size(letters)))
-    joined = df.join(table, F.col(kind) == F.col("_kind"), "left").withColumn("variant_id", F.coalesce(wanted, picked))
     problem = F.when(
         letters.isNull(), F.concat(F.lit("No templates found for flag_type: "), F.coalesce(F.col(kind), F.lit("None")))
     ).when(
         ~F.array_contains(letters, F.col("variant_id")),
         F.concat(F.lit("Unknown variant '"), F.col("variant_id"), F.lit("' for "), F.col(kind)),
     )
-    judged = joined.withColumn("reject_reason", problem).drop("_kind", "letters")
+    judged = df.withColumn("variant_id", F.coalesce(wanted, picked)).withColumn("reject_reason", problem)
     return (
         judged.filter(F.col("reject_reason").isNull()).drop("reject_reason"),
         judged.filter(F.col("reject_reason").isNotNull()).drop("variant_id"),
@@ -141,7 +149,7 @@ def late_notices(submissions: DataFrame, assignments: DataFrame, cfg: Config = D
     )
     facts = facts.withColumn("notice_key", F.concat_ws("|", "user_id", "assignment_id"))
     if variant is None:
-        facts, _ = assign_variant(facts, "notice_key", variants=variant_dim(facts.sparkSession, cfg))
+        facts, _ = assign_variant(facts, "notice_key", cfg=cfg)
     else:
         facts = facts.withColumn("variant_id", F.lit(variant))
     fields = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylantern.config import DEADLINES, DEFAULT, GATES, ROUTES, Config
+from studylantern.config import DEADLINES, GATES, ROUTES
 
 
 def deadline_dim(spark: SparkSession, deadlines: dict[int, str] | None = None) -> DataFrame:
@@ -24,11 +24,3 @@ def gate_dim(spark: SparkSession, gates=GATES) -> DataFrame:
 def route_dim(spark: SparkSession) -> DataFrame:
     rows = [(code, *route) for code, route in ROUTES.items()]
     return spark.createDataFrame(rows, "flag_code string, template_id string, nudge_type string, severity string")
-
-
-def variant_dim(spark: SparkSession, cfg: Config = DEFAULT) -> DataFrame:
-    """One row per message kind with its sorted variant letters."""
-    kinds: dict[str, list[str]] = {}
-    for kind, letter in sorted(cfg.variants):
-        kinds.setdefault(kind, []).append(letter)
-    return spark.createDataFrame(list(kinds.items()), "flag_type string, letters array<string>")

@@ -4,7 +4,7 @@ A snapshot write goes to a fresh ``v=N`` folder, never to the folder being
 read, and becomes visible only through the committer's ``_SUCCESS`` marker: a
 job that loses its executors half way leaves the previous version in force. A
 log batch has its own folder, so repeating a batch replaces it instead of
-duplicating its rows.
+duplicating its rows; frames loaded before that must be loaded again.
 """
 
 from __future__ import annotations
