@@ -32,7 +32,13 @@ class Dialect:
 
     def rnd(self, expr: str, digits: int) -> str:
         if self.name == "spark":
-            return f"cast(format_number({expr}, '0.{'0' * digits}') as double)"
+            # the same two ways as functions.py_round
+            unit = f"{10**digits}D"
+            scaled = f"({expr}) * {unit}"
+            return (
+                f"case when abs({scaled}) < 1e9D and abs({scaled} - rint({scaled})) < 0.499999D "
+                f"then rint({scaled}) / {unit} else cast(format_number({expr}, '0.{'0' * digits}') as double) end"
+            )
         return f"cast(printf('%.{digits}f', {expr}) as double)"
 
     def iso(self, expr: str) -> str:

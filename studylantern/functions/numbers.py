@@ -37,6 +37,10 @@ def hours(seconds: Column) -> Column:
     return F.round(seconds.cast("decimal(20,4)") / F.lit(3600).cast("decimal(20,4)"), 1).cast("double")
 
 
-def cents(c: Column) -> Column:
-    """A two-decimal double as an exact decimal, so sums do not depend on row order."""
-    return c.cast("decimal(18,2)")
+def hundredths(c: Column) -> Column:
+    """A two-decimal double as a whole number of hundredths.
+
+    Integer sums do not depend on row order, and stay in fixed-width
+    aggregation buffers, unlike wide decimals.
+    """
+    return F.rint(c.cast("double") * F.lit(100.0)).cast("long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from studylantern.config import ALERT_TYPE, DEFAULT, NAME_PLACEHOLDER, TA_TEMPLATE, Config
 from studylantern.functions import digest_uuid, fill, fixed, moment, stable_bucket, text_to_html
 from studylantern.operators.drafts import EVENT_COLUMNS, SPECIFIC, event_row, learner_context, message_fields
+from studylantern.operators.skew import join_facts
 
 
 def outbox(approved: DataFrame, pii: DataFrame, override: str | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def ta_briefings(
 
     context = learner_context(users, signals, enrollments).select("user_id", F.struct(*SPECIFIC).alias("specific"))
     results = outcomes.select("draft_id", "ok", "message_id", "error")
-    briefed = named.join(results, "draft_id", "left").join(context, "user_id")
+    briefed = join_facts(named.join(results, "draft_id", "left"), context, ["user_id"])
     learner = F.col("user_id").cast("string")
     fields = {
         **message_fields(cfg),

@@ -9,6 +9,7 @@ from studylantern.config import DEFAULT, NAME_PLACEHOLDER, Config
 from studylantern.functions import digest_uuid, fill, fixed, flag_code, moment, py_round, text_to_html
 from studylantern.operators.flags import open_flags
 from studylantern.operators.signals import primary_enrollment
+from studylantern.operators.skew import join_facts
 from studylantern.sources.dims import route_dim
 
 # what one lifecycle row carries besides its id; ``step`` orders the rows of
@@ -34,7 +35,7 @@ def flags_without_drafts(flag_events: DataFrame, nudge_events: DataFrame) -> Dat
         F.substring_index("reason", ":", 1).alias("raw_code"),
         flag_code(F.col("reason")).alias("flag_code"),
     ).filter(F.col("flag_code").isNotNull())
-    return readable.join(drafted, ["user_id", "raw_code"], "left_anti").select("flag_id", "user_id", "flag_code", "reason")
+    return join_facts(readable, drafted, ["user_id", "raw_code"], "left_anti").select("flag_id", "user_id", "flag_code", "reason")
 
 
 def route_flags(candidates: DataFrame, routes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -86,10 +87,10 @@ def nudge_context(candidates: DataFrame, users: DataFrame, signals: DataFrame, e
     """Candidates with the message context as a ``specific`` struct; a learner without a user row is skipped.
 
     The learner side is complete before the join, so the candidates take part
-    in exactly one join and may be as skewed as they like.
+    in exactly one join, one whose hot partitions Spark can split.
     """
     context = learner_context(users, signals, enrollments).select("user_id", F.struct(*SPECIFIC).alias("specific"))
-    return candidates.join(context, "user_id")
+    return join_facts(candidates, context, ["user_id"])
 
 
 def message_fields(cfg: Config) -> dict[str, Column]:

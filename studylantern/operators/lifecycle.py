@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from studylantern.config import DEFAULT, Config
 from studylantern.functions import moment, strip
 from studylantern.operators.drafts import DRAFT_FIELDS, EVENT_COLUMNS, event_row
+from studylantern.operators.skew import join_facts
 
 # --- fixed values: state a decision needs, and the states it leads to --------
 PENDING = "pending_review"
@@ -149,7 +150,7 @@ def _rejects(verdicts: DataFrame, decisions: DataFrame, sent: DataFrame, cfg: Co
         .when(F.col("accepted_id").isNull() | (F.col("accepted_id") != F.col("decision_id")), wrong_state)
     )
     return (
-        decisions.join(per_draft, "draft_id", "left")
+        join_facts(decisions, per_draft, ["draft_id"], "left")
         .select("decision_id", "draft_id", "action", "reviewer_id", problem.alias("reject_reason"))
         .filter(F.col("reject_reason").isNotNull())
     )

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from studylantern.config import DEFAULT, Config
 from studylantern.functions import days_since, moment, py_round
-from studylantern.functions.numbers import cents
+from studylantern.functions.numbers import hundredths
 
 
 def _timed(submissions: DataFrame) -> DataFrame:
     """Rows that count as a submission: those with a distance to a deadline."""
     return submissions.filter(F.col("days_from_deadline").isNotNull()).select(
-        "user_id", "submitted_at", cents(F.col("days_from_deadline")).alias("days")
+        "user_id", "submitted_at", hundredths(F.col("days_from_deadline")).alias("days")
     )
 
 
 def _mean(total: Column, n: Column) -> Column:
-    return total.cast("double") / n
+    """Mean in days of a sum of hundredths."""
+    return total / F.lit(100.0) / n
 
 
 def timing_stats(submissions: DataFrame) -> DataFrame:
@@ -36,15 +37,17 @@ def timing_stats(submissions: DataFrame) -> DataFrame:
 
 
 def _halves_by_rank(rows: DataFrame) -> DataFrame:
-    """n, total and first-half sum from one in-partition sort per learner."""
-    learner = Window.partitionBy("user_id")
-    in_time = learner.orderBy(F.col("submitted_at").asc_nulls_last(), "days")
-    ranked = rows.withColumn("place", F.row_number().over(in_time)).withColumn("n", F.count(F.lit(1)).over(learner))
-    early = F.col("place") <= F.floor(F.col("n") / 2)
-    return ranked.groupBy("user_id").agg(
+    """n, total and first-half sum from one in-partition sort per learner.
+
+    Cutting the rows in two from the newest backwards leaves the smaller part,
+    ``n // 2`` rows, as the early one; one window function does it all.
+    """
+    backwards = Window.partitionBy("user_id").orderBy(F.col("submitted_at").desc_nulls_first(), F.col("days").desc())
+    cut = rows.withColumn("part", F.ntile(2).over(backwards))
+    return cut.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("days").alias("total"),
-        F.sum(F.when(early, F.col("days"))).alias("first_total"),
+        F.sum(F.when(F.col("part") == 2, F.col("days"))).alias("first_total"),
     )
 
 

@@ -16,6 +16,7 @@ from studylantern.functions import fixed, hours, local_display, py_round, strip
 from studylantern.functions import labels
 from studylantern.operators.flags import latest_open_flag, open_flags, worst_open_flag
 from studylantern.operators.lifecycle import pending_drafts
+from studylantern.operators.skew import join_facts
 
 
 def _sorted(df: DataFrame, ordered: bool, *order) -> DataFrame:
@@ -26,20 +27,24 @@ def _only(df: DataFrame, user_id: int | None) -> DataFrame:
     return df if user_id is None else df.filter(F.col("user_id") == F.lit(user_id))
 
 
-def cohort_base(users: DataFrame, signals: DataFrame, enrollments: DataFrame, summaries: DataFrame) -> DataFrame:
-    """users ⟕ signals ⟕ summaries ⟕ enrollments, one row per enrollment.
+def cohort_base(
+    users: DataFrame, signals: DataFrame, enrollments: DataFrame, summaries: DataFrame, worst: DataFrame | None = None
+) -> DataFrame:
+    """users ⟕ signals ⟕ summaries (⟕ gravest flag) ⟕ enrollments, one row per enrollment.
 
-    The three one-row-per-learner frames are combined first. Enrollments can
-    be many per learner, so they lead an inner join (whose skewed partitions
-    Spark may split on either side) and the learners without any are added.
+    The one-row-per-learner frames are combined first. Enrollments can be
+    many per learner, so they lead an inner join, whose hot partitions Spark
+    can split, and the learners without any are added.
     """
     learners = (
         users.select("user_id")
         .join(signals.drop("computed_at"), "user_id", "left")
         .join(summaries.select("user_id", "page_views"), "user_id", "left")
     )
+    if worst is not None:
+        learners = learners.join(worst, "user_id", "left")
     courses = enrollments.select("user_id", "enrollment_id", "final_score", "last_activity_at", "total_activity_time")
-    enrolled = courses.join(learners, "user_id")
+    enrolled = join_facts(courses, learners, ["user_id"])
     others = learners.join(courses.select("user_id").distinct(), "user_id", "left_anti")
     return enrolled.unionByName(others, allowMissingColumns=True).withColumn(
         "hrs_in_canvas", hours(F.col("total_activity_time"))
@@ -52,7 +57,7 @@ def cohort_overview(
 ) -> DataFrame:
     """The eleven display columns per learner; a finished course shows green whatever the flags."""
     worst = worst_open_flag(flag_events)
-    rows = cohort_base(users, signals, enrollments, summaries).join(worst, "user_id", "left")
+    rows = cohort_base(users, signals, enrollments, summaries, worst)
     finished = F.coalesce(F.col("final_score") == cfg.complete_score, F.lit(False))
     severity = F.when(finished, "green").otherwise(F.coalesce("flag_type", F.lit("green")))
     none_open = F.when(F.col("flag_type").isNull(), "No issues detected").otherwise(F.col("reason"))
@@ -219,15 +224,12 @@ def approval_queue(nudge_events: DataFrame, flag_events: DataFrame, signals: Dat
     The queue is the left side of both joins and the other sides have one row
     per key, so a learner with very many drafts is split by Spark.
     """
-    queue = (
-        pending_drafts(nudge_events)
-        .select("draft_id", "nudge_id", "user_id", "flag_code", "nudge_type", "subject", "html_body", "created_at")
-        .join(latest_open_flag(flag_events), ["user_id", "flag_code"], "left")
-        .join(
-            signals.select("user_id", "days_since_last_login", "total_submissions", "avg_days_from_deadline"),
-            "user_id", "left",
-        )
+    waiting = pending_drafts(nudge_events).select(
+        "draft_id", "nudge_id", "user_id", "flag_code", "nudge_type", "subject", "html_body", "created_at"
     )
+    risk = signals.select("user_id", "days_since_last_login", "total_submissions", "avg_days_from_deadline")
+    queue = join_facts(waiting, latest_open_flag(flag_events), ["user_id", "flag_code"], "left")
+    queue = join_facts(queue, risk, ["user_id"], "left")
     report = queue.select(
         "draft_id", "nudge_id", "user_id", "flag_code", "nudge_type", "subject", "html_body", "created_at",
         "flag_reason", "flag_type", "days_since_last_login", "total_submissions", "avg_days_from_deadline",

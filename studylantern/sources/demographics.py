@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylantern.functions import moment, strip
+from studylantern.operators.skew import join_facts
 from studylantern.schemas import DEMOGRAPHIC_HEADERS, PII_HEADERS
 from studylantern.sources.feeds import ORDINAL
 
@@ -48,8 +49,8 @@ def match_demographics(rows: DataFrame, users: DataFrame, email: str = "Email")
         .agg(F.max("user_id").alias("user_id"))
     )
     named = keyed.filter(F.col("match_key") != "")
-    matched = named.join(owners, "match_key").drop("match_key")
-    unknown = named.join(owners, "match_key", "left_anti").withColumn("skip_reason", F.lit("no matching user"))
+    matched = join_facts(named, owners, ["match_key"]).drop("match_key")
+    unknown = join_facts(named, owners, ["match_key"], "left_anti").withColumn("skip_reason", F.lit("no matching user"))
     blank = keyed.filter(F.col("match_key") == "").withColumn("skip_reason", F.lit("no email"))
     return matched, unknown.unionByName(blank).drop("match_key")
 

@@ -16,15 +16,20 @@ from studylantern.functions import bool_int, days_between, first_truthy, iso_tim
 ORDINAL = "ordinal"
 
 
-def read_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, schema: str, page_per_line: bool = False) -> DataFrame:
     """Records of the JSON pages under ``path``: a page is a list of records or one record.
 
-    One file is one page of bounded size, so a file per task is fine; many
-    pages are packed into one task by Spark. Pages rank by file name, records
-    by their position in the page.
+    By default one file is one page; such files are small by nature and Spark
+    packs many into a task. Bulk history is better landed with one page per
+    line, which lets Spark split files of any size. Pages rank by file name and
+    position in the file, records by their position in the page.
     """
-    pages = spark.read.schema(schema).option("multiLine", True).json(path)
-    order = F.struct(F.col("_metadata.file_path").alias("page"), F.monotonically_increasing_id().alias("position"))
+    pages = spark.read.schema(schema).option("multiLine", not page_per_line).json(path)
+    order = F.struct(
+        F.col("_metadata.file_path").alias("page"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("position"),
+    )
     return pages.withColumn(ORDINAL, order)
 
 

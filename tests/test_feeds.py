@@ -30,6 +30,13 @@ def test_pages_are_lists_or_single_records_and_keep_their_order(landed, table):
     assert {r.user_id: r.email for r in merged.collect()} == {1: "new", 2: "two"}
 
 
+def test_one_page_per_line(spark, tmp_path, table):
+    (tmp_path / "users.json").write_text('[{"id": 1, "email": "old"}, {"id": 2}]\n{"id": 1, "email": "new"}\n', encoding="utf-8")
+    rows = feeds.users_from_feed(feeds.read_feed(spark, str(tmp_path), FEEDS["users"], page_per_line=True))
+    merged = upsert(table("users"), rows, rule_for("users"), "ordinal")
+    assert {r.user_id: r.email for r in merged.collect()} == {1: "new", 2: None}
+
+
 def test_user_address_falls_back_and_test_learner_is_dropped(landed):
     feed = landed("users", [{"id": 1, "email": "", "sis_user_id": None, "login_id": "x@y"}, {"id": TEST_LEARNER_ID}])
     assert [(r.user_id, r.email) for r in feeds.users_from_feed(feed).collect()] == [(1, "x@y")]

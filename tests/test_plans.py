@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from studylantern.catalog.inputs import Inputs
-from studylantern.operators import flags, signals
+from studylantern.operators import drafts, flags, lifecycle, signals
 from studylantern.plans import reports
+from studylantern.sources import feeds, tables
 
 
 def plan(frame):
@@ -92,3 +94,105 @@ def test_first_per_key_is_cut_before_the_exchange(stored, no_broadcast):
 
     text = plan(dedupe_keep_first(stored["in_gates"], ["gate_name"], "gate_id"))
     assert text.count("WindowGroupLimit") == 2 and text.index("Final") < text.index("Exchange hashpartitioning") < text.index("Partial")
+
+
+@pytest.fixture
+def tiny_skew_limits(spark, no_broadcast):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+        # tiny map outputs would be merged into one, which leaves nothing to split
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.fixture
+def skewed(spark):
+    """A third of 30,000 rows share one key."""
+    def build(*columns):
+        hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 2000).cast("long")
+        return spark.range(0, 30_000, 1, 8).select(F.col("id"), hot.alias("key")).selectExpr(*columns)
+
+    return build
+
+
+def split_by_spark(frame):
+    rows = frame.count()
+    frame.collect()
+    assert "skew=true" in plan(frame)
+    return rows
+
+
+def test_skewed_assignment_is_split(spark, skewed, tiny_skew_limits):
+    feed = skewed(
+        "id", "key as assignment_id", "id as user_id", "1.0D as score", "'g' as grade", "'2024-01-01T00:00:00Z' as submitted_at",
+        "cast(null as string) as graded_at", "'w' as workflow_state", "true as late", "false as missing",
+    )
+    due = spark.range(2000).selectExpr("id as assignment_id", "timestamp '2024-01-02' as due_at_roadmap")
+    # id 0 is the excluded zero key
+    assert split_by_spark(feeds.submissions_from_feed(feed, due, "2024-01-31")) == feed.filter("assignment_id <> 0 and user_id <> 0 and user_id <> 27815").count()
+
+
+def test_skewed_enrollments_are_split(spark, table, skewed, tiny_skew_limits):
+    courses = skewed(
+        "id as enrollment_id", "key as user_id", "50.0D as final_score", "timestamp '2024-01-01' as last_activity_at", "60 as total_activity_time"
+    )
+    users = spark.range(2500).selectExpr("id as user_id")
+    frame = reports.cohort_base(users, table("student_risk_signals"), courses, table("student_summaries"))
+    assert split_by_spark(frame) == 30_000 + 500
+
+
+def test_skewed_candidates_are_split(spark, table, skewed, tiny_skew_limits):
+    candidates = skewed("id as flag_id", "key as user_id", "'R1' as flag_code", "concat('R1: ', repeat('x', 40), id) as reason")
+    users = spark.range(2000).selectExpr("id as user_id")
+    frame = drafts.nudge_context(candidates, users, table("student_risk_signals"), table("enrollments"))
+    assert split_by_spark(frame) == 30_000
+
+
+def test_skewed_decisions_are_split_and_one_wins(spark, table, skewed, tiny_skew_limits):
+    decisions = skewed(
+        "id as decision_id", "cast(key as string) as draft_id", "'approve' as action", "concat('rev', repeat('x', 20), id) as reviewer_id",
+        "cast(null as string) as notes", "timestamp '2024-01-30' as decided_at",
+    )
+    events = spark.range(2000).selectExpr(
+        "id as nudge_id", "cast(id as string) as draft_id", "id as user_id", "'pending_review' as delivery_status",
+        "timestamp '2024-01-01' as created_at",
+    )
+    log = tables.conform(events, "nudge_events")
+    none = spark.createDataFrame([], "draft_id string, ok boolean, message_id string, error string")
+    pii = spark.range(2000).selectExpr("id as user_id")
+    rows, rejects = lifecycle.apply_decisions(log, decisions, none, pii, "2024-01-31")
+    drafts_named = decisions.select("draft_id").distinct().count()
+    assert rows.count() == drafts_named
+    assert split_by_spark(rejects) == 30_000 - drafts_named
+
+
+def test_skewed_queue_is_split(spark, table, skewed, tiny_skew_limits):
+    nudges = tables.conform(
+        skewed("id as nudge_id", "cast(id as string) as draft_id", "key as user_id", "'R1' as flag_code", "'pending_review' as delivery_status",
+               "'late_submission' as nudge_type", "md5(cast(id as string)) as html_body", "timestamp '2024-01-01' as created_at"),
+        "nudge_events",
+    )
+    events = tables.conform(
+        spark.range(2000).selectExpr("id as flag_id", "id as user_id", "'red' as flag_type", "'R1: x' as reason", "0 as resolved",
+                                     "timestamp '2024-01-01' as flagged_at"),
+        "flag_events",
+    )
+    assert split_by_spark(reports.approval_queue(nudges, events, table("student_risk_signals"), ordered=False)) == 30_000
+
+
+def test_skewed_open_flags_are_split(spark, table, skewed, tiny_skew_limits):
+    events = tables.conform(
+        skewed("id as flag_id", "key as user_id", "'red' as flag_type", "concat('R1: ', repeat('x', 40), id) as reason", "0 as resolved"), "flag_events"
+    )
+    nudges = tables.conform(spark.range(1000, 3000).selectExpr("id as nudge_id", "id as user_id", "'R1' as flag_code"), "nudge_events")
+    frame = drafts.flags_without_drafts(events, nudges)
+    assert split_by_spark(frame) == events.filter("user_id < 1000").count()
