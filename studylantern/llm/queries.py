@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studylantern.llm import bpe, grammar, packing
+from studylantern.llm import bpe, grammar, packing, quality, warc
 from studylantern.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -29,5 +29,15 @@ def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.ids_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_packing": op4_packing, "op6_repair": op6_repair}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.classify(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", "q_evidence", "q_host_posterior", "q_path_posterior", "q_score", "q_keep")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_packing": op4_packing, "op6_repair": op6_repair, "op7_warc": op7_warc, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}
