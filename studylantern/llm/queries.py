@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studylantern.llm import bpe, grammar, packing, quality, warc
+from studylantern.llm import bagminhash, bpe, grammar, packing, quality, warc
 from studylantern.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.ids_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -39,5 +43,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "q_evidence", "q_host_posterior", "q_path_posterior", "q_score", "q_keep")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_packing": op4_packing, "op6_repair": op6_repair, "op7_warc": op7_warc, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_packing": op4_packing, "op5_bagminhash": op5_bagminhash, "op6_repair": op6_repair, "op7_warc": op7_warc, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}
