@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studylantern.llm import bagminhash, bpe, grammar, packing, quality, warc
+from studylantern.llm import bagminhash, bpe, grammar, packing, phrases, quality, warc
 from studylantern.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -17,6 +17,10 @@ def vocabulary(name: str, folder: str = TOKENIZERS) -> str:
     return f"{folder}/{name}"
 
 
+def op1_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -43,5 +47,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "q_evidence", "q_host_posterior", "q_path_posterior", "q_score", "q_keep")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op4_packing": op4_packing, "op5_bagminhash": op5_bagminhash, "op6_repair": op6_repair, "op7_warc": op7_warc, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_phrases": op1_phrases, "op2_bpe": op2_bpe, "op4_packing": op4_packing, "op5_bagminhash": op5_bagminhash, "op6_repair": op6_repair, "op7_warc": op7_warc, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}
