@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studylantern.llm import bagminhash, bpe, grammar, packing, phrases, quality, warc
+from studylantern.llm import bagminhash, bpe, grammar, packing, phrases, quality, sampling, warc
 from studylantern.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -25,6 +25,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -47,5 +51,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "q_evidence", "q_host_posterior", "q_path_posterior", "q_score", "q_keep")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_phrases": op1_phrases, "op2_bpe": op2_bpe, "op4_packing": op4_packing, "op5_bagminhash": op5_bagminhash, "op6_repair": op6_repair, "op7_warc": op7_warc, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_phrases": op1_phrases, "op2_bpe": op2_bpe, "op3_sampling": op3_sampling, "op4_packing": op4_packing, "op5_bagminhash": op5_bagminhash, "op6_repair": op6_repair, "op7_warc": op7_warc, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}
