@@ -17,7 +17,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(977))
+BYTE_HASH = mix(np.arange(256, dtype=np.uint64) + np.uint64(977))
 _INVERSE = {int(b): np.uint64(pow(int(b), -1, 2**64)) for b in (WORD_BASE, RUN_BASE)}
 
 
@@ -53,7 +53,7 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(inside & (~after | cut[1:])) + 1
         self.bounds = np.searchsorted(self.start, at)
-        windows = Windows(_BYTE[data], WORD_BASE)
+        windows = Windows(BYTE_HASH[data], WORD_BASE)
         self.hash = windows.of(self.start, self.end)
         self.runs = Windows(self.hash)
 
