@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studylantern.llm import bagminhash, bpe, bwt, grammar, packing, phrases, quality, sampling, warc
+from studylantern.llm import bagminhash, bpe, bwt, grammar, multiindex, packing, phrases, quality, sampling, warc
 from studylantern.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -49,11 +49,15 @@ def op8_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.classify(docs, quality.fit(docs, labels))
     return scored.select("doc_id", "q_evidence", "q_host_posterior", "q_path_posterior", "q_score", "q_keep")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_phrases": op1_phrases, "op2_bpe": op2_bpe, "op3_sampling": op3_sampling, "op4_packing": op4_packing, "op5_bagminhash": op5_bagminhash, "op6_repair": op6_repair, "op7_warc": op7_warc, "op8_bwt": op8_bwt, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_phrases": op1_phrases, "op2_bpe": op2_bpe, "op3_sampling": op3_sampling, "op4_packing": op4_packing, "op5_bagminhash": op5_bagminhash, "op6_repair": op6_repair, "op7_warc": op7_warc, "op8_bwt": op8_bwt, "op9_multiindex": op9_multiindex, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}

@@ -1,0 +1,63 @@
+"""Operator 9: probing and recall against brute force."""
+
+import numpy as np
+import pytest
+
+from studylantern.llm import multiindex as mih
+from studylantern.llm import queries
+
+
+def brute(ids, v, every=50, k=5):
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        score = unit @ unit[i]
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != ids[i]][:k]
+        out[int(ids[i])] = [(int(ids[j]), float(score[j])) for j in order]
+    return out
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_op9_recall_over_the_table(spark, folder):
+    rows = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").collect()
+    rows = [(r["vec_id"], r["embedding"]) for r in rows if r["embedding"] is not None and len(r["embedding"]) and all(x is not None and np.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    want, got = brute(ids, v), {}
+    for r in queries.op9_multiindex(spark, f"/root/testdata/{folder}").collect():
+        got.setdefault(r["query_id"], []).append(r)
+    assert set(got) == set(want)
+    hits = 0
+    place = {int(i): n for n, i in enumerate(ids)}
+    for q, found in got.items():
+        found.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in found] == [1, 2, 3, 4, 5]
+        keys = [(-r["score"], r["vec_id"]) for r in found]
+        assert keys == sorted(keys)
+        for r in found:
+            a, b = v[place[q]], v[place[r["vec_id"]]]
+            assert abs(r["score"] - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
+        hits += len({r["vec_id"] for r in found} & {i for i, _ in want[q]})
+    assert hits / (5 * len(want)) >= 0.95
+
+
+def test_probing_finds_every_code_in_the_radius():
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 256, (400, 4), dtype=np.uint8) & rng.integers(0, 256, (400, 4), dtype=np.uint8)
+    index = mih.MultiIndex(codes)
+    for radius in (0, 1, 3, 5, 7, 9, 12, 20, 32):
+        for query in codes[:10]:
+            assert sorted(index.within(query, radius).tolist()) == np.flatnonzero(mih.distances(codes, query) <= radius).tolist()
+
+
+def test_op9_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1e-300]), (50, [1e300, 1e300]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, []), (None, [1.0, 1.0]), (10, [1.0]), (100, [-1.0, 0.0]), (100, [-1.0, 0.0])]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, b int, s string")
+    got = {}
+    for r in mih.nearest(frame).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    h = round(0.5**0.5, 9)
+    assert sorted(got[0]) == [(1, 1, 1.0), (2, 2, 1.0), (3, 50, h), (4, 3, 0.0), (5, 100, -1.0)]
+    assert sorted(got[50])[:4] == [(1, 0, h), (2, 1, h), (3, 2, h), (4, 3, h)] and set(got) == {0, 50, 100}
+    assert sorted(got[100])[:1] == [(1, 3, 0.0)]
+    assert mih.nearest(frame.limit(0)).count() == 0 and mih.nearest(frame.filter("vec_id = 0")).count() == 0
