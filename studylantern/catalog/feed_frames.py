@@ -139,7 +139,7 @@ def activity(p: Inputs) -> DataFrame:
     hourly = p.events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).cast("int").alias("views"))
     return _parsed(
         hourly.select(
-            F.when(F.hour("hour") % 6 != 0, _iso(F.col("hour"))).alias("date"), "views", (F.col("views") * 2).alias("participations")
+            F.when(F.hour("hour") % 6 != 0, F.date_format("hour", "yyyy-MM-dd")).alias("date"), "views", (F.col("views") * 2).alias("participations")
         ),
         "course_activity",
     )

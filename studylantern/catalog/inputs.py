@@ -81,16 +81,18 @@ def definitions(d: Dialect) -> dict[str, str]:
                    {_NULL_TS} as updated_at
             from (select distinct {_K} % 20 as k from {{events}}) x
             where k < 19""",
-        # purchases are submissions; assignment 19 has no deadline, higher user_id % 5 hands in less
+        # purchases are submissions; assignment 19 has no deadline, higher user_id % 5 leaves more of them unsubmitted
         "in_submitted": f"""
             select min(event_id) as submission_id, cast({_K} % 20 as bigint) as assignment_id, user_id,
-                   min(ts) as submitted_at, {d.rnd('max(least(value, 100.0))', 1)} as score
+                   min(case when value > 40 * (user_id % 5) then ts end) as submitted_at,
+                   {d.rnd('max(least(value, 100.0))', 1)} as score
             from {{events}}
-            where event_type = 'purchase' and value > 40 * (user_id % 5)
+            where event_type = 'purchase'
             group by {_K} % 20, user_id""",
         "in_submissions": f"""
             select s.submission_id, s.assignment_id, s.user_id, s.score, {_NULL_S} as grade, s.submitted_at,
-                   {_NULL_TS} as graded_at, 'submitted' as workflow_state,
+                   {_NULL_TS} as graded_at,
+                   case when s.submitted_at is null then 'unsubmitted' else 'submitted' end as workflow_state,
                    case when a.due_at_roadmap < s.submitted_at then 1 else 0 end as late, 0 as missing,
                    {d.rnd(_days(d, 'a.due_at_roadmap', 's.submitted_at'), 2)} as days_from_deadline,
                    {_NULL_TS} as updated_at
@@ -121,29 +123,29 @@ def definitions(d: Dialect) -> dict[str, str]:
             select cast(ts as date) as activity_date, cast(count(*) filter (where event_type = 'view') as int) as views,
                    cast(count(*) filter (where event_type = 'click') as int) as participations
             from {events} group by cast(ts as date)""",
-        "in_quizzes": "select p_partkey as quiz_id, p_name as title, p_size as question_count from {part} where p_partkey % 5 <> 0",
+        "in_quizzes": "select p_partkey as quiz_id, p_name as title, p_size as question_count from {part}",
         "in_quiz_submissions": """
             select event_id as quiz_submission_id, event_id % 50 as quiz_id, user_id, value as score, value as kept_score,
                    cast(row_number() over (partition by event_id % 50, user_id order by ts) as int) as attempt,
                    'complete' as workflow_state, ts as started_at
             from {events} where event_type = 'signup'""",
-        # a gate three days after each strong error event; every third is entered twice
+        # a gate three days after each error event; every third is entered twice
         "in_gate_rows": """
             select event_id as gate_id, 'Gate ' || event_id as gate_name, cast(1 + event_id % 9 as int) as week_number,
                    cast(cast(ts as date) + interval '3' day as date) as gate_date, 'hard week' as description
-            from {events} where event_type = 'error' and value > 100
+            from {events} where event_type = 'error'
             union all
             select event_id + 100000000 as gate_id, 'Gate ' || event_id as gate_name, cast(0 as int) as week_number,
                    cast(cast(ts as date) + interval '4' day as date) as gate_date, 'entered twice' as description
-            from {events} where event_type = 'error' and value > 100 and event_id % 3 = 0""",
+            from {events} where event_type = 'error' and event_id % 3 = 0""",
         "in_gates": "select gate_id, gate_name, week_number, gate_date, description from {in_gate_rows} where gate_id < 100000000",
         "in_flags": f"""
             select event_id as flag_id, user_id, ts as flagged_at,
                    case when {code_slot} < 3 then 'red' else 'yellow' end as flag_type,
                    case when {code_slot} = 8 then null when {code_slot} = 9 then 'manual note'
                         else {code} || ': earlier finding ' || event_id end as reason,
-                   'none' as inputs, case when event_id % 3 = 0 then 1 else 0 end as resolved
-            from {{events}} where event_type = 'error' and value > 100""",
+                   'none' as inputs, case when event_id % 3 = 0 or value <= 100 then 1 else 0 end as resolved
+            from {{events}} where event_type = 'error'""",
         "in_nudges": f"""
             select event_id as nudge_id, cast(user_id * 8 + event_id % 8 as string) as draft_id, user_id,
                    cast(null as bigint) as computation_id,
@@ -158,7 +160,7 @@ def definitions(d: Dialect) -> dict[str, str]:
                    case when event_type = 'error' then 'wording' end as review_notes,
                    case when event_type = 'purchase' then 'm' || event_id end as provider_message_id,
                    case when event_type = 'purchase' then ts end as delivered_at, ts as created_at
-            from {{events}} where value > 100""",
+            from {{events}}""",
         "in_decisions": """
             select event_id as decision_id, cast(user_id * 8 + event_id % 8 as string) as draft_id,
                    case when event_id % 10 < 4 then 'approve' when event_id % 10 < 7 then 'reject'
@@ -167,12 +169,16 @@ def definitions(d: Dialect) -> dict[str, str]:
                    case when event_id % 3 = 0 then ' too short ' when event_id % 3 = 1 then null
                         else '  please change the tone ' || event_id end as notes,
                    ts as decided_at
-            from {events} where event_type = 'click' and value > 20""",
+            from {events} where event_type = 'click'""",
         "in_outcomes": """
             select draft_id, cast(draft_id as bigint) % 3 <> 0 as ok, 'msg-' || draft_id as message_id,
                    'mailbox full' as error
             from (select distinct draft_id from {in_decisions}) x
-            where cast(draft_id as bigint) % 5 <> 0""",
+            where cast(draft_id as bigint) % 5 <> 0
+            union all
+            select draft_id, false as ok, 'again-' || draft_id as message_id, 'reported twice' as error
+            from (select distinct draft_id from {in_decisions}) y
+            where cast(draft_id as bigint) % 4 = 0""",
         "in_pii": """
             select user_id, 'Learner ' || user_id as full_name, email from {in_users} where user_id % 6 <> 5""",
         "in_demographics": """

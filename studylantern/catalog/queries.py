@@ -316,6 +316,21 @@ def ta_briefings(p):
     )
 
 
+@query
+def record_outcomes(p):
+    return lifecycle.record_outcomes(p.in_nudges, p.in_outcomes, AS_OF).select(
+        "draft_id", "user_id", "flag_code", "delivery_status", "subject", "reviewer_id", "review_notes",
+        "provider_message_id", "delivered_at", "created_at",
+    )
+
+
+@query
+def briefing_failures(p):
+    """Learners without contact details stand for those without a user row."""
+    latest = lifecycle.latest_by_id(p.in_nudges.filter(F.col("delivery_status") == "escalated"))
+    return delivery.ta_briefings(latest, p.in_pii, _signals(p), p.in_enrollments, p.in_outcomes, AS_OF, CFG)[1]
+
+
 @query
 def outbox(p):
     return delivery.outbox(p.in_nudges.filter(F.col("delivery_status") == "approved"), p.in_pii)

@@ -159,7 +159,7 @@ _PROBLEM = (
     "case when action not in ('approve', 'reject', 'escalate') then 'unknown action' "
     f"when action = 'reject' and not {_NOTE_OK} then 'note needs at least 10 characters' end"
 )
-_NO_PII = "'No PII on file for user_id=' || {0} || '; cannot send'"
+_NO_PII = "'no contact details stored for learner ' || {0}"
 
 VIEWS = {
     "o_trend": _trend("{in_submissions}"),
@@ -210,7 +210,7 @@ VIEWS = {
                coalesce({R1.format('abs(s.avg_days_from_deadline)')}, 0.0)::double as avg_days_late,
                coalesce(s.total_submissions, 0) as submission_count,
                coalesce({R1.format('e.current_score')}, 0.0)::double as current_score,
-               coalesce(nullif(s.gate_name, ''), 'the upcoming assessment') as gate_name,
+               coalesce(nullif(s.gate_name, ''), 'your next gate') as gate_name,
                coalesce(s.days_until_gate, 0) as days_to_gate, coalesce(nullif(s.timing_trend, ''), 'unknown') as timing_trend,
                coalesce(printf('%.1f', abs(s.avg_days_from_deadline)), '0') as avg_days_late_text,
                coalesce(printf('%.1f', e.current_score), '0') as current_score_text
@@ -230,7 +230,7 @@ VIEWS = {
                     when not o.ok then 'failed' end as send_status,
                case when p.user_id is null then {_NO_PII.format('s.user_id')} else o.error end as send_error
         from {{o_state}} s join {{o_first_decision}} d on d.draft_id = s.draft_id
-        left join {{in_outcomes}} o on o.draft_id = s.draft_id left join {{in_pii}} p on p.user_id = s.user_id
+        left join {{o_outcome}} o on o.draft_id = s.draft_id left join {{in_pii}} p on p.user_id = s.user_id
         where s.delivery_status = 'pending_review'""",
     "o_cohort": """
         select u.user_id, s.* exclude (user_id, computed_at), m.page_views, e.enrollment_id, e.final_score, e.last_activity_at,
@@ -249,7 +249,9 @@ VIEWS = {
                l.* exclude (user_id)
         from (select * from {in_nudges} where delivery_status = 'escalated'
               qualify row_number() over (partition by draft_id order by nudge_id desc) = 1) n
-        join {o_learner} l on l.user_id = n.user_id left join {in_outcomes} o on o.draft_id = n.draft_id""",
+        join {o_learner} l on l.user_id = n.user_id left join {o_outcome} o on o.draft_id = n.draft_id""",
+    "o_outcome": """
+        select * from {in_outcomes} qualify row_number() over (partition by draft_id order by not ok, message_id, error) = 1""",
     "o_owner": """
         select lower(trim(email)) as address, max(user_id) as user_id from {in_users} where trim(email) <> '' group by 1""",
     "o_loaded": """
@@ -322,9 +324,9 @@ def _ta_rows() -> str:
         "escalation.student_user_id": "user_id::varchar",
         "escalation.flag_code": "coalesce(nullif(flag_code, ''), 'unknown')",
         "escalation.reviewer_id": "coalesce(reviewer_id, 'None')",
-        "escalation.reviewer_notes": "coalesce(nullif(review_notes, ''), '(no note provided)')",
+        "escalation.reviewer_notes": "coalesce(nullif(review_notes, ''), 'none given')",
     }
-    subject = "'Escalation: Student ' || user_id || ' needs follow-up (flag ' || coalesce(nullif(flag_code, ''), '—') || ')'"
+    subject = "'[hand-over] learner ' || user_id || ', rule ' || coalesce(nullif(flag_code, ''), '—')"
     return f"""
         select {_uuid("'briefing|' || draft_id")} as draft_id, user_id, 'escalation_alert' as nudge_type, flag_code,
                case step when 0 then 'pending_review' when 1 then 'approved' else case when ok then 'sent' else 'failed' end
@@ -494,18 +496,30 @@ def _queries() -> dict[str, str]:
             select * from (
                 select d.decision_id, d.draft_id, d.action, d.reviewer_id,
                        case when d.problem is not null then d.problem
-                            when s.draft_id is null then 'Draft ' || d.draft_id || ' not found'
+                            when s.draft_id is null then 'the log holds no draft ' || d.draft_id
                             when a.decision_id is null or a.decision_id <> d.decision_id
-                            then 'Draft ' || d.draft_id || ' is in state ''' ||
+                            then d.action || ' needs a pending draft, but ' || d.draft_id || ' is ' ||
                                  case when a.decision_id is null then s.delivery_status
                                       when a.send_status is not null then a.send_status
                                       when a.action = 'approve' then 'approved' when a.action = 'reject' then 'rejected'
-                                      else 'escalated' end || ''', can only ' || d.action || ' a pending_review draft'
+                                      else 'escalated' end
                        end as reject_reason
                 from (select *, {_PROBLEM} as problem from {{in_decisions}}) d
                 left join {{o_state}} s on s.draft_id = d.draft_id
                 left join {{o_accepted}} a on a.draft_id = d.draft_id) r
             where reject_reason is not null""",
+        "record_outcomes": f"""
+            select s.draft_id, s.user_id, s.flag_code, case when o.ok then 'sent' else 'failed' end as delivery_status, s.subject,
+                   s.reviewer_id, case when not o.ok then o.error end as review_notes,
+                   case when o.ok then o.message_id end as provider_message_id, case when o.ok then {NOW} end as delivered_at,
+                   {NOW} as created_at
+            from (select * from {{in_nudges}} qualify row_number() over (partition by draft_id order by created_at desc, nudge_id desc) = 1) s
+            join {{o_outcome}} o on o.draft_id = s.draft_id where s.delivery_status = 'approved'""",
+        "briefing_failures": """
+            select n.draft_id, n.user_id, 'no user row for learner ' || n.user_id as failure_reason
+            from (select * from {in_nudges} where delivery_status = 'escalated'
+                  qualify row_number() over (partition by draft_id order by nudge_id desc) = 1) n
+            where n.user_id not in (select user_id from {in_pii})""",
         "ta_briefings": _ta_rows(),
         "outbox": f"""
             select n.draft_id, n.user_id, n.subject, p.email as to_address,
@@ -517,8 +531,8 @@ def _queries() -> dict[str, str]:
             from {{o_wishes}} where flag_type = 'late_sub' and coalesce(wanted, 'a') <> 'z'""",
         "variant_rejects": """
             select o_orderkey, flag_type, wanted,
-                   case when flag_type = 'unknown_kind' then 'No templates found for flag_type: unknown_kind'
-                        else 'Unknown variant ''z'' for late_sub' end as reject_reason
+                   case when flag_type = 'unknown_kind' then 'no variants of kind unknown_kind'
+                        else 'kind late_sub has no variant z' end as reject_reason
             from {o_wishes} where flag_type = 'unknown_kind' or wanted = 'z'""",
         "late_notices": f"""
             select user_id, assignment_id, variant_id, {_late_text()} as rendered_template

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from studylantern.config import ALERT_TYPE, DEFAULT, NAME_PLACEHOLDER, TA_TEMPLATE, Config
 from studylantern.functions import digest_uuid, fill, fixed, moment, stable_bucket, text_to_html
+from studylantern.operators.lifecycle import one_outcome
 from studylantern.operators.drafts import EVENT_COLUMNS, SPECIFIC, event_row, learner_context, message_fields
 from studylantern.operators.skew import join_facts
 
@@ -25,7 +26,7 @@ def outbox(approved: DataFrame, pii: DataFrame, override: str | None = None) ->
         )
     people = pii.select("user_id", "email", "full_name", F.lit(True).alias("on_file"))
     absent = F.col("on_file").isNull()
-    reason = F.concat(F.lit("No PII on file for user_id="), F.col("user_id").cast("string"), F.lit("; cannot send"))
+    reason = F.concat(F.lit("no contact details stored for learner "), F.col("user_id").cast("string"))
     return approved.join(people, "user_id", "left").select(
         "draft_id",
         "user_id",
@@ -49,20 +50,21 @@ def ta_briefings(
 
     ``escalated`` holds the ``escalated`` event rows of this batch and
     ``outcomes`` the send results by original ``draft_id``. Each briefing is a
-    new draft that passes pending_review and approved, then sent or failed.
+    new draft that passes pending_review and approved, then sent or failed. An
+    escalation whose learner has no user row is returned among the failures.
     """
     ids = ("draft_id", "user_id", "flag_code", "reviewer_id", "review_notes")
     named = escalated.select(*ids)
-    failure = named.select("draft_id", "user_id", F.lit("TA_EMAIL is not set; cannot escalate").alias("failure_reason"))
     ready = bool(recipient_list(cfg.ta_recipients))
-    if ready:
-        failure = failure.limit(0)
-    else:
+    unknown = F.concat(F.lit("no user row for learner "), F.coalesce(F.col("user_id").cast("string"), F.lit("(no id)")))
+    reason = unknown if ready else F.lit("Config.ta_recipients is empty")
+    lost = named.join(users.select("user_id"), "user_id", "left_anti") if ready else named
+    failure = lost.select("draft_id", "user_id", reason.alias("failure_reason"))
+    if not ready:
         named = named.limit(0)
 
-    context = learner_context(users, signals, enrollments).select("user_id", F.struct(*SPECIFIC).alias("specific"))
-    results = outcomes.select("draft_id", "ok", "message_id", "error")
-    briefed = join_facts(named.join(results, "draft_id", "left"), context, ["user_id"])
+    context = learner_context(users, signals, enrollments, named).select("user_id", F.struct(*SPECIFIC).alias("specific"))
+    briefed = join_facts(named.join(one_outcome(outcomes), "draft_id", "left"), context, ["user_id"])
     learner = F.col("user_id").cast("string")
     fields = {
         **message_fields(cfg),
@@ -70,7 +72,7 @@ def ta_briefings(
         "escalation.student_user_id": learner,
         "escalation.flag_code": F.coalesce(F.nullif(F.col("flag_code"), F.lit("")), F.lit("unknown")),
         "escalation.reviewer_id": F.coalesce("reviewer_id", F.lit("None")),
-        "escalation.reviewer_notes": F.coalesce(F.nullif(F.col("review_notes"), F.lit("")), F.lit("(no note provided)")),
+        "escalation.reviewer_notes": F.coalesce(F.nullif(F.col("review_notes"), F.lit("")), F.lit("none given")),
     }
     flag = F.coalesce(F.nullif(F.col("flag_code"), F.lit("")), F.lit("—"))
     briefed = (
@@ -130,10 +132,10 @@ def assign_variant(
     # the size of an absent list is null, and so is the pick
     picked = F.get(letters, stable_bucket(F.col(key).cast("string"), F.array_size(letters)))
     problem = F.when(
-        letters.isNull(), F.concat(F.lit("No templates found for flag_type: "), F.coalesce(F.col(kind), F.lit("None")))
+        letters.isNull(), F.concat(F.lit("no variants of kind "), F.coalesce(F.col(kind), F.lit("(none)")))
     ).when(
         ~F.array_contains(letters, F.col("variant_id")),
-        F.concat(F.lit("Unknown variant '"), F.col("variant_id"), F.lit("' for "), F.col(kind)),
+        F.concat(F.lit("kind "), F.col(kind), F.lit(" has no variant "), F.col("variant_id")),
     )
     judged = df.withColumn("variant_id", F.coalesce(wanted, picked)).withColumn("reject_reason", problem)
     return (

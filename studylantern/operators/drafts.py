@@ -40,16 +40,22 @@ def flags_without_drafts(flag_events: DataFrame, nudge_events: DataFrame) -> Dat
 
 def route_flags(candidates: DataFrame, routes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates with template, type and severity; candidates whose code has no route)."""
-    table = F.broadcast(route_dim(candidates.sparkSession) if routes is None else routes)
+    table = F.broadcast(route_dim(candidates.sparkSession)) if routes is None else routes  # only the constant has a known size
     return candidates.join(table, "flag_code"), candidates.join(table, "flag_code", "left_anti")
 
 
-def learner_context(users: DataFrame, signals: DataFrame, enrollments: DataFrame) -> DataFrame:
+def learner_context(users: DataFrame, signals: DataFrame, enrollments: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """One row per learner with everything a message may mention, defaults filled in.
 
+    With ``only`` the three frames are cut to the learners named there before
+    they are aggregated and joined.
+
     ``avg_days_late`` is unsigned even for early learners. The two ``_text``
     columns are the printed numbers: an absent value prints as a bare 0.
     """
+    if only is not None:
+        named = only.select("user_id").distinct()
+        users, signals, enrollments = (df.join(named, "user_id", "left_semi") for df in (users, signals, enrollments))
     avg = F.abs("avg_days_from_deadline")
     score = F.col("current_score")
 
@@ -68,7 +74,7 @@ def learner_context(users: DataFrame, signals: DataFrame, enrollments: DataFrame
             F.coalesce(py_round(avg, 1), F.lit(0.0)).alias("avg_days_late"),
             F.coalesce("total_submissions", F.lit(0)).alias("submission_count"),
             F.coalesce(py_round(score, 1), F.lit(0.0)).alias("current_score"),
-            F.coalesce(F.nullif(F.col("gate_name"), F.lit("")), F.lit("the upcoming assessment")).alias("gate_name"),
+            F.coalesce(F.nullif(F.col("gate_name"), F.lit("")), F.lit("your next gate")).alias("gate_name"),
             F.coalesce("days_until_gate", F.lit(0)).alias("days_to_gate"),
             F.coalesce(F.nullif(F.col("timing_trend"), F.lit("")), F.lit("unknown")).alias("timing_trend"),
             printed(avg).alias("avg_days_late_text"),
@@ -89,7 +95,7 @@ def nudge_context(candidates: DataFrame, users: DataFrame, signals: DataFrame, e
     The learner side is complete before the join, so the candidates take part
     in exactly one join, one whose hot partitions Spark can split.
     """
-    context = learner_context(users, signals, enrollments).select("user_id", F.struct(*SPECIFIC).alias("specific"))
+    context = learner_context(users, signals, enrollments, candidates).select("user_id", F.struct(*SPECIFIC).alias("specific"))
     return join_facts(candidates, context, ["user_id"])
 
 

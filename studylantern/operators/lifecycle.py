@@ -79,13 +79,20 @@ def _draft_verdicts(nudge_events: DataFrame, decisions: DataFrame, cfg: Config)
     return verdict.withColumn("accepted_id", F.when(accepted, F.col("first.decision_id")))
 
 
+def one_outcome(outcomes: DataFrame) -> DataFrame:
+    """One send result per draft, however often it was reported: a success before a failure, then by message id and error."""
+    order = F.struct((~F.coalesce("ok", F.lit(False))).alias("worse"), "message_id", "error", "ok")
+    best = outcomes.filter(F.col("draft_id").isNotNull()).groupBy("draft_id").agg(F.min(order).alias("best"))
+    return best.select("draft_id", *[F.col(f"best.{c}").alias(c) for c in ("ok", "message_id", "error")])
+
+
 def _with_send_result(accepted: DataFrame, outcomes: DataFrame, pii: DataFrame) -> DataFrame:
     """Send result of approved drafts: ``sent``, ``failed`` or null while none is known."""
-    reported = outcomes.select("draft_id", "ok", "message_id", "error")
+    reported = one_outcome(outcomes)
     on_file = pii.select("user_id", F.lit(True).alias("has_pii"))
     joined = accepted.join(reported, "draft_id", "left").join(on_file, "user_id", "left")
     approving = F.col("first.action") == "approve"
-    unknown_recipient = F.concat(F.lit("No PII on file for user_id="), F.col("user_id").cast("string"), F.lit("; cannot send"))
+    unknown_recipient = F.concat(F.lit("no contact details stored for learner "), F.col("user_id").cast("string"))
     return joined.withColumn(
         "send_status",
         F.when(approving & F.col("has_pii").isNull(), "failed").when(approving & F.col("ok"), "sent").when(
@@ -121,13 +128,34 @@ def apply_decisions(
 
     Per draft the first usable decision by (decided_at, decision_id) is taken
     if the draft is pending. Approval writes ``approved`` and then ``sent`` or
-    ``failed``; without a reported outcome the draft stays ``approved``.
+    ``failed``; without a reported outcome the draft stays ``approved`` until
+    ``record_outcomes`` gets one.
     """
     verdicts = _draft_verdicts(nudge_events, decisions, cfg)
     sent = _with_send_result(verdicts.filter(F.col("accepted_id").isNotNull()), outcomes, pii)
     return _decision_rows(sent, as_of), _rejects(verdicts, decisions, sent, cfg)
 
 
+def record_outcomes(nudge_events: DataFrame, outcomes: DataFrame, as_of=None) -> DataFrame:
+    """Event rows ``sent`` or ``failed`` for the drafts and briefings whose newest state is ``approved``.
+
+    Mail leaves after the approval, so results usually arrive in a later batch.
+    Drafts in another state, and results without ``ok``, are passed over, so a
+    result reported twice is recorded once.
+    """
+    known = one_outcome(outcomes.filter(F.col("ok").isNotNull()))
+    narrow = nudge_events.select("draft_id", "nudge_id", "created_at", "delivery_status", "reviewer_id", *DRAFT_FIELDS)
+    state = latest_state(narrow.join(known.select("draft_id"), "draft_id", "left_semi"))
+    now, is_sent = moment(as_of), F.col("ok")
+    finished = event_row(
+        draft_id=F.col("draft_id"), **{n: F.col(n) for n in DRAFT_FIELDS}, delivery_status=F.when(is_sent, "sent").otherwise("failed"),
+        reviewer_id=F.col("reviewer_id"), review_notes=F.when(~is_sent, F.col("error")),
+        provider_message_id=F.when(is_sent, F.col("message_id")), delivered_at=F.when(is_sent, now), created_at=now, step=F.lit(0),
+    )
+    waiting = state.filter(F.col("delivery_status") == "approved").join(known, "draft_id")
+    return waiting.select(F.struct(*finished).alias("row")).select("row.*").select(*EVENT_COLUMNS)
+
+
 def _rejects(verdicts: DataFrame, decisions: DataFrame, sent: DataFrame, cfg: Config) -> DataFrame:
     after = F.coalesce(
         "send_status",
@@ -140,10 +168,9 @@ def _rejects(verdicts: DataFrame, decisions: DataFrame, sent: DataFrame, cfg: Co
         "draft_id", "accepted_id", F.coalesce("state_after", "delivery_status").alias("state"), F.lit(True).alias("known")
     )
     wrong_state = F.concat(
-        F.lit("Draft "), F.col("draft_id"), F.lit(" is in state '"), F.col("state"), F.lit("', can only "),
-        F.col("action"), F.lit(" a pending_review draft"),
+        F.col("action"), F.lit(" needs a pending draft, but "), F.col("draft_id"), F.lit(" is "), F.col("state"),
     )
-    missing = F.concat(F.lit("Draft "), F.coalesce("draft_id", F.lit("None")), F.lit(" not found"))
+    missing = F.concat(F.lit("the log holds no draft "), F.coalesce("draft_id", F.lit("(no id)")))
     problem = (
         F.when(_input_problem(cfg).isNotNull(), _input_problem(cfg))
         .when(F.col("known").isNull(), missing)

@@ -74,6 +74,12 @@ def rule_for(table: str) -> MergeRule:
     return MERGE_RULES[table]
 
 
+def split_keyless(incoming: DataFrame, rule: MergeRule) -> tuple[DataFrame, DataFrame]:
+    """(rows to merge, rows that lack a key). Keys that the rule calls nullable may be absent."""
+    lacking = _any_null(tuple(k for k in rule.keys if k not in rule.nullable_keys))
+    return incoming.filter(~lacking), incoming.filter(lacking)
+
+
 def settle_batch(incoming: DataFrame, rule: MergeRule, ordinal: str) -> DataFrame:
     """One row per key: updated columns from the last arrival, insert-only columns from the first.
 

@@ -2,7 +2,7 @@
 
 Every step reads committed tables and commits its own output, so a lost
 executor costs a task, a lost job costs one step, and a repeated step gives
-the same tables: snapshots replace, log batches are keyed by the batch name.
+the same tables: snapshots replace, committed log batches stay.
 """
 
 from __future__ import annotations
@@ -31,6 +31,14 @@ def _counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
     return seen.get["n"]
 
 
+def _appended(df: DataFrame, base: str, name: str, batch: str) -> int:
+    """Append a batch to a log, or find it there; returns its row count."""
+    spark = df.sparkSession
+    if batch in tables.batches(spark, base, name):
+        return spark.read.parquet(f"{base}/{name}/batch={batch}").count()
+    return _counted(df, lambda rows: tables.append(rows, base, name, batch))
+
+
 def seed_gates(spark: SparkSession, base: str, gates: DataFrame | None = None) -> int:
     """Add missing gates by name, then keep the lowest id per name."""
     stored = tables.load(spark, base, "gate_calendar")
@@ -58,12 +66,28 @@ def _rows(spark: SparkSession, feed: DataFrame, name: str, base: str, as_of, cfg
     return tables.with_ids(feeds.activity_from_feed(feed), "activity_id", tables.highest_id(stored, "activity_id"))
 
 
-def ingest_feed(spark: SparkSession, landing: str, base: str, name: str, as_of=None, cfg: Config = DEFAULT) -> int:
-    """Merge one landed feed into its table; returns the table's row count."""
-    feed = feeds.read_feed(spark, f"{landing}/{name}", FEEDS[name])
-    incoming = _rows(spark, feed, name, base, as_of, cfg)
-    merged = merge.upsert(tables.load(spark, base, name), incoming, merge.rule_for(name), feeds.ORDINAL)
-    return _counted(tables.conform(merged, name), lambda df: tables.replace(df, base, name))
+def ingest_feed(
+    spark: SparkSession, landing: str, base: str, name: str, as_of=None, cfg: Config = DEFAULT, batch: str = "manual"
+) -> tuple[int, int]:
+    """Merge one landed feed into its table; returns the records merged and those rejected.
+
+    Pages that cannot be read and records without a key go to the
+    ``feed_rejects`` log, never into the table.
+    """
+    feed, broken = feeds.read_pages(spark, f"{landing}/{name}", FEEDS[name])
+    rule = merge.rule_for(name)
+    incoming, keyless = merge.split_keyless(_rows(spark, feed, name, base, as_of, cfg), rule)
+    text = F.to_json(F.struct(*[c for c in keyless.columns if c != feeds.ORDINAL]))
+    rejects = broken.select(F.lit(name).alias("feed"), F.lit("unreadable page").alias("reason"), "page", "record", "parsed").unionByName(
+        keyless.select(F.lit(name).alias("feed"), F.lit("no key").alias("reason"), F.lit(None).cast("string").alias("page"), text.alias("record"), F.lit(None).cast("string").alias("parsed"))
+    )
+    n_rejects = _appended(tables.conform(rejects, "feed_rejects"), base, "feed_rejects", f"{batch}-{name}")
+    seen = Observation()
+    merged = merge.upsert(
+        tables.load(spark, base, name), incoming.observe(seen, F.count(F.lit(1)).alias("n")), rule, feeds.ORDINAL
+    )
+    tables.replace(tables.conform(merged, name), base, name)
+    return seen.get["n"], n_rejects
 
 
 def refresh_signals(spark: SparkSession, base: str, as_of=None, cfg: Config = DEFAULT) -> int:
@@ -78,24 +102,24 @@ def refresh_signals(spark: SparkSession, base: str, as_of=None, cfg: Config = DE
 
 
 def raise_flags(spark: SparkSession, base: str, batch: str, as_of=None, cfg: Config = DEFAULT) -> int:
-    """Append the new flags as one batch. A repeated batch is computed against the other batches only."""
+    """Append the new flags as one batch; a batch that is committed already stays as it is."""
     known = tables.load_log(spark, base, "flag_events", except_batch=batch)
     new = flags.run_flags(
         tables.load(spark, base, "student_risk_signals"), tables.load(spark, base, "enrollments"), known, as_of, cfg
     )
     rows = tables.conform(tables.with_ids(new, "flag_id", tables.highest_id(known, "flag_id")), "flag_events")
-    return _counted(rows, lambda df: tables.append(df, base, "flag_events", batch))
+    return _appended(rows, base, "flag_events", batch)
 
 
 def write_drafts(spark: SparkSession, base: str, batch: str, as_of=None, cfg: Config = DEFAULT) -> int:
-    """Append pending drafts for the open flags that have none."""
+    """Append pending drafts for the open flags that have none; a committed batch stays as it is."""
     known = tables.load_log(spark, base, "nudge_events", except_batch=batch)
     new = drafts.generate_drafts(
         tables.load_log(spark, base, "flag_events"), known, tables.load(spark, base, "users"),
         tables.load(spark, base, "student_risk_signals"), tables.load(spark, base, "enrollments"), as_of, cfg,
     )
     rows = tables.conform(tables.with_ids(new, "nudge_id", tables.highest_id(known, "nudge_id")), "nudge_events")
-    return _counted(rows, lambda df: tables.append(df, base, "nudge_events", batch))
+    return _appended(rows, base, "nudge_events", batch)
 
 
 def run_nightly(
@@ -106,20 +130,23 @@ def run_nightly(
     batch = f"run-{run_id:09d}"
     started = _clock(spark)
     counts: dict[str, int] = {}
+    rejected: dict[str, int] = {}
+    # rejects of a repeated run are those of what it read then
+    attempt = f"{batch}-{sum(b.startswith(batch) for b in tables.batches(spark, base, 'feed_rejects'))}"
     try:
         counts["gate_calendar"] = seed_gates(spark, base)
         for name in FEED_STEPS:
-            counts[name] = ingest_feed(spark, landing, base, name, as_of, cfg)
+            counts[name], rejected[name] = ingest_feed(spark, landing, base, name, as_of, cfg, attempt)
         counts["student_risk_signals"] = refresh_signals(spark, base, as_of, cfg)
         counts["flag_events"] = raise_flags(spark, base, batch, as_of, cfg)
         counts["nudge_events"] = write_drafts(spark, base, batch, as_of, cfg)
     except Exception as error:
-        row = runlog.run_row(spark, run_id, started, _clock(spark), "failed", str(error)[:1000], counts, cfg)
+        row = runlog.run_row(spark, run_id, started, _clock(spark), "failed", str(error), counts, cfg)
         tables.append(row, base, "sync_runs", batch)
         raise
     row = runlog.run_row(spark, run_id, started, _clock(spark), "success", None, counts, cfg)
     tables.append(row, base, "sync_runs", batch)
-    return counts
+    return counts | {"feed_rejects": sum(rejected.values())}
 
 
 def _clock(spark: SparkSession):
@@ -131,8 +158,9 @@ def record_reviews(
 ) -> DataFrame:
     """Append the rows of one batch of decisions and its hand-over briefings; returns the rejected decisions.
 
-    ``decisions`` and ``outcomes`` should be stored tables: they are read again
-    when the returned frame is evaluated.
+    Send results of drafts that were approved in an earlier batch are recorded
+    too. ``decisions`` and ``outcomes`` should be stored tables: they are read
+    again when the returned frame is evaluated.
     """
     known = tables.load_log(spark, base, "nudge_events", except_batch=batch)
     users, risk, courses = (tables.load(spark, base, n) for n in ("users", "student_risk_signals", "enrollments"))
@@ -140,7 +168,8 @@ def record_reviews(
     handed_over = rows.filter(F.col("delivery_status") == "escalated")
     briefings, unbriefed = delivery.ta_briefings(handed_over, users, risk, courses, outcomes, as_of, cfg)
     # one row per event, rows of one draft adjacent and in step order
-    numbered = tables.with_ids(rows.unionByName(briefings), "nudge_id", tables.highest_id(known, "nudge_id"), "step", 3)
+    late = lifecycle.record_outcomes(known, outcomes, as_of)
+    numbered = tables.with_ids(rows.unionByName(briefings).unionByName(late), "nudge_id", tables.highest_id(known, "nudge_id"), "step", 3)
     tables.append(tables.conform(numbered, "nudge_events"), base, "nudge_events", batch)
     failed = unbriefed.select(
         F.lit(None).cast("long").alias("decision_id"), "draft_id", F.lit("escalate").alias("action"),

@@ -28,6 +28,7 @@ _TABLES: dict[str, str] = {
                  "error_message string, courses_synced int, users_synced int, enrollments_synced int, "
                  "assignments_synced int, submissions_synced int, quizzes_synced int, quiz_submissions_synced int, "
                  "student_summaries_synced int",
+    "feed_rejects": "feed string, reason string, page string, record string, parsed string",
     "gate_calendar": "gate_id long, gate_name string, week_number int, gate_date date, description string",
     "student_summaries": "user_id long, page_views int, max_page_views int, participations int, "
                          "max_participations int, tardiness_on_time int, tardiness_late int, "

@@ -16,21 +16,45 @@ from studylantern.functions import bool_int, days_between, first_truthy, iso_tim
 ORDINAL = "ordinal"
 
 
-def read_feed(spark: SparkSession, path: str, schema: str, page_per_line: bool = False) -> DataFrame:
-    """Records of the JSON pages under ``path``: a page is a list of records or one record.
+RAW = "_unreadable"
+
+
+def _natural(text: Column) -> Column:
+    """Text in which runs of digits sort by their number: page_2 before page_10."""
+    return F.regexp_replace(F.regexp_replace(text, "([0-9]+)", "0" * 20 + "$1"), "0*([0-9]{20})(?![0-9])", "$1")
+
+
+def read_pages(spark: SparkSession, path: str, schema: str, page_per_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of the JSON pages under ``path``: a page is a list of records or one record.
+
+    A page that cannot be parsed to its end, such as a truncated one, is among
+    the rejects with its whole text (``page``, ``record``); what the parser
+    read of it before the fault (``parsed``) is not used.
 
     By default one file is one page; such files are small by nature and Spark
     packs many into a task. Bulk history is better landed with one page per
-    line, which lets Spark split files of any size. Pages rank by file name and
-    position in the file, records by their position in the page.
+    line, which lets Spark split files of any size. Pages rank by file name, with
+    numbers in it by value, and position in the file, records by their position
+    in the page.
     """
-    pages = spark.read.schema(schema).option("multiLine", not page_per_line).json(path)
+    reader = spark.read.schema(f"{schema}, {RAW} string").option("columnNameOfCorruptRecord", RAW)
+    pages = reader.option("multiLine", not page_per_line).json(path)
+    named = [c for c in pages.columns if c != RAW]
     order = F.struct(
+        _natural(F.col("_metadata.file_path")).alias("rank"),
         F.col("_metadata.file_path").alias("page"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("position"),
     )
-    return pages.withColumn(ORDINAL, order)
+    records = pages.filter(F.col(RAW).isNull()).withColumn(ORDINAL, order).drop(RAW)
+    # Spark wants a parsed column beside the raw one
+    broken = pages.select(F.col("_metadata.file_path").alias("page"), F.col(RAW).alias("record"), F.to_json(F.struct(*named)).alias("parsed"))
+    return records, broken.filter(F.col("record").isNotNull()).groupBy("page", "record").agg(F.max("parsed").alias("parsed"))
+
+
+def read_feed(spark: SparkSession, path: str, schema: str, page_per_line: bool = False) -> DataFrame:
+    """The records of ``read_pages``."""
+    return read_pages(spark, path, schema, page_per_line)[0]
 
 
 def exclude_test_user(df: DataFrame, id_col: str, cfg: Config = DEFAULT) -> DataFrame:
@@ -66,7 +90,7 @@ def users_from_feed(feed: DataFrame, as_of=None, cfg: Config = DEFAULT) -> DataF
 def assignments_from_feed(feed: DataFrame, deadlines: DataFrame, as_of=None, cfg: Config = DEFAULT) -> DataFrame:
     """``deadlines``: the constant (assignment_id, due_at_roadmap) dimension."""
     planned = feed.join(
-        F.broadcast(deadlines.withColumnRenamed("assignment_id", "planned_id")), F.col("id") == F.col("planned_id"), "left"
+        deadlines.withColumnRenamed("assignment_id", "planned_id"), F.col("id") == F.col("planned_id"), "left"
     )
     return _finish(
         planned,
@@ -182,9 +206,10 @@ def quiz_submissions_from_feed(feed: DataFrame, as_of=None, cfg: Config = DEFAUL
 
 
 def activity_from_feed(feed: DataFrame) -> DataFrame:
+    """Views per day. A text that is no plain date gives a row without key, which the merge rejects."""
     return _finish(
         require_keys(feed, "date"),
-        F.substring("date", 1, 10).try_cast("date").alias("activity_date"),
+        F.when(F.col("date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("date").try_cast("date")).alias("activity_date"),
         F.col("views"),
         F.col("participations"),
     )

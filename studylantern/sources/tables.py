@@ -3,8 +3,9 @@
 A snapshot write goes to a fresh ``v=N`` folder, never to the folder being
 read, and becomes visible only through the committer's ``_SUCCESS`` marker: a
 job that loses its executors half way leaves the previous version in force. A
-log batch has its own folder, so repeating a batch replaces it instead of
-duplicating its rows; frames loaded before that must be loaded again.
+log batch has its own folder and counts only with that marker as well. A
+committed batch is never written again, so a log only grows: a repeated batch
+finds its rows there, and later batches that name them stay right.
 """
 
 from __future__ import annotations
@@ -30,10 +31,14 @@ def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
     return found
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+def batches(spark: SparkSession, base: str, name: str) -> list[str]:
+    """Committed batches of a log."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(folder) and any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(folder))
+    if not fs.exists(folder):
+        return []
+    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("batch=")]
+    return sorted(p.getName()[6:] for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
 def _empty(spark: SparkSession, name: str) -> DataFrame:
@@ -57,18 +62,17 @@ def replace(df: DataFrame, base: str, name: str) -> None:
 
 
 def load_log(spark: SparkSession, base: str, name: str, except_batch: str | None = None) -> DataFrame:
-    """All batches of an append-only log, or all but the one being repeated (pruned by folder)."""
-    path = f"{base}/{name}"
-    if not _has_files(spark, path):
+    """All committed batches of an append-only log, or all but the one being repeated."""
+    folders = [f"{base}/{name}/batch={b}" for b in batches(spark, base, name) if b != except_batch]
+    if not folders:
         return _empty(spark, name)
-    log = spark.read.schema(TABLES[name] + ", batch string").parquet(path)
-    if except_batch is not None:
-        log = log.filter(F.col("batch") != except_batch)
-    return log.drop("batch")
+    return spark.read.schema(TABLES[name]).parquet(*folders)
 
 
 def append(df: DataFrame, base: str, name: str, batch: str) -> None:
-    """Add one batch to a log; writing the same batch again replaces it."""
+    """Add one batch to a log. A committed batch stays as it is; what a lost job left of one is replaced."""
+    if batch in batches(df.sparkSession, base, name):
+        return
     df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
 
 

@@ -7,8 +7,10 @@ import pytest
 
 import __spark_entry__ as contract
 from studylantern.catalog.inputs import TABLE_NAMES
+from studylantern.catalog.queries import REGISTRY
+from studylantern.catalog.reference_sql import statements
 
-QUERIES, REFERENCE = contract.queries(), contract.oracle_sql()
+QUERIES, REFERENCE = {k: v for k, v in contract.queries().items() if k in REGISTRY}, statements()
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +22,8 @@ def duck(data_dir):
 
 
 def test_every_query_has_reference_sql():
-    assert QUERIES.keys() == REFERENCE.keys()
-    assert "pipeline" not in QUERIES
+    assert QUERIES.keys() == REFERENCE.keys() == REGISTRY.keys()
+    assert all(contract.oracle_sql()[name] == text for name, text in REFERENCE.items())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

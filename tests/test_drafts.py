@@ -54,7 +54,7 @@ def test_context_defaults_and_signs(spark, table):
     rows = {r.user_id: r.specific.asDict() for r in got.collect()}
     assert rows[1] == dict(
         days_inactive=0, days_since_login=0, avg_days_late=0.0, submission_count=0, current_score=0.0,
-        gate_name="the upcoming assessment", days_to_gate=0, timing_trend="unknown", avg_days_late_text="0", current_score_text="0",
+        gate_name="your next gate", days_to_gate=0, timing_trend="unknown", avg_days_late_text="0", current_score_text="0",
     )
     assert (rows[2]["avg_days_late"], rows[2]["avg_days_late_text"], rows[2]["current_score_text"]) == (6.2, "6.2", "71.2")
     assert 3 not in rows  # no user row
@@ -75,7 +75,7 @@ def test_every_route_renders(generate):
 def test_own_wording_and_its_validation(generate):
     cfg = replace(DEFAULT, templates={("reengagement", None): "{{ severity }} {{ specific.days_inactive }}"}, subjects={})
     row = generate([flag(1, "R1: x")], cfg=cfg).first()
-    assert (row.rendered_template, row.subject) == ("red 0", "Math Foundations check-in (reengagement)")
+    assert (row.rendered_template, row.subject) == ("red 0", "[Math Foundations] News (reengagement)")
     with pytest.raises(ValueError, match="missing"):
         generate([flag(1, "R1: x")], cfg=replace(DEFAULT, templates={("reengagement", None): "{{ specific.missing }}"}))
 

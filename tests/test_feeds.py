@@ -84,6 +84,18 @@ def test_quiz_pages_wrapped_or_bare(landed):
     assert rows == {1: 40, 2: 40, 3: 41}
 
 
+def test_pages_rank_by_number(spark, tmp_path):
+    for n in (2, 10):
+        (tmp_path / f"page_{n}.json").write_text(json.dumps([{"id": 1, "email": f"from{n}@x"}]), encoding="utf-8")
+    rows = feeds.users_from_feed(feeds.read_feed(spark, str(tmp_path), FEEDS["users"]))
+    assert [r.email for r in rows.orderBy(feeds.ORDINAL).collect()] == ["from2@x", "from10@x"]
+
+
+def test_dates_that_are_no_plain_dates_have_no_key(landed):
+    feed = landed("course_activity", [{"date": "2024-01-03T05:00:00Z", "views": 4}, {"date": "soon", "views": 1}])
+    assert [r.activity_date for r in feeds.activity_from_feed(feed).collect()] == [None, None]
+
+
 def test_activity_skips_rows_without_date(landed):
     feed = landed("course_activity", [{"date": "2024-01-03", "views": 4, "participations": 1}, {"views": 1}, {"date": "", "views": 1}])
     assert [(str(r.activity_date), r.views) for r in feeds.activity_from_feed(feed).collect()] == [("2024-01-03", 4)]

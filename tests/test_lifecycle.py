@@ -42,7 +42,7 @@ def test_every_decision_in_every_state(decide, state, action, result):
     if state == "pending_review":
         assert written == [("d", 0, result)] and rejects == {}
     else:
-        assert written == [] and rejects == {0: f"Draft d is in state '{state}', can only {action} a pending_review draft"}
+        assert written == [] and rejects == {0: f"{action} needs a pending draft, but d is {state}"}
 
 
 def test_approve_sends_or_fails(decide):
@@ -61,7 +61,7 @@ def test_approve_sends_or_fails(decide):
 def test_approve_without_pii_fails(decide):
     written, _, rows = decide([event(1, "d", "pending_review")], [("d", "approve", None)], [("d", True, "m", None)], pii=())
     assert written == [("d", 0, "approved"), ("d", 1, "failed")]
-    assert rows.filter("step = 1").first().review_notes == "No PII on file for user_id=1; cannot send"
+    assert rows.filter("step = 1").first().review_notes == "no contact details stored for learner 1"
 
 
 def test_first_valid_decision_wins_and_the_rest_is_rejected(decide):
@@ -72,8 +72,8 @@ def test_first_valid_decision_wins_and_the_rest_is_rejected(decide):
     assert written == [("d", 0, "rejected")]
     assert rejects == {
         0: "note needs at least 10 characters",
-        2: "Draft d is in state 'rejected', can only approve a pending_review draft",
-        3: "Draft x not found",
+        2: "approve needs a pending draft, but d is rejected",
+        3: "the log holds no draft x",
         4: "unknown action",
     }
 
@@ -110,15 +110,42 @@ def test_briefing_passes_three_states(brief):
     got = sorted(rows.collect(), key=lambda r: r.step)
     assert [r.delivery_status for r in got] == ["pending_review", "approved", "sent"] and failed.count() == 0
     assert len({r.draft_id for r in got}) == 1 and got[0].draft_id != "d"
-    assert got[0].subject == "Escalation: Student 1 needs follow-up (flag R1)" and got[0].nudge_type == "escalation_alert"
-    assert "Note: (no note provided)" in got[0].rendered_template and "Student 1" in got[0].html_body
+    assert got[0].subject == "[hand-over] learner 1, rule R1" and got[0].nudge_type == "escalation_alert"
+    assert "What they wrote: none given" in got[0].rendered_template and "Student 1" in got[0].html_body
     assert got[0].reviewer_id is None and got[1].reviewer_id == "rev"
     assert delivery.recipient_list("a@x, ,b@x") == "a@x, b@x"
 
 
 def test_briefing_without_recipients(brief):
     rows, failed = brief(" , ", [])
-    assert rows.count() == 0 and failed.first().failure_reason == "TA_EMAIL is not set; cannot escalate"
+    assert rows.count() == 0 and failed.first().failure_reason == "Config.ta_recipients is empty"
+
+
+def test_briefing_without_a_user_row(spark, table, decide):
+    _, _, rows = decide([event(1, "d", "pending_review", user_id=7)], [("d", "escalate", None)])
+    got, failed = delivery.ta_briefings(
+        rows.filter("delivery_status = 'escalated'"), table("users", dict(user_id=1)), table("student_risk_signals"),
+        table("enrollments"), spark.createDataFrame([], OUTCOME), AS_OF, replace(DEFAULT, ta_recipients="a@x"),
+    )
+    assert got.count() == 0 and [tuple(r) for r in failed.collect()] == [("d", 7, "no user row for learner 7")]
+
+
+def test_outcomes_after_the_approval_and_reported_twice(spark, table):
+    log = table("nudge_events", event(1, "a", "pending_review"), event(2, "a", "approved"), event(3, "b", "approved"), event(4, "c", "sent"), event(5, "e", "approved"))
+    outcomes = spark.createDataFrame(
+        [("a", True, "m1", None), ("a", True, "m1", None), ("a", False, None, "late"), ("b", False, None, "full"), ("c", True, "m3", None), ("e", None, None, None), (None, True, "m", None)], OUTCOME
+    )
+    got = {r.draft_id: (r.delivery_status, r.provider_message_id, r.review_notes) for r in lifecycle.record_outcomes(log, outcomes, AS_OF).collect()}
+    assert got == {"a": ("sent", "m1", None), "b": ("failed", None, "full")}
+    assert lifecycle.record_outcomes(log.filter("draft_id <> 'a'").limit(0), outcomes).count() == 0
+
+
+def test_a_repeated_outcome_writes_one_pair_of_events(spark, table, decide):
+    pii = table("student_pii", dict(user_id=1, full_name="Ann", email="ann@x"))
+    decisions = spark.createDataFrame([(1, "d", "approve", "rev", None, None)], "decision_id long, draft_id string, action string, reviewer_id string, notes string, decided_at timestamp")
+    outcomes = spark.createDataFrame([("d", True, "m", None)] * 3, OUTCOME)
+    rows, rejects = lifecycle.apply_decisions(table("nudge_events", event(1, "d", "pending_review")), decisions, outcomes, pii, AS_OF)
+    assert sorted(r.delivery_status for r in rows.collect()) == ["approved", "sent"] and rejects.count() == 0
 
 
 def test_outbox(spark, table):
@@ -126,7 +153,7 @@ def test_outbox(spark, table):
     pii = table("student_pii", dict(user_id=1, full_name="Ann", email="ann@x"))
     got = {r.draft_id: r for r in delivery.outbox(approved, pii).collect()}
     assert (got["a"].to_address, got["a"].html, got["a"].failure_reason) == ("ann@x", "<p>Ann</p>", None)
-    assert got["b"].to_address is None and got["b"].failure_reason == "No PII on file for user_id=2; cannot send"
+    assert got["b"].to_address is None and got["b"].failure_reason == "no contact details stored for learner 2"
     override = delivery.outbox(approved, pii, "ta@x").filter("draft_id = 'b'").first()
     assert (override.to_address, override.html) == ("ta@x", "<p>___LEARNER_NAME___</p>")
 
@@ -140,7 +167,7 @@ def test_variants(spark):
     got = [(r.k, r.variant_id) for r in good.orderBy("k").collect()]
     assert got[0] == got[1] and got[2] == ("k2", "b") and len(got) == 3
     assert {r.k: r.reject_reason for r in bad.collect()} == {
-        "k3": "Unknown variant 'q' for late_sub", "k4": "No templates found for flag_type: other",
+        "k3": "kind late_sub has no variant q", "k4": "no variants of kind other",
     }
 
 

@@ -51,7 +51,7 @@ def test_night_and_review(spark, landing, tmp_path):
     assert counts["flag_events"] == 6 and counts["nudge_events"] == 6
     assert flags.select("flag_id").distinct().count() == 6
 
-    # repeating the same run replaces its batches; the next run finds nothing new
+    # repeating the same run keeps its batches; the next run finds nothing new
     again = nightly.run_nightly(spark, str(landing), base, 1, AS_OF, CFG)
     assert again == counts and tables.load_log(spark, base, "flag_events").count() == 6
     assert tables.load_log(spark, base, "nudge_events").count() == 6
@@ -86,6 +86,47 @@ def test_night_and_review(spark, landing, tmp_path):
     assert {r.draft_id for r in queue.collect()} == {drafts[1, "Y3"], drafts[1, "Y4"]}
 
 
+def test_a_repeated_batch_keeps_the_log_and_its_ids(spark, landing, tmp_path):
+    base = str(tmp_path / "store")
+    nightly.run_nightly(spark, str(landing), base, 1, AS_OF, CFG)
+    first = tables.load_log(spark, base, "nudge_events").orderBy("nudge_id").collect()
+    decisions = spark.createDataFrame(
+        [(1, first[0].draft_id, "reject", "rev", "not needed any more")],
+        "decision_id long, draft_id string, action string, reviewer_id string, notes string",
+    ).withColumn("decided_at", F.lit(AS_OF).cast("timestamp"))
+    none = spark.createDataFrame([], "draft_id string, ok boolean, message_id string, error string")
+    nightly.record_reviews(spark, base, decisions, none, "review-1", AS_OF, CFG)
+    nightly.write_drafts(spark, base, "run-000000001", AS_OF, CFG)
+    nightly.raise_flags(spark, base, "run-000000001", AS_OF, CFG)
+    log = tables.load_log(spark, base, "nudge_events").orderBy("nudge_id").collect()
+    assert log[: len(first)] == first and [r.delivery_status for r in log if r.draft_id == first[0].draft_id] == ["pending_review", "rejected"]
+
+
+def test_unreadable_pages_and_keyless_records_are_reported(spark, landing, tmp_path):
+    base = str(tmp_path / "store")
+    (landing / "users" / "page-0002.json").write_text('[{"id": 5, "email": "u5@x"}, {"id": 6,', encoding="utf-8")
+    land(landing, "quizzes", [{"id": None, "title": "none"}, {"id": 40, "title": "Q"}])
+    for run in (1, 2, 3):
+        counts = nightly.run_nightly(spark, str(landing), base, run, AS_OF, CFG)
+        assert counts["feed_rejects"] == 2 and counts["users"] == 4 and counts["quizzes"] == 1
+        assert tables.load(spark, base, "quizzes").count() == 1 and tables.load(spark, base, "users").count() == 4
+    rejects = tables.load_log(spark, base, "feed_rejects").collect()
+    assert len(rejects) == 6 and {(r.feed, r.reason) for r in rejects} == {("users", "unreadable page"), ("quizzes", "no key")}
+    assert any('{"id": 6,' in r.record for r in rejects)
+
+
+def test_a_log_batch_without_marker_does_not_count(spark, tmp_path):
+    base = str(tmp_path / "store")
+    row = tables.conform(spark.createDataFrame([(1,)], "flag_id long"), "flag_events")
+    tables.append(row, base, "flag_events", "a")
+    tables.append(row, base, "flag_events", "b")
+    (tmp_path / "store" / "flag_events" / "batch=b" / "_SUCCESS").unlink()
+    assert tables.batches(spark, base, "flag_events") == ["a"] and tables.load_log(spark, base, "flag_events").count() == 1
+    tables.append(row, base, "flag_events", "b")
+    tables.append(row.union(row), base, "flag_events", "b")
+    assert tables.load_log(spark, base, "flag_events").count() == 2
+
+
 def test_failed_run_is_logged_and_keeps_committed_steps(spark, landing, tmp_path):
     base = str(tmp_path / "store")
     (landing / "submissions" / "page-0001.json").rename(landing / "elsewhere.json")
