@@ -6,7 +6,7 @@ ln a = ln c - r (t - b + 1). The term with the lowest bid, together with t, is t
 with the probability of their generalised Jaccard similarity, sum of minima over sum of maxima of the weights.
 
 A bid and 29 bits that name (term, t) are packed into one long, so a sample is a minimum of longs: whole-stage code, pre-
-aggregated by hash. The samples come in chunks of 16, a row for each, which keeps the generated methods small enough to be
+aggregated by hash. The samples come in chunks of 4, a row for each, which keeps the generated methods small enough to be
 compiled.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from studylantern.llm.common import parts, settle, total
 
-SAMPLES, CHUNK = 64, 16
+SAMPLES, CHUNK = 64, 4
 #: Documents of neighbouring ids in one group of the window that finds the next document.
 GROUP_BITS = 6
 #: Text that one task samples, about.
@@ -30,17 +30,18 @@ def uniforms(x: Column) -> tuple[Column, Column]:
     return (F.shiftrightunsigned(x, 32) + 0.5) * 2.0**-32, (x.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * 2.0**-32
 
 
-def bids(term: Column, number: Column, *weights: Column) -> list[Column]:
-    """For each weight the packed bid of a term in sample `number`; null where the weight is 0."""
-    r = -F.log(_product(F.xxhash64(term, number, F.lit(1))))
-    c = F.log(-F.log(_product(F.xxhash64(term, number, F.lit(2)))))
-    b = uniforms(F.xxhash64(term, number, F.lit(3)))[0]
-    out = []
-    for w in weights:
-        t = F.floor(F.log(w.cast("double")) / r + b)
-        bid = F.floor((c - r * (t - b + 1) + 128.0) * 2.0**26)
-        out.append(F.when(w > 0, F.shiftleft(bid, 29).bitwiseOR(F.xxhash64(term, number, t).bitwiseAND(F.lit((1 << 29) - 1)))))
-    return out
+def draws(term: Column, number: Column) -> list[Column]:
+    """What a term draws for sample `number` whatever its weight: r, ln c, b and 29 bits that name the term."""
+    own = F.xxhash64(term, number, F.lit(3))
+    r, c = (-F.log(_product(F.xxhash64(term, number, F.lit(k)))) for k in (1, 2))
+    return [r, F.log(c), uniforms(own)[0], own.bitwiseAND(F.lit((1 << 29) - 1))]
+
+
+def bid(r: Column, c: Column, b: Column, name: Column, log_weight: Column) -> Column:
+    """The packed bid of a term with that weight; null where the weight is 0 and its logarithm null."""
+    t = F.floor(log_weight / r + b)
+    low = F.floor((c - r * (t - b + 1) + 128.0) * 2.0**26)
+    return F.shiftleft(low, 29).bitwiseOR(name.bitwiseXOR((t * 0x9E3779B1).bitwiseAND(F.lit((1 << 29) - 1))))
 
 
 def _product(x: Column) -> Column:
@@ -108,12 +109,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - cut as int))"), F.expr("substring(next_text, 1, cast(cut as int))"))
     rows = rows.withColumn("edited_text", edited)
     facts = rows.select("group", "place", "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"))
-    chunks = term_weights(rows).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // CHUNK - 1))))
-    lows = []
-    for k in range(CHUNK):
-        w, v = bids(F.col("term"), F.col("chunk") * CHUNK + k, F.col("w"), F.col("v"))
-        lows += [F.min(w).alias(f"w{k}"), F.min(v).alias(f"v{k}")]
-    samples = chunks.groupBy("group", "place", "chunk").agg(*lows)
+    weights = term_weights(rows).withColumn("w", F.log(F.nullif("w", F.lit(0)))).withColumn("v", F.log(F.nullif("v", F.lit(0))))
+    chunks = weights.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // CHUNK - 1))))
+    drawn = chunks.select("group", "place", "chunk", "w", "v", *(x.alias(f"{n}{k}") for k in range(CHUNK) for n, x in zip("rcbn", draws(F.col("term"), F.col("chunk") * CHUNK + k), strict=True)))
+    lows = [F.min(bid(*(F.col(f"{n}{k}") for n in "rcbn"), F.col(x))).alias(f"{x}{k}") for k in range(CHUNK) for x in "wv"]
+    samples = drawn.groupBy("group", "place", "chunk").agg(*lows)
     digits = lambda c: F.array(*(F.xxhash64(f"{c}{k}").bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(CHUNK)))
     signed = samples.select("group", "place", "chunk", digits("w").alias("w"), digits("v").alias("v"))
     signed = signed.withColumn("after", F.lead("w").over(Window.partitionBy("group", "chunk").orderBy("place")))
