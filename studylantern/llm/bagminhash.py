@@ -8,7 +8,8 @@ register with the probability of their weighted Jaccard similarity, sum of minim
 processes run only until its last register is filled and no earlier time can follow.
 
 Registers are banded. Documents with equal words are one node. In each bucket of a band a leader is compared with the
-other nodes, for some rounds with another leader each, and what is linked becomes one component. At last all
+other nodes: first the node that meets most others over all bands, which is the original of a group of edited copies, then
+another one. What is linked becomes one component. At last all
 pairs within a bucket that still lie in different components are compared. Each comparison is exact: overlap of
 both multisets. So a group of thousands of copies costs one comparison a copy, and no link that a bucket
 shows is lost between components.
@@ -136,8 +137,8 @@ def overlaps(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 keep[i] = both >= least * (counts.sum() + often.sum() - both) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    second = pairs.join(texts.selectExpr("content AS b", "text AS y"), "b")
-    return second.join(texts.selectExpr("content AS a", "text AS x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    second = pairs.join(texts.selectExpr("content AS b", "text AS y").hint("merge"), "b")
+    return second.join(texts.selectExpr("content AS a", "text AS x").hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,15 +151,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     rows = settle(sketches(docs, id_col, text_col), "sketches")
     nodes = rows.filter("n > 0").groupBy("content").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     members = settle(nodes.select("content", "n", F.explode("bands").alias("band")), "bands")
-    buckets = members.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-    members = settle(members.join(settle(buckets, "buckets"), "band"), "members")
-    subjects = with_content(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))).join(settle(members.select("content").distinct(), "subjects"), "content", "left_semi")
+    buckets = members.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")
+    members = settle(members.join(settle(buckets, "buckets").hint("merge"), "band"), "members")
+    degrees = settle(members.groupBy("content").agg(F.sum("k").alias("degree")), "degrees")
+    members = settle(members.drop("k").join(degrees.hint("merge"), "content"), "members")
+    subjects = with_content(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))).join(degrees.select("content").hint("merge"), "content", "left_semi")
     texts = settle(subjects.groupBy("content").agg(F.first("text").alias("text")), "texts")
     near = (F.col("n") >= similarity * F.col("n2")) & (F.col("n2") >= similarity * F.col("n"))
     links, labelled = None, members.withColumn("component", F.col("content"))
     for turn in range(LEADER_ROUNDS + 1):
         if turn < LEADER_ROUNDS:
-            order = F.struct(F.xxhash64("content", F.lit(turn)).alias("h"), "content", "n", "component")
+            first = -F.col("degree") if turn == 0 else F.xxhash64("content", F.lit(turn))
+            order = F.struct(first.alias("h"), "content", "n", "component")
             leaders = settle(labelled.groupBy("band").agg(F.min(order).alias("x")).select("band", F.col("x.content").alias("a"), F.col("x.n").alias("n2"), F.col("x.component").alias("c2")), "leaders")
             pairs = labelled.join(leaders, "band").filter((F.col("component") != F.col("c2")) & near).select("a", F.col("content").alias("b"))
         else:
@@ -171,7 +175,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         links = found if links is None else links.union(found)
         joined = components(links)
         labels = joined.selectExpr("node AS content", "component AS c")
-        labelled = members.join(labels, "content", "left").select("band", "content", "n", F.coalesce("c", "content").alias("component"))
+        labelled = members.join(labels, "content", "left").select("band", "content", "n", "degree", F.coalesce("c", "content").alias("component"))
         if turn < LEADER_ROUNDS:  # buckets of one component are done
             labelled = settle(labelled, "labelled")
             mixed = labelled.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").drop("mixed")
