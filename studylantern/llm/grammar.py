@@ -22,9 +22,9 @@ from studylantern.llm.bpe import WordEncoder, worker_encoder
 from studylantern.llm.common import parts, shared_folder
 
 #: Ids gathered in a block; a longer document has a block of its own.
-BLOCK_IDS = 1_000_000
-#: Rounds of replacement, and how often a pair must be replaced to get a rule.
-ROUNDS, LEAST = 6, 4
+BLOCK_IDS = 500_000
+#: Rounds of replacement at most, how often a pair must be replaced to get a rule, and the table of pairs.
+ROUNDS, LEAST, SLOT_BITS = 6, 4, 18
 TERMINALS = 1 << 16
 END_ID = 1
 BLOCK_SCHEMA = (
@@ -36,38 +36,42 @@ BLOCK_SCHEMA = (
 def compress(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols; rule k stands for TERMINALS + k), symbols, and for each symbol whether it ends a document.
 
-    In a round, all pairs that occur `least` times compete by count; of overlapping occurrences the more frequent pair,
-    then the left one, is replaced.
+    In a round, pairs are counted by a hash slot, which stands for one pair of those that fall into it; all that occur
+    `least` times compete by count, and of overlapping occurrences the more frequent pair, then the left one, is replaced.
+    So a round takes a few passes over the symbols and no sort.
     """
     symbols, last, rules = ids.astype(np.int64), last.copy(), np.zeros((0, 2), np.int64)
     for _ in range(rounds):
-        if len(symbols) < 2 * least:
+        at = np.flatnonzero(~last[:-1])
+        if len(at) < least:
             break
-        pair = (symbols[:-1] << 32) | symbols[1:]
-        slot = ((pair * np.int64(0x2545F4914F6CDD1D)) >> np.int64(43)) & np.int64(0x1FFFFF)
-        at = np.flatnonzero((np.bincount(slot, minlength=1)[slot] >= least) & ~last[:-1])
-        distinct, which, count = np.unique(pair[at], return_inverse=True, return_counts=True)
-        order = np.lexsort((distinct, -count))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order), 0, -1)
-        weight = np.zeros(len(symbols) + 1, np.int64)
-        weight[at + 1] = np.where(count[which] >= least, rank[which], 0)
-        mine = weight[at + 1]
-        beyond = np.append(weight, 0)[at + 2]
-        won = (mine > 0) & (mine > weight[at]) & (mine >= beyond)
-        often = np.bincount(which[won], minlength=len(distinct))
-        keep = often >= least
+        pair = (symbols[at] << 32) | symbols[at + 1]
+        slot = ((pair * np.int64(0x2545F4914F6CDD1D)) >> np.int64(63 - SLOT_BITS)) & np.int64((1 << SLOT_BITS) - 1)
+        owner = np.zeros(1 << SLOT_BITS, np.int64)
+        owner[slot] = pair
+        mine = owner[slot] == pair
+        at, slot = at[mine], slot[mine]
+        count = np.bincount(slot, minlength=1 << SLOT_BITS)
+        often = count[slot]
+        frequent = often >= least
+        at, slot = at[frequent], slot[frequent]
+        weight = np.zeros(len(symbols) + 2, np.int64)
+        weight[at + 1] = (often[frequent] << SLOT_BITS) | slot
+        won = (weight[at + 1] > weight[at]) & (weight[at + 1] >= weight[at + 2])
+        keep = np.bincount(slot[won], minlength=1 << SLOT_BITS) >= least
         if not keep.any():
             break
         number = np.cumsum(keep) - 1 + TERMINALS + len(rules)
-        won &= keep[which]
+        won &= keep[slot]
         here = at[won]
-        symbols[here] = number[which[won]]
+        symbols[here] = number[slot[won]]
         last[here] = last[here + 1]
         stay = np.ones(len(symbols), bool)
         stay[here + 1] = False
-        symbols, last = symbols[stay], last[stay]
-        rules = np.vstack([rules, np.column_stack([distinct[keep] >> 32, distinct[keep] & 0xFFFFFFFF])])
+        before, symbols, last = len(symbols), symbols[stay], last[stay]
+        rules = np.vstack([rules, np.column_stack([owner[keep] >> 32, owner[keep] & 0xFFFFFFFF])])
+        if before - len(symbols) < before // 100:  # the next round would save still less
+            break
     return rules, symbols, last
 
 
