@@ -31,7 +31,7 @@ from studylantern.llm.common import in_slices, parts, settle, total, utf8
 from studylantern.llm.hashing import BYTE_HASH, WORD_BASE, Windows
 from studylantern.llm.phrases import SHARD_BYTES, by_shard, lowest, shards_of
 
-WIDTH, GRAM = 100, 16
+WIDTH, GRAM = 100, 32
 SLICE_BYTES = 2_000_000
 #: Bytes of a merge group and of a shard within it, about.
 GROUP_BYTES, LEAF_BYTES = 1_000_000, 128_000
