@@ -12,8 +12,11 @@ Bytes covered by a string of `width` bytes that also starts earlier are removed;
    After `width` passes the intervals that never parted are the repeated strings; no suffixes are sorted again.
 3. In each interval the earliest start stays; the spans of the others are removed from their documents.
 
-Blocks of an anchor with very many kinds are cut by the bytes around the anchor that all their strings share, so that
-one frequent phrase in a third of all documents does not land in one group.
+Blocks of an anchor with very many kinds are cut, and a cut goes by its core, the bytes around the anchor that all its
+strings share. Equal cuts are collapsed to the earliest as whole blocks are. A core with one kind of cut left holds no
+other repeat; one with very many kinds still is compared string by string, by 128-bit hashes that are pre-aggregated. So
+a merge group holds about GROUP_BYTES and at most MANY_KINDS kinds of an anchor or core, also where a third of all
+documents share a passage, whatever surrounds it.
 """
 
 from __future__ import annotations
@@ -171,8 +174,8 @@ def repeated_starts(texts: list[bytes], rank: list[tuple], strings: list[int], w
     return out
 
 
-def pieces(keyed: DataFrame, examples: DataFrame, shards: int, groups: int, width: int) -> DataFrame:
-    """The bytes of example blocks (anchor, doc_id, k, first, n, at, many), whole or cut, and the merge group of each."""
+def pieces(keyed: DataFrame, examples: DataFrame, shards: int, width: int) -> DataFrame:
+    """The bytes of example blocks (anchor, doc_id, k, first, n, at, many): whole ones by their anchor, cuts by the hash of their core and with a digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for asks, docs in shards_of(batches):
@@ -185,20 +188,47 @@ def pieces(keyed: DataFrame, examples: DataFrame, shards: int, groups: int, widt
                 raw, rows = text.as_py().encode(), []
                 for doc_id, anchor, first, n, at, many in wanted.pop(k):
                     if not many:
-                        rows.append((anchor % groups, doc_id, k, first, n, raw[first : first + n + width - 1]))
+                        rows.append((anchor, None, doc_id, k, first, n, raw[first : first + n + width - 1]))
                         continue
                     p, s = first + at, first
                     while s < first + n:  # strings whose distance to the anchor lies in one range of CUT
                         j = (p - s) // CUT
                         stop = min(first + n, p - j * CUT + 1)
                         core = raw[p - j * CUT : p - j * CUT - CUT + 1 + width]
-                        own = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=j.to_bytes(4, "little")).digest(), "little")
-                        rows.append((own % groups, doc_id, k, s, stop - s, raw[s : stop + width - 1]))
+                        own = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=j.to_bytes(4, "little")).digest(), "little", signed=True)
+                        piece = raw[s : stop + width - 1]
+                        rows.append((own, hashlib.blake2b(piece, digest_size=16).digest(), doc_id, k, s, stop - s, piece))
                         s = stop
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["group", "doc_id", "k", "first", "n", "bytes"])
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["core", "digest", "doc_id", "k", "first", "n", "bytes"])
 
-    return by_shard(keyed, examples, shards).mapInArrow(run, "group long, doc_id long, k long, first int, n int, bytes binary")
+    return by_shard(keyed, examples, shards).mapInArrow(run, "core long, digest binary, doc_id long, k long, first int, n int, bytes binary")
+
+
+def collapsed(made: DataFrame, width: int, many_kinds: int) -> tuple[DataFrame, int, DataFrame]:
+    """What is left of pieces to be merged (group and more), its number of groups, and the spans (k, lo, hi) that are settled without a merge.
+
+    Equal cuts hold equal strings, so all but the earliest are spans. Equal strings have equal cores, so a core with one
+    kind of cut needs no merge, and the strings of a core with very many kinds are compared among themselves.
+    """
+    place = [F.col("doc_id").isNotNull().alias("known"), "doc_id", "k", "first"]
+    cuts = made.filter("digest IS NOT NULL")
+    kinds = cuts.groupBy("core", "digest").agg(F.min(F.struct(*place, "n", "bytes")).alias("x"), F.count("*").alias("c"))
+    kinds = settle(kinds.select("core", "digest", "c", "x.doc_id", "x.k", "x.first", "x.n", "x.bytes"), "cuts")
+    cores = kinds.groupBy("core").agg(F.count("*").alias("c"), F.sum(F.octet_length("bytes")).alias("size")).filter("c > 1")
+    cores = settle(cores.select("core", "size", (F.col("c") > many_kinds).alias("many")), "cores")
+    copies = cuts.select("core", "digest", "k", "first", "n").join(kinds.filter("c > 1").select("core", "digest", F.col("k").alias("k1"), F.col("first").alias("first1")), ["core", "digest"]).filter("k <> k1 OR first <> first1")
+    done = copies.select("k", F.col("first").cast("long").alias("lo"), (F.col("first") + F.col("n") + width - 1).cast("long").alias("hi"))
+    each = kinds.join(cores.filter("many").select("core"), "core").select("doc_id", "k", "first", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    strings = settle(each.select("doc_id", "k", (F.col("first") + F.col("i")).alias("first"), F.unhex(F.md5(F.substring("bytes", F.col("i") + 1, F.lit(width)))).alias("string")), "strings")
+    earliest = settle(strings.groupBy("string").agg(F.min(F.struct(*place)).alias("x"), F.count("*").alias("c")).filter("c > 1").select("string", F.col("x.k").alias("k1"), F.col("x.first").alias("first1")), "earliest")
+    again = strings.join(earliest, "string").filter("k <> k1 OR first <> first1")
+    done = done.union(again.select("k", F.col("first").cast("long").alias("lo"), (F.col("first") + width).cast("long").alias("hi")))
+    few = cores.filter("NOT many")
+    whole = made.filter("digest IS NULL")
+    groups = max(1, (total(whole, F.octet_length("bytes")) + total(few, "size")) // GROUP_BYTES)
+    columns = [F.pmod("core", F.lit(groups)).alias("group"), "doc_id", "k", "first", "n", "bytes"]
+    return whole.select(*columns).union(kinds.join(few.select("core"), "core").select(*columns)), groups, done
 
 
 def merged_spans(cut: DataFrame, groups: int, width: int) -> DataFrame:
@@ -247,12 +277,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     kinds = settle(every.groupBy("anchor", "block").agg(F.min(place).alias("x"), F.count("*").alias("c")), "kinds")
     mixed = settle(kinds.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor", (F.col("c") > many_kinds).alias("many")), "mixed")
     examples = settle(kinds.join(mixed, "anchor").select("anchor", "x.doc_id", "x.k", "x.first", "x.n", "x.at", "many"), "examples")
-    size = total(examples, F.when(F.col("many"), (F.col("n") / CUT + 1) * (width + CUT)).otherwise(F.col("n") + width))
-    groups = max(1, size // GROUP_BYTES)
-    cut = settle(pieces(keyed.drop("doc_id"), examples, shards, groups, width), "pieces")
+    left, groups, done = collapsed(settle(pieces(keyed.drop("doc_id"), examples, shards, width), "pieces"), width, many_kinds)
     copies = every.join(kinds.filter("c > 1").select("block", F.col("anchor").alias("a"), F.col("x.k").alias("k1"), F.col("x.first").alias("first1")), "block").filter("anchor = a AND (k <> k1 OR first <> first1)")
     copied = copies.select("k", F.col("first").cast("long").alias("lo"), (F.col("first") + F.col("n") + width - 1).cast("long").alias("hi"))
-    spans = settle(merged_spans(cut, groups, width).union(copied), "spans")
+    spans = settle(merged_spans(left, groups, width).union(done).union(copied), "spans")
     added = [T.StructField("b_bytes", T.LongType()), T.StructField("b_removed", T.LongType()), T.StructField("b_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("b_kept", T.BinaryType())]
     schema = T.StructType([T.StructField("row", docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType), *added])
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from studylantern.llm import bwt, queries
 
@@ -80,3 +81,22 @@ def test_merged_order_and_prefixes():
         assert len(short) == sum(len(t) + 1 for t in texts) and short == sorted(short)
         common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert prefix.tolist()[1:] == [common(a, b) for a, b in zip(short, short[1:], strict=False)], trial
+
+
+@pytest.mark.parametrize("length", [92, 150])
+def test_a_passage_in_most_documents_fills_no_merge_group(spark, monkeypatch, length):
+    """Every document holds the passage between words of its own: no block is equal to another, and all share their core."""
+    rng, sizes, merged = random.Random(length), [], bwt.merged_spans
+    word = lambda n, letters="abcdefghij ": "".join(rng.choice(letters) for _ in range(n))
+    passage = word(length)
+    docs = [(i or None, word(rng.randrange(40)) + word(3, "abc") + passage + word(3, "abc") + word(60)) for i in range(300)]
+
+    def watched(cut, *rest):
+        sizes.append(cut.groupBy("group").agg(F.sum(F.octet_length("bytes")).alias("size")).agg(F.max("size")).first()[0] or 0)
+        return merged(cut, *rest)
+
+    monkeypatch.setattr(bwt, "merged_spans", watched)
+    monkeypatch.setattr(bwt, "GROUP_BYTES", 4000)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got_bytes(frame, gram=16, many_kinds=20) == expected_bytes(docs, 100)
+    assert 0 < max(sizes) < 12_000
