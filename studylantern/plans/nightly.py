@@ -39,6 +39,11 @@ def _appended(df: DataFrame, base: str, name: str, batch: str) -> int:
     return _counted(df, lambda rows: tables.append(rows, base, name, batch))
 
 
+def _attempt(spark: SparkSession, base: str, batch: str) -> str:
+    """A name for the rejects of one attempt: numbered by the committed batches of those before."""
+    return f"{batch}-{sum(b.startswith(batch) for b in tables.batches(spark, base, 'feed_rejects'))}"
+
+
 def seed_gates(spark: SparkSession, base: str, gates: DataFrame | None = None) -> int:
     """Add missing gates by name, then keep the lowest id per name."""
     stored = tables.load(spark, base, "gate_calendar")
@@ -67,13 +72,16 @@ def _rows(spark: SparkSession, feed: DataFrame, name: str, base: str, as_of, cfg
 
 
 def ingest_feed(
-    spark: SparkSession, landing: str, base: str, name: str, as_of=None, cfg: Config = DEFAULT, batch: str = "manual"
+    spark: SparkSession, landing: str, base: str, name: str, as_of=None, cfg: Config = DEFAULT, batch: str | None = None
 ) -> tuple[int, int]:
     """Merge one landed feed into its table; returns the records merged and those rejected.
 
     Pages that cannot be read and records without a key go to the
-    ``feed_rejects`` log, never into the table.
+    ``feed_rejects`` log, never into the table. Each call without ``batch`` has
+    a log batch of its own; with one, a committed batch stays as it is.
     """
+    if batch is None:
+        batch = _attempt(spark, base, "manual")
     feed, broken = feeds.read_pages(spark, f"{landing}/{name}", FEEDS[name])
     rule = merge.rule_for(name)
     incoming, keyless = merge.split_keyless(_rows(spark, feed, name, base, as_of, cfg), rule)
@@ -132,7 +140,7 @@ def run_nightly(
     counts: dict[str, int] = {}
     rejected: dict[str, int] = {}
     # rejects of a repeated run are those of what it read then
-    attempt = f"{batch}-{sum(b.startswith(batch) for b in tables.batches(spark, base, 'feed_rejects'))}"
+    attempt = _attempt(spark, base, batch)
     try:
         counts["gate_calendar"] = seed_gates(spark, base)
         for name in FEED_STEPS:

@@ -115,6 +115,16 @@ def test_unreadable_pages_and_keyless_records_are_reported(spark, landing, tmp_p
     assert any('{"id": 6,' in r.record for r in rejects)
 
 
+def test_direct_calls_of_ingest_feed_keep_all_rejects(spark, landing, tmp_path):
+    base, page = str(tmp_path / "store"), landing / "users" / "page-0002.json"
+    assert nightly.ingest_feed(spark, str(landing), base, "users", AS_OF, CFG) == (4, 0)
+    for text, n in (('[{"id": 7, "ema', 1), ('[{"email": "nobody@x"}, {"email": "none@x"}]', 2)):
+        page.write_text(text, encoding="utf-8")
+        assert nightly.ingest_feed(spark, str(landing), base, "users", AS_OF, CFG)[1] == n
+    reasons = [r.reason for r in tables.load_log(spark, base, "feed_rejects").collect()]
+    assert sorted(reasons) == ["no key", "no key", "unreadable page"]
+
+
 def test_a_log_batch_without_marker_does_not_count(spark, tmp_path):
     base = str(tmp_path / "store")
     row = tables.conform(spark.createDataFrame([(1,)], "flag_id long"), "flag_events")
