@@ -1,7 +1,7 @@
 """Token-id files compressed by a grammar (operator 6).
 
 A file row is a block of documents in ascending order of their ids: within the block, the frequent pairs of adjacent
-symbols are replaced by nonterminals, round after round. The row holds the rules, each nonterminal's expansion length,
+symbols are replaced by nonterminals, round after round, until none is frequent. The row holds the rules, each nonterminal's expansion length,
 the remaining symbols, and the first symbol of each document. Pairs never span documents, so one document is decoded
 from its own symbols and the rules alone.
 """
@@ -23,8 +23,8 @@ from studylantern.llm.common import parts, shared_folder
 
 #: Ids gathered in a block; a longer document has a block of its own.
 BLOCK_IDS = 500_000
-#: Rounds of replacement at most, how often a pair must be replaced to get a rule, and the table of pairs.
-ROUNDS, LEAST, SLOT_BITS = 6, 4, 18
+#: How often a pair must be replaced to get a rule, and the table that sorts out rare pairs.
+LEAST, SLOT_BITS = 4, 18
 TERMINALS = 1 << 16
 END_ID = 1
 BLOCK_SCHEMA = (
@@ -33,46 +33,49 @@ BLOCK_SCHEMA = (
 )
 
 
-def compress(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols; rule k stands for TERMINALS + k), symbols, and for each symbol whether it ends a document.
 
-    In a round, pairs are counted by a hash slot, which stands for one pair of those that fall into it; all that occur
-    `least` times compete by count, and of overlapping occurrences the more frequent pair, then the left one, is replaced.
-    So a round takes a few passes over the symbols and no sort.
+    In a round, all pairs that occur `least` times without overlapping themselves compete by count, and of overlapping
+    occurrences the more frequent pair is replaced. The most frequent pair is replaced wherever it occurs, so the rounds
+    end when no pair occurs `least` times. Pairs are counted exactly; a table of hash slots, whose counts are at least
+    those of their pairs, only keeps rare pairs out of the sort.
     """
-    symbols, last, rules = ids.astype(np.int64), last.copy(), np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
+    symbols, last, rules, made = ids.astype(np.int64), last.copy(), [np.zeros((0, 2), np.int64)], 0
+    while True:
         at = np.flatnonzero(~last[:-1])
         if len(at) < least:
             break
         pair = (symbols[at] << 32) | symbols[at + 1]
+        follows = np.flatnonzero((pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)) + 1
+        if len(follows):  # in a run of one symbol every other occurrence counts
+            run = np.cumsum(np.concatenate(([0], np.diff(follows) != 1)))
+            head = follows[np.concatenate(([True], run[1:] != run[:-1]))]
+            odd = follows[(follows - head[run]) % 2 == 0]
+            at, pair = np.delete(at, odd), np.delete(pair, odd)
         slot = ((pair * np.int64(0x2545F4914F6CDD1D)) >> np.int64(63 - SLOT_BITS)) & np.int64((1 << SLOT_BITS) - 1)
-        owner = np.zeros(1 << SLOT_BITS, np.int64)
-        owner[slot] = pair
-        mine = owner[slot] == pair
-        at, slot = at[mine], slot[mine]
-        count = np.bincount(slot, minlength=1 << SLOT_BITS)
-        often = count[slot]
-        frequent = often >= least
-        at, slot = at[frequent], slot[frequent]
+        maybe = np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= least
+        at = at[maybe]
+        distinct, which, count = np.unique(pair[maybe], return_inverse=True, return_counts=True)
+        frequent = count[which] >= least
+        at, which = at[frequent], which[frequent]
         weight = np.zeros(len(symbols) + 2, np.int64)
-        weight[at + 1] = (often[frequent] << SLOT_BITS) | slot
-        won = (weight[at + 1] > weight[at]) & (weight[at + 1] >= weight[at + 2])
-        keep = np.bincount(slot[won], minlength=1 << SLOT_BITS) >= least
+        weight[at + 1] = (count[which] << 32) | which
+        won = (weight[at + 1] > weight[at]) & (weight[at + 1] > weight[at + 2])
+        keep = np.bincount(which[won], minlength=len(distinct)) >= least
         if not keep.any():
             break
-        number = np.cumsum(keep) - 1 + TERMINALS + len(rules)
-        won &= keep[slot]
+        number = np.cumsum(keep) - 1 + TERMINALS + made
+        won &= keep[which]
         here = at[won]
-        symbols[here] = number[slot[won]]
+        symbols[here] = number[which[won]]
         last[here] = last[here + 1]
         stay = np.ones(len(symbols), bool)
         stay[here + 1] = False
-        before, symbols, last = len(symbols), symbols[stay], last[stay]
-        rules = np.vstack([rules, np.column_stack([owner[keep] >> 32, owner[keep] & 0xFFFFFFFF])])
-        if before - len(symbols) < before // 100:  # the next round would save still less
-            break
-    return rules, symbols, last
+        symbols, last = symbols[stay], last[stay]
+        rules.append(np.column_stack([distinct[keep] >> 32, distinct[keep] & 0xFFFFFFFF]))
+        made += len(rules[-1])
+    return np.concatenate(rules), symbols, last
 
 
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:

@@ -130,6 +130,22 @@ def test_grammar_round_trip():
         assert n < 5000 or kinds > 3 or len(symbols) < n / 3
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(5)
+    phrase = rng.integers(0, 40_000, 300)
+    for ids in (rng.integers(0, 300, 60_000), rng.zipf(1.3, 60_000) % 40_000, np.tile(phrase, 50), np.zeros(50_001, np.int64), np.repeat(rng.integers(0, 9, 2000), rng.integers(1, 9, 2000))):
+        last = rng.random(len(ids)) < 0.001
+        last[-1] = True
+        rules, symbols, ends = grammar.compress(ids, last)
+        assert (grammar.expand(symbols, rules) == ids).all()
+        found, before = Counter(), None
+        for a, b, end in zip(symbols.tolist(), symbols[1:].tolist(), ends[:-1].tolist(), strict=False):
+            before = None if end or before == (a, b) else (a, b)  # an occurrence that overlaps the one before does not count
+            if before:
+                found[before] += 1
+        assert max(found.values(), default=0) < grammar.LEAST
+
+
 def test_op6_over_the_table(spark, sf):
     library, want, start = Tokenizer.from_file(WORD), [], 0
     for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
