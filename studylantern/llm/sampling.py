@@ -64,10 +64,15 @@ def successors(keys: DataFrame, levels: int = 4) -> DataFrame:
 def with_next(docs: DataFrame, n: int) -> DataFrame:
     """Groups of neighbouring documents in descending order of id: group, place, doc_id, text, next_text, and whether the row ends its group.
 
-    The next document after the last is the first. Rows without an id come last (the smallest long stands for none); rows of equal id follow each other by
-    their texts' hash. Texts are shuffled once, by group; the document that follows a group, one in 64, once more.
+    The next document after the last is the first. Rows without an id come last; they and rows of equal id follow each other by
+    their texts' hash. Rows without an id are grouped by the high bits of that hash, as many as give about 64 rows a group;
+    the same text without an id stays in one group. Texts are shuffled once, by group; the document that follows a group, one
+    in 64, once more.
     """
-    rows = docs.select("text", F.coalesce("doc_id", F.lit(-(2**63))).alias("o")).withColumn("group", F.shiftright("o", GROUP_BITS))  # the same columns in each use, so that the exchange of texts is shared
+    bits = max(1, (total(docs, F.col("doc_id").isNull().cast("int")) >> GROUP_BITS).bit_length())
+    nameless = F.lit(-(2**58)) - F.shiftright(F.xxhash64("text"), 64 - bits)  # descending as the hash ascends, below all groups of ids
+    group = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.shiftright("doc_id", GROUP_BITS))
+    rows = docs.select("text", F.coalesce("doc_id", F.lit(-(2**63))).alias("o"), group.alias("group"))  # the same columns in each use, so that the exchange of texts is shared
     tops = settle(rows.groupBy("group").agg(F.max("o").alias("top")), "tops")
     ends = tops.agg(F.min("group"), F.max("group")).first()
     following = successors(tops.select(F.col("group").alias("key"))).select(F.col("key").alias("group"), F.coalesce("next", F.lit(ends[0])).alias("before"))
@@ -75,7 +80,7 @@ def with_next(docs: DataFrame, n: int) -> DataFrame:
     dealt = rows.repartition(n, "group")
     order = Window.partitionBy("group").orderBy(F.col("o").desc(), F.xxhash64("text"))
     placed = dealt.select(
-        "group", F.expr("nullif(o, -9223372036854775808L)").alias("doc_id"), "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("inner_text"), F.lead(F.lit(1)).over(order).isNull().alias("ends")
+        "group", F.when(F.col("group") >= -(2**57), F.col("o")).alias("doc_id"), "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("inner_text"), F.lead(F.lit(1)).over(order).isNull().alias("ends")
     )
     tails = dealt.join(heads, "group").filter("o = top").groupBy("before").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
     tails = tails.select(F.col("before").alias("group"), F.col("x.text").alias("tail_text"))

@@ -62,6 +62,17 @@ def test_op3_sparse_ids_and_odd_texts(spark):
     assert repeated.count() == 27 and repeated.filter("doc_id IS NULL").count() == 9
 
 
+def test_rows_without_an_id_spread_over_groups(spark):
+    ids = [5, 70, -(2**63)]
+    docs = spark.createDataFrame([*((i, f"own {i}") for i in ids), *((None, f"text {i}") for i in range(3000))], "doc_id long, text string")
+    rows = sampling.with_next(docs, 4).select("group", "doc_id", "text", "next_text").collect()
+    assert max(Counter(r["group"] for r in rows).values()) < 400
+    nameless = [r["text"] for r in docs.filter("doc_id IS NULL").orderBy(F.xxhash64("text")).collect()]
+    chain = [(i, f"own {i}") for i in sorted(ids, reverse=True)] + [(None, t) for t in nameless]
+    want = {(*a, b[1]) for a, b in zip(chain, [*chain[1:], chain[0]], strict=True)}
+    assert {(r["doc_id"], r["text"], r["next_text"]) for r in rows} == want and len(rows) == len(want)
+
+
 def test_successors(spark):
     keys = sorted({*range(0, 30_000, 7), -5, -(2**57), 2**57, 2**30, 2**30 + 1})
     got = {r["key"]: r["next"] for r in sampling.successors(spark.createDataFrame([(k,) for k in keys], "key long")).collect()}
