@@ -8,14 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one of this session."""
+    """The folder of spark.checkpoint.dir; where it is unset on one machine (tests) a temporary one of this session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         folder = tempfile.mkdtemp(prefix="studylantern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -43,6 +45,27 @@ def total(df: DataFrame, column) -> int:
     return df.agg(F.coalesce(F.sum(column), F.lit(0)).cast("long")).first()[0]
 
 
+def ranked(df: DataFrame, order: list[Column], group: list[str] | None = None) -> DataFrame:
+    """df with `rank`: 0, 1, 2 ... in the given order, in each group of the columns `group` anew (they lead the order), and `rank_of`, the group's rows.
+
+    No group and no rank passes one task whole: rows are dealt by ranges of the order, numbered within their range, and shifted
+    by the rows of the ranges before. Rows equal in all of `order` are dealt by a row number of their own, so they spread as
+    well. The shifts are one row for each range and group that meet; without groups that is at most one for each partition,
+    which is broadcast. `group` holds no nulls.
+    """
+    group = group or []
+    rows = settle(df.withColumn("rank_row", F.monotonically_increasing_id()), "rank-rows")
+    keys = [*order, F.col("rank_row")]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = settle(dealt.withColumn("rank_part", F.spark_partition_id()).withColumn("rank_at", F.monotonically_increasing_id()), "rank-dealt")
+    met = dealt.groupBy("rank_part", *group).agg(F.min("rank_at").alias("rank_first"), F.count("*").alias("rank_n"))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("rank_n").over(before), F.lit(0)) - F.col("rank_first")
+    shifts = met.select("rank_part", *group, shift.alias("rank_shift"), F.sum("rank_n").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("rank_of"))
+    out = dealt.join(shifts if group else F.broadcast(shifts), ["rank_part", *group])
+    return out.select(*df.columns, (F.col("rank_at") + F.col("rank_shift")).alias("rank"), "rank_of")
+
+
 def utf8(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets into them; null counts as empty."""
     strings = batch.column(column)

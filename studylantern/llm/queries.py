@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from studylantern.llm import bagminhash, bpe, bwt, grammar, multiindex, packing, phrases, quality, sampling, warc
+from studylantern.llm import bagminhash, bpe, bwt, digest_cache, grammar, merkle, multiindex, packing, phrases, quality, resample, sampling, warc
 from studylantern.llm.common import table
+from studylantern.llm.reference_sql import STATEMENTS
 
-TOKENIZERS = "/opt/tokenizers"
 
-
-def vocabulary(name: str, folder: str = TOKENIZERS) -> str:
+def vocabulary(name: str) -> str:
     """The place of a public tokenizer file, the same on every node."""
-    return f"{folder}/{name}"
+    return public_tokenizers.path(name)
 
 
 def op1_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +59,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "q_evidence", "q_host_posterior", "q_path_posterior", "q_score", "q_keep")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_phrases": op1_phrases, "op2_bpe": op2_bpe, "op3_sampling": op3_sampling, "op4_packing": op4_packing, "op5_bagminhash": op5_bagminhash, "op6_repair": op6_repair, "op7_warc": op7_warc, "op8_bwt": op8_bwt, "op9_multiindex": op9_multiindex, "op10_quality": op10_quality}
-SQL: dict[str, str] = {}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(table(spark, sf_dir, "documents"))
+
+
+def op12_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_cache.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), digest_cache.new_cache(spark))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_phrases": op1_phrases,
+    "op2_bpe": op2_bpe,
+    "op3_sampling": op3_sampling,
+    "op4_packing": op4_packing,
+    "op5_bagminhash": op5_bagminhash,
+    "op6_repair": op6_repair,
+    "op7_warc": op7_warc,
+    "op8_bwt": op8_bwt,
+    "op9_multiindex": op9_multiindex,
+    "op10_quality": op10_quality,
+    "op11_merkle": op11_merkle,
+    "op12_digest_cache": op12_digest_cache,
+    "op13_resample": op13_resample,
+}
+SQL: dict[str, str] = dict(STATEMENTS)
