@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylantern.llm import bagminhash, packing, phrases, quality
-from studylantern.llm.common import settle, table
+from studylantern.llm.common import free_name, settle, table
 from studylantern.llm.queries import vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    scored = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.filter("q_keep").select(docs.columns)
+    prefix = free_name(docs.columns, "q_")
+    scored = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")), prefix=prefix)
+    return scored.filter(F.col(f"{prefix}keep")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +28,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their repeated passages. Texts that hold none stay as they are; the others are their kept words, by one space."""
-    out = phrases.remove_repeated(docs)
-    changed = F.col("p_removed") > 0
-    text = F.when(changed, F.col("p_kept")).otherwise(F.col("text"))
-    n_chars = F.when(changed, F.char_length("p_kept").cast("long")).otherwise(F.col("n_chars"))
+    prefix = free_name(docs.columns, "p_")
+    out, kept = phrases.remove_repeated(docs, prefix=prefix), F.col(f"{prefix}kept")
+    changed = F.col(f"{prefix}removed") > 0
+    text = F.when(changed, kept).otherwise(F.col("text"))
+    n_chars = F.when(changed, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).withColumn("text", text).select(docs.columns)
 
 

@@ -9,10 +9,13 @@ processes run only until its last register is filled and no earlier time can fol
 
 Registers are banded. Documents with equal words are one node. In each bucket of a band a leader is compared with the
 other nodes: first the node that meets most others over all bands, which is the original of a group of edited copies, then
-another one. What is linked becomes one component. At last all
-pairs within a bucket that still lie in different components are compared. Each comparison is exact: overlap of
-both multisets. So a group of thousands of copies costs one comparison a copy, and no link that a bucket
-shows is lost between components.
+another one. What is linked becomes one component.
+
+At last the pairs within a bucket that still lie in different components are compared, but for those that cannot be
+alike: shingles that a node shares with no other node of such buckets are part of no overlap, so the number of its other
+shingles bounds the overlap of any pair. An edited copy that is too far from its original for a link has so many shingles of its
+own that the bound rules out its pairs, without comparing them. Each comparison is exact: overlap of both multisets. So
+a group of thousands of copies costs a few comparisons a copy, and no link that a bucket shows is lost between components.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studylantern.llm.common import in_slices, settle, utf8
+from studylantern.llm.common import discard, free_name, in_slices, settle, utf8
 from studylantern.llm.components import components
 from studylantern.llm.hashing import Words, mix
 
@@ -141,8 +144,30 @@ def overlaps(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return second.join(texts.selectExpr("content AS a", "text AS x").hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """content, own: how many shingles (with repeats) of each text no other of the texts has. texts: content, text.
+
+    Counted by shingle, with a pre-aggregation in the map tasks, so a shingle that a third of all texts share is one row a
+    task. Shingles of equal hash count as shared, which only weakens the bound.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text", SLICE_BYTES):
+            text, shingle, weight = counted(*Words(*utf8(batch, "text")).shingles(SHINGLE))
+            node = np.frombuffer(b"".join(batch.column("content").to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)[text]
+            arrays = [shingle.view(np.int64), np.ascontiguousarray(node[:, 0]), np.ascontiguousarray(node[:, 1]), weight.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["shingle", "high", "low", "weight"])
+
+    rows = texts.select("content", "text").mapInArrow(run, "shingle long, high long, low long, weight long")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("c"), *[F.min(x).alias(x) for x in ("high", "low", "weight")]).filter("c = 1")
+    sums = alone.groupBy("high", "low").agg(F.sum("weight").alias("own"))
+    half = lambda c: F.lpad(F.hex(c), 16, "0")
+    return sums.select(F.unhex(F.concat(half("high"), half("low"))).alias("content"), "own")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, content and class_id of every row: the smallest doc_id among all that equal words or links connect.
+    """doc_id, content, class_id and class_key of every row. class_id: the smallest doc_id among all that equal words or links
+    connect, null where none of them has an id; class_key tells classes apart in any case.
 
     Linked are texts whose multisets of five-word runs have a weighted Jaccard similarity of at least `similarity`; a
     text of fewer words is one run. A null text counts as empty; empty texts equal each other and nothing else. Rows
@@ -150,15 +175,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """
     rows = settle(sketches(docs, id_col, text_col), "sketches")
     nodes = rows.filter("n > 0").groupBy("content").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = settle(nodes.select("content", "n", F.explode("bands").alias("band")), "bands")
-    buckets = members.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")
-    members = settle(members.join(settle(buckets, "buckets").hint("merge"), "band"), "members")
-    degrees = settle(members.groupBy("content").agg(F.sum("k").alias("degree")), "degrees")
-    members = settle(members.drop("k").join(degrees.hint("merge"), "content"), "members")
+    every = settle(nodes.select("content", "n", F.explode("bands").alias("band")), "bands")
+    buckets = settle(every.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1"), "buckets")
+    met = settle(every.join(buckets.hint("merge"), "band"), "met")
+    degrees = settle(met.groupBy("content").agg(F.sum("k").alias("degree")), "degrees")
+    members = settle(met.drop("k").join(degrees.hint("merge"), "content"), "members")
+    discard(every, buckets, met)
     subjects = with_content(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))).join(degrees.select("content").hint("merge"), "content", "left_semi")
     texts = settle(subjects.groupBy("content").agg(F.first("text").alias("text")), "texts")
     near = (F.col("n") >= similarity * F.col("n2")) & (F.col("n2") >= similarity * F.col("n"))
-    links, labelled = None, members.withColumn("component", F.col("content"))
+    links, labels, labelled = None, None, members.withColumn("component", F.col("content"))
     for turn in range(LEADER_ROUNDS + 1):
         if turn < LEADER_ROUNDS:
             first = -F.col("degree") if turn == 0 else F.xxhash64("content", F.lit(turn))
@@ -166,37 +192,48 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             leaders = settle(labelled.groupBy("band").agg(F.min(order).alias("x")).select("band", F.col("x.content").alias("a"), F.col("x.n").alias("n2"), F.col("x.component").alias("c2")), "leaders")
             pairs = labelled.join(leaders, "band").filter((F.col("component") != F.col("c2")) & near).select("a", F.col("content").alias("b"))
         else:
-            other = labelled.selectExpr("band", "content AS a", "n AS n2", "component AS c2")
-            pairs = labelled.join(other, "band").filter((F.col("component") != F.col("c2")) & (F.col("a") < F.col("content")) & near).select("a", F.col("content").alias("b"))
+            open_nodes = settle(labelled.select("content").distinct(), "open")
+            own = settle(own_shingles(texts.join(open_nodes.hint("merge"), "content", "left_semi")), "own")
+            shared = labelled.join(own.hint("merge"), "content", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+            # an overlap of that similarity with any text, the shortest allowed one included, takes so many shingles
+            able = settle(shared.filter(F.col("common") >= similarity * F.col("n") - 1e-6).drop("own", "degree"), "able")
+            other = able.selectExpr("band", "content AS a", "n AS n2", "component AS c2", "common AS common2")
+            needed = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) - 1e-6
+            likely = (F.least("common", "common2") >= needed) & near
+            pairs = able.join(other, "band").filter((F.col("component") != F.col("c2")) & (F.col("a") < F.col("content")) & likely).select("a", F.col("content").alias("b"))
         pairs = settle(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             break
         found = settle(overlaps(pairs, texts, similarity), "links")
         links = found if links is None else links.union(found)
-        joined = components(links)
-        labels = joined.selectExpr("node AS content", "component AS c")
-        labelled = members.join(labels, "content", "left").select("band", "content", "n", "degree", F.coalesce("c", "content").alias("component"))
+        labels = components(links).selectExpr("node AS content", "component AS c")
+        discard(pairs)
         if turn < LEADER_ROUNDS:  # buckets of one component are done
-            labelled = settle(labelled, "labelled")
-            mixed = labelled.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").drop("mixed")
-            labelled = settle(labelled.join(settle(mixed, "mixed"), "band"), "labelled")
+            now = settle(members.join(labels, "content", "left").select("band", "content", "n", "degree", F.coalesce("c", "content").alias("component")), "labelled")
+            mixed = settle(now.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").drop("mixed"), "mixed")
+            labelled = settle(now.join(mixed, "band"), "labelled")
+            discard(now, mixed, leaders)
     classed = rows.select("doc_id", "content")
-    if links is not None:
-        classed = classed.join(labels, "content", "left").select("doc_id", "content", F.coalesce("c", "content").alias("component"))
+    if labels is not None:
+        classed = classed.join(labels, "content", "left").select("doc_id", "content", F.coalesce("c", "content").alias("class_key"))
     else:
-        classed = classed.withColumn("component", F.col("content"))
+        classed = classed.withColumn("class_key", F.col("content"))
     classed = settle(classed, "classed")
-    lowest = settle(classed.groupBy("component").agg(F.min("doc_id").alias("class_id")), "classes")
-    return classed.join(lowest, "component").select("doc_id", "content", "class_id")
+    lowest = settle(classed.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "classes")
+    discard(texts, members, degrees)
+    return classed.join(lowest, "class_key").select("doc_id", "content", "class_id", "class_key")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near duplicates: of each class the row with the smallest id stays, one of repeated rows."""
+    """The rows of docs without near duplicates: of each class the row with the smallest id stays (one without an id only
+    where no row of the class has one), and one of repeated rows. All columns stay, whatever their names."""
     classed = near_duplicates(docs, similarity, id_col, text_col)
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("x")
-    groups = classed.groupBy(F.coalesce(F.col("class_id").cast("string"), F.hex("content")).alias("g")).agg(lowest)
-    kept = settle(groups.select(F.struct(F.col("x.doc_id"), F.col("x.content")).alias("dedup_key")), "kept")
-    keyed = with_content(docs, text_col, "dedup_words").withColumn("dedup_key", F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col("dedup_words").alias("content")))
-    joined = keyed.join(kept, "dedup_key", "left_semi")
-    first = Window.partitionBy("dedup_key").orderBy(F.lit(1))
-    return joined.withColumn("dedup_n", F.row_number().over(first)).filter("dedup_n = 1").select(docs.columns)
+    kept = settle(classed.groupBy("class_key").agg(lowest).select(F.struct(F.col("x.doc_id"), F.col("x.content")).alias("key")), "kept")
+    words = free_name(docs.columns, "dedup_")
+    key, place = f"{words}key", f"{words}n"
+    keyed = with_content(docs, text_col, words).withColumn(key, F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col(words).alias("content")))
+    chosen = kept.withColumnRenamed("key", f"{words}kept")
+    same = F.col(f"{key}.doc_id").eqNullSafe(F.col(f"{words}kept.doc_id")) & (F.col(f"{key}.content") == F.col(f"{words}kept.content"))
+    first = Window.partitionBy(key).orderBy(F.lit(1))
+    return keyed.join(chosen, same, "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(docs.columns)

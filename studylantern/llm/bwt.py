@@ -258,12 +258,13 @@ def merged_spans(cut: DataFrame, groups: int, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "k long, lo long, hi long")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", many_kinds: int = MANY_KINDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", many_kinds: int = MANY_KINDS, prefix: str = "b_") -> DataFrame:
     """docs with b_bytes, b_removed, b_spans (removed runs of bytes, [lo, hi)) and b_kept (the other bytes).
 
     Earlier is: a smaller id, or the same id and an earlier start; a row without an id comes before all others, and of
     different texts with the same id the one with the smaller hash. Rows equal in id and text are one document: each gets its
-    result. Null texts count as empty; strings are judged on the input.
+    result. Null texts count as empty; strings are judged on the input. `prefix` names the added columns; take another one
+    (`free_name`) where docs has such columns.
     """
     if not 0 < gram <= width - CUT:
         raise ValueError("gram must be positive and at most width - 12")
@@ -309,7 +310,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
                 arrays = [piece.column("row"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "b_bytes", "b_removed", "b_spans", "b_kept"])
 
-    return by_shard(keyed.drop("doc_id"), spans, shards).mapInArrow(run, schema).select("row.*", "b_bytes", "b_removed", "b_spans", "b_kept")
+    return by_shard(keyed.drop("doc_id"), spans, shards).mapInArrow(run, schema).select("row.*", *[F.col(c).alias(prefix + c[2:]) for c in ("b_bytes", "b_removed", "b_spans", "b_kept")])
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:

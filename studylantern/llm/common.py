@@ -28,7 +28,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.settled_at = path
+    return written
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove settled tables that no later step reads."""
+    for df in frames:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with underscores until no column begins with it (names are compared without case)."""
+    while any(c.lower().startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylantern.llm.common import settle
+from studylantern.llm.common import discard, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,12 +22,14 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         hooks = settle(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("hook")), "hooks")
         if labels is None:
-            labels = hooks.withColumnRenamed("hook", "component")
+            labels = settle(hooks.withColumnRenamed("hook", "component"), "labels")
         else:
             moved = labels.join(hooks.withColumnRenamed("node", "component"), "component", "left")
-            labels = settle(moved.select("node", F.coalesce("hook", "component").alias("component")), "labels")
+            before, labels = labels, settle(moved.select("node", F.coalesce("hook", "component").alias("component")), "labels")
+            discard(before)
         left = edges.join(hooks.selectExpr("node AS a", "hook AS x"), "a").join(hooks.selectExpr("node AS b", "hook AS y"), "b")
-        edges = settle(left.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        done, edges = edges, settle(left.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(done)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels

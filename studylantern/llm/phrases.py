@@ -189,11 +189,11 @@ def covered(words: list[bytes], automaton: ahocorasick.Automaton, numbers: dict[
     return spans
 
 
-def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", prefix: str = "p_") -> DataFrame:
     """docs with p_words, p_removed, p_spans (removed runs of words, [first, last)) and p_kept (the other words, by one space).
 
     Words are stretches without space, tab, line feed, vertical tab, form feed and carriage return. Windows are judged on the
-    input. A null text has no words. Repeated rows count as documents of their own, so their windows are repeated.
+    input. `prefix` names the added columns; take another one (`free_name`) where docs has such columns. A null text has no words. Repeated rows count as documents of their own, so their windows are repeated.
     """
     if not 0 < gram <= width <= 63:
         raise ValueError("0 < gram <= width <= 63 is required")
@@ -230,7 +230,7 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard
                 arrays = [piece.column("row"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "p_words", "p_removed", "p_spans", "p_kept"])
 
-    return by_shard(keyed, wanted, shards).mapInArrow(run, schema).select("row.*", "p_words", "p_removed", "p_spans", "p_kept")
+    return by_shard(keyed, wanted, shards).mapInArrow(run, schema).select("row.*", *[F.col(c).alias(prefix + c[2:]) for c in ("p_words", "p_removed", "p_spans", "p_kept")])
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:

@@ -169,21 +169,25 @@ def site_posteriors(evidence: DataFrame, host: str = "host", path: str = "path",
 
 
 def classify(
-    docs: DataFrame, model: Model, host_col: str = "source", path_col: str = "lang", text_col: str = "text", threshold: float = 0.5, most_shift: float = 1.5
+    docs: DataFrame, model: Model, host_col: str = "source", path_col: str = "lang", text_col: str = "text", threshold: float = 0.5, prefix: str = "q_"
 ) -> DataFrame:
     """docs with q_evidence, q_host_posterior, q_path_posterior (shares), q_score (posterior share) and q_keep.
 
-    Kept are documents whose posterior share of good quality is at least `threshold`. Every row is scored: null and empty
-    texts by their features (no words), null hosts and paths as groups of their own, repeated rows alike. Texts pass
+    Kept are documents whose posterior share of good quality is at least `threshold`. A document's log odds are its evidence
+    moved by those of its path over the global ones, in full; sparse paths and hosts have been shrunk before. Every row is
+    scored: null and empty texts by their features (no words), null hosts and paths as groups of their own, repeated rows
+    alike. `prefix` names the added columns; take another one (`free_name`) where docs has such columns. Texts pass
     through map tasks only; the join of posteriors is small on one side.
     """
     narrow = with_evidence(docs.select(F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text")), model).drop("text")
     sites, share = site_posteriors(settle(narrow, "evidence"))
-    sites = sites.select(F.struct(F.col("host").alias("a"), F.col("path").alias("b")).alias("q_site"), F.col("host_posterior").alias("q_host_posterior"), F.col("path_posterior").alias("q_path_posterior"))
-    scored = with_evidence(docs, model, text_col, "q_evidence").withColumn(
-        "q_site", F.struct(F.col(host_col).cast("string").alias("a"), F.col(path_col).cast("string").alias("b"))
+    site, evidence, by_host, by_path = (f"{prefix}{c}" for c in ("site", "evidence", "host_posterior", "path_posterior"))
+    sites = sites.select(F.struct(F.col("host").alias("a"), F.col("path").alias("b")).alias(site), F.col("host_posterior").alias(by_host), F.col("path_posterior").alias(by_path))
+    scored = with_evidence(docs, model, text_col, evidence).withColumn(
+        site, F.struct(F.col(host_col).cast("string").alias("a"), F.col(path_col).cast("string").alias("b"))
     )
-    joined = scored.join(sites, scored["q_site"].eqNullSafe(sites["q_site"]), "left").drop("q_site")
+    joined = scored.join(sites, scored[site].eqNullSafe(sites[site]), "left").drop(site)
     odds = lambda p: F.log(p / (1 - p))
-    shift = F.greatest(F.lit(-most_shift), F.least(F.lit(most_shift), F.coalesce(odds(F.col("q_path_posterior")), odds(F.lit(share))) - odds(F.lit(share))))
-    return joined.withColumn("q_score", 1 / (1 + F.exp(-(F.col("q_evidence") + shift)))).withColumn("q_keep", F.col("q_score") >= threshold)
+    held = lambda p: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))  # noqa: E731  a site without any doubt has no log odds
+    shift = F.coalesce(odds(held(F.col(by_path))), odds(F.lit(share))) - odds(F.lit(share))
+    return joined.withColumn(f"{prefix}score", 1 / (1 + F.exp(-(F.col(evidence) + shift)))).withColumn(f"{prefix}keep", F.col(f"{prefix}score") >= threshold)

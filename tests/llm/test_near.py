@@ -105,6 +105,45 @@ def test_brute_force_with_copies_and_chains(spark):
     assert rows(numbered[:0] or [(1, "x")], spark)[1] == [(1, 1)] and near.near_duplicates(frame.limit(0)).count() == 0 and near.keep_one(frame.limit(0)).count() == 0
 
 
+def test_far_edits_of_one_text_are_compared_with_few(spark):
+    """Edited copies too far from their original: some are near each other, most near none; all links are found."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+
+    def edited(words, n):
+        copy = list(words)
+        for i in rng.sample(range(len(copy)), n):
+            copy[i] = f"x{rng.randrange(10**9)}"
+        return copy
+
+    docs = [" ".join(base)]
+    for _ in range(60):
+        far = edited(base, rng.choice((1, 3, 4, 5, 7)))
+        docs.append(" ".join(far))
+        if rng.random() < 0.2:
+            docs.append(" ".join(edited(far, 1)))
+    numbered = list(enumerate(docs))
+    assert rows(numbered, spark)[1] == sorted(classes(numbered), key=str)
+
+
+def test_own_shingles(spark):
+    texts = [("a" * 16, "a b c d e f"), ("b" * 16, "a b c d e x x x x x x x"), ("\x80\xff" * 8, "q r s t u v"), ("c" * 16, "b c d e f")]
+    frame = spark.createDataFrame([(c.encode("latin-1"), t) for c, t in texts], "content binary, text string")
+    own = {bytes(r["content"]).decode("latin-1"): r["own"] for r in near.own_shingles(frame).collect()}
+    # a: "b c d e f" is shared with c and "a b c d e" with b; b: all but the first; c shares its only one
+    assert own == {"b" * 16: 7, "\x80\xff" * 8: 2}
+
+
+def test_near_copies_without_ids_and_clashing_columns(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words)]
+    docs = spark.createDataFrame([(None, t, 7, "own", i) for i, t in enumerate(texts)], "doc_id long, text string, dedup_words long, DEDUP_key string, content int")
+    kept = near.keep_one(docs).collect()
+    assert len(kept) == 1 and kept[0]["dedup_words"] == 7 and kept[0]["DEDUP_key"] == "own"
+    one = near.keep_one(docs.union(docs.limit(1).selectExpr("5L AS doc_id", "text", "1L", "'with id'", "9"))).collect()
+    assert [(r["doc_id"], r["DEDUP_key"]) for r in one] == [(5, "with id")]
+
+
 def test_many_copies_of_one_text(spark):
     base = [f"w{i}" for i in range(100)]
     docs = [(i, " ".join([*base[:50], f"x{i}", *base[50:]])) for i in range(400)] + [(1000 + i, " ".join(base)) for i in range(200)] + [(5000, "quite another text of six words")]

@@ -51,3 +51,16 @@ def test_pipeline_without_rows(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         docs = settle(stage(spark, docs, sf), name)
         assert docs.count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    """Columns named like internal ones go through all filtering stages with their values."""
+    extra = ("q_evidence", "Q_site", "q_score", "p_kept", "P_words", "dedup_words", "dedup_key", "class_key", "row", "k")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.select("*", *[docs["doc_id"].cast("string").alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = settle(stage(spark, docs, sf), name)
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert len(rows) > 50 and all(r[c] == str(r["doc_id"]) for r in rows for c in extra)

@@ -108,6 +108,51 @@ def test_sparse_paths_shrink_to_their_host(spark):
     assert share < got[("solo", None)]["host_posterior"] < p and got[(None, "x")]["host_posterior"] < share
 
 
+def test_posteriors_against_plain_sums(spark):
+    rng = random.Random(6)
+    rows = [(f"h{rng.randrange(6)}", f"p{rng.randrange(5)}", rng.gauss(1.5, 1)) for _ in range(300)] + [(None, "x", -2.0), ("rare", None, 4.0)]
+    sites, share = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double"))
+    got = {(r["host"], r["path"]): (r["host_posterior"], r["path_posterior"]) for r in sites.collect()}
+    soft = [(h, p, 1 / (1 + math.exp(-e))) for h, p, e in rows]
+
+    def sums(key):
+        out = {}
+        for r in soft:
+            good, n = out.get(key(r), (0.0, 0))
+            out[key(r)] = (good + r[2], n + 1)
+        return out
+
+    def strength(groups, above):
+        """Variance of one document over that between groups, less one."""
+        between = sum(n * (good / n - above(k)) ** 2 for k, (good, n) in groups.items())
+        spread = [above(k) * (1 - above(k)) for k in groups]
+        tau = max((between - sum(spread)) / sum(n for _, n in groups.values()), 1e-6)
+        return min(max(sum(spread) / len(spread) / tau - 1, 1.0), 1e6)
+
+    everything = sum(s for _, _, s in soft) / len(soft)
+    hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[:2])
+    k = strength(hosts, lambda _: everything)
+    by_host = {h: (good + k * everything) / (n + k) for h, (good, n) in hosts.items()}
+    k = strength(paths, lambda key: by_host[key[0]])
+    assert abs(share - everything) < 1e-9 and got.keys() == paths.keys()
+    for key, (good, n) in paths.items():
+        want = (by_host[key[0]], (good + k * by_host[key[0]]) / (n + k))
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[key], want, strict=True))
+
+
+def test_the_site_decides_ambiguous_documents(spark):
+    """The same text of even evidence is kept on a good site and rejected on a bad one."""
+    shouted = [0.0] * 10
+    shouted[8] = -2.0
+    model = quality.Model((0.0,) * 10, (1.0,) * 10, tuple(shouted), 4.0, 0.0, 1.0)
+    good, bad, even = "word " * 40, "!!!! " * 40, "word !!!! " * 20
+    docs = [(good, "good", 0)] * 60 + [(bad, "bad", 0)] * 60 + [(even, "good", 2), (even, "bad", 2)]
+    frame = spark.createDataFrame([(i, *d, "en") for i, d in enumerate(docs)], "doc_id long, text string, source string, q_score int, lang string")
+    out = quality.classify(frame, model, prefix="own_").filter("q_score = 2").collect()
+    assert all(abs(r["own_evidence"]) < 1e-6 for r in out)
+    assert {r["source"]: r["own_keep"] for r in out} == {"good": True, "bad": False}
+
+
 def test_features_do_not_depend_on_neighbours(spark):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("Añ 12!! w* "), F.col("id")).alias("text"))
     model = quality.Model((0.0,) * 10, (1.0,) * 10, tuple(range(1, 11)), 0.0, 0.0, 1.0)
