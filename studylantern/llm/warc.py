@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from studylantern.llm.common import parts, settle, shared_folder
 
-#: Records in a file at most: bounds what one task reads at once.
-FILE_RECORDS = 10_000
+#: Records in a file at most, and bytes that its uncompressed records should stay below: what one task reads at once.
+FILE_RECORDS, FILE_BYTES = 10_000, 256_000_000
+#: Captures that one range of the merge holds, about.
+RANGE_ROWS = 100_000
 BREAK = "\r\n"
 PREFIX = "urn:page:"
 CAPTURE_SCHEMA = (
@@ -77,8 +79,27 @@ def record(row_id: Column, url: Column, captured: Column, payload: Column, kind:
     return F.concat(F.concat_ws(BREAK, *lines), F.lit(BREAK * 2), block)
 
 
-def write_warc(labelled: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """One record for each row of label_copies, in gzip-compressed files below path."""
+def record_bytes(payload: Column, url: Column) -> Column:
+    """At least the length of a page's record."""
+    return F.octet_length(payload) + F.octet_length(F.coalesce(url, F.lit(""))) * 3 + 1000
+
+
+def write_warc(labelled: DataFrame, path: str, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES, longest: int | None = None) -> None:
+    """One record for each row of label_copies, in gzip-compressed files below path.
+
+    Files are bounded in bytes as well: records of a size class (powers of 16) have files of their own, with so many records
+    as fit in file_bytes; a record longer than that is a file by itself. `longest` saves a pass where it is known.
+    """
+    size = record_bytes(F.col("payload"), F.col("url"))
+    if longest is None:
+        longest = labelled.agg(F.max(size)).first()[0] or 0
+    low, high = -1, max(1, file_bytes // file_records)
+    while low < longest:
+        _write_class(labelled.filter((size > low) & (size <= high)), f"{path}/upto={high}", max(1, file_bytes // high))
+        low, high = high, high * 16
+
+
+def _write_class(labelled: DataFrame, path: str, file_records: int) -> None:
     text = labelled.select(record(*(F.col(c) for c in ("page_id", "url", "captured", "payload", "record_type", "refers_to"))).alias("value"))
     text.write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
@@ -118,8 +139,8 @@ def _number(urn: str) -> int | None:
 
 
 def _order(row: tuple) -> tuple:
-    """URL key, time, page; a page without id comes first."""
-    return row[5], row[6], row[0] is not None, row[0] or 0, row[7], row[8]
+    """URL key, time, page; a capture without time and a page without id come first."""
+    return row[5], row[6] is not None, row[6] or "", row[0] is not None, row[0] or 0, row[7], row[8]
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -137,13 +158,13 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                     if not revisit and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                         raise ValueError(f"{name}: the payload at byte {at} differs from its digest")
                     refers = _number(head["WARC-Refers-To"]) if revisit else None
-                    rows.append((_number(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers, url_key(head.get("WARC-Target-URI")), head["WARC-Date"], name.rsplit("/", 1)[-1], at))
+                    rows.append((_number(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers, url_key(head.get("WARC-Target-URI")), head.get("WARC-Date"), name.rsplit("/", 1)[-1], at))
                 rows.sort(key=_order)
                 columns = list(zip(*rows, strict=True)) or [()] * 9
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], NAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, CAPTURE_SCHEMA)
 
 
@@ -177,17 +198,14 @@ def loser_tree_merge(runs: list[list[tuple]], key) -> Iterator[tuple]:
 def merge_index(captures: DataFrame) -> DataFrame:
     """Captures in global order: merge_range, and merge_position within it.
 
-    Ranges are cut by URL key, time and page together, so a URL with a third of all captures spreads over ranges. Within
-    a range each archive's rows are a run; Spark's shuffle may pass a run's blocks in any order, so a run found out of
-    order is sorted again.
+    Ranges are cut by URL key, time and page together, so a URL with a third of all captures spreads over ranges, and there
+    are so many that a range holds about RANGE_ROWS captures, however many there are. Within a range each archive's rows are a run.
+    Spark's sort, which spills, brings them run by run and each run in order; the loser tree then merges the runs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        rows.sort(key=lambda r: r[7])  # stable: keeps each archive's order
         runs = [list(g) for _, g in groupby(rows, key=lambda r: r[7])]
-        for one in runs:
-            one.sort(key=_order)
         merged, piece, position = loser_tree_merge(runs, _order), TaskContext.get().partitionId(), 0
         while chunk := [r for _, r in zip(range(5000), merged, strict=False)]:
             columns = list(zip(*chunk, strict=True))
@@ -197,7 +215,9 @@ def merge_index(captures: DataFrame) -> DataFrame:
             position += len(chunk)
             yield pa.RecordBatch.from_arrays(arrays, [*NAMES, "merge_range", "merge_position"])
 
-    ranged = captures.repartitionByRange(parts(captures), "url_key", "captured", "page_id", "archive", "record_offset")
+    order = ("url_key", "captured", "page_id", "archive", "record_offset")
+    ranges = max(parts(captures), -(-captures.count() // RANGE_ROWS))
+    ranged = captures.repartitionByRange(ranges, *order).sortWithinPartitions("archive", *order)
     return ranged.mapInArrow(run, CAPTURE_SCHEMA + ", merge_range int, merge_position long")
 
 
@@ -207,8 +227,10 @@ def capture_time(page_id: Column) -> Column:
 
 
 def archive(pages: DataFrame, least_bytes: int = 0, captured: Column | None = None) -> DataFrame:
-    """Write the archives of page_id, url and html, read them back and merge their index. Null html counts as empty."""
+    """Write the archives of page_id, url and html, read them back and merge their index. Null html counts as empty; a capture
+    without time has no date in its record and comes first among those of its URL."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", (capture_time(F.col("page_id")) if captured is None else captured).alias("captured"))
     path = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    write_warc(label_copies(rows, least_bytes), path)
+    longest = rows.agg(F.max(record_bytes(F.coalesce(F.col("html").cast("string"), F.lit("")), F.col("url")))).first()[0] or 0
+    write_warc(label_copies(rows, least_bytes), path, longest=longest)
     return merge_index(settle(read_runs(pages.sparkSession, path), "captures"))

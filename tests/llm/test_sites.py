@@ -63,6 +63,28 @@ def test_files_are_warc(spark):
         list(warc.records(b"HTTP/1.1 200\r\n\r\n"))
 
 
+def test_captures_without_time_come_first(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/", "x", "2021-01-01T00:00:00Z"), (2, "http://a.org/", "y", None), (3, "http://a.org/", None, "2020-01-01T00:00:00Z")], "page_id long, url string, html string, at string")
+    rows = sorted(warc.archive(pages, captured=F.col("at")).collect(), key=lambda r: (r["merge_range"], r["merge_position"]))
+    assert [(r["page_id"], r["captured"]) for r in rows] == [(2, None), (3, "2020-01-01T00:00:00Z"), (1, "2021-01-01T00:00:00Z")]
+
+
+def test_files_are_bounded_in_bytes(spark):
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("http://a.org/").alias("url"), F.expr("repeat(concat('ab', id), cast(if(id % 10 = 0, 4000, 20) as int))").alias("html"), F.lit("2021").alias("captured"))
+    path = f"{shared_folder(spark)}/warc-bytes-{random.random()}"
+    warc.write_warc(warc.label_copies(pages.coalesce(1)), path, file_records=50, file_bytes=100_000)
+    files = [gzip.decompress(r["content"]) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).collect() if r["path"].endswith(".gz")]
+    assert sum(len(list(warc.records(f))) for f in files) == 60 and max(map(len, files)) < 100_000 and len(files) >= 3
+    assert warc.read_runs(spark, path).count() == 60
+
+
+def test_ranges_follow_the_number_of_captures(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://a.org/").alias("url"), F.col("id").cast("string").alias("html"))
+    rows = sorted(warc.archive(pages).collect(), key=lambda r: (r["merge_range"], r["merge_position"]))
+    assert [r["page_id"] for r in rows] == list(range(400)) and len({r["merge_range"] for r in rows}) >= 8
+
+
 def test_url_keys():
     assert warc.url_key("https://www.B.org/Y?q=A") == "org,b)/y?q=a" and warc.url_key("http://c.net:8080") == "net,c:8080)/"
 
