@@ -12,10 +12,12 @@ other nodes: first the node that meets most others over all bands, which is the
 another one. What is linked becomes one component.
 
 At last the pairs within a bucket that still lie in different components are compared, but for those that cannot be
-alike: shingles that a node shares with no other node of such buckets are part of no overlap, so the number of its other
-shingles bounds the overlap of any pair. An edited copy that is too far from its original for a link has so many shingles of its
-own that the bound rules out its pairs, without comparing them. Each comparison is exact: overlap of both multisets. So
-a group of thousands of copies costs a few comparisons a copy, and no link that a bucket shows is lost between components.
+alike, by two bounds on their overlap. Shingles that a node shares with no other node of such buckets are part of none.
+And each node is compared with the leader of its bucket: what either of two nodes lacks of the leader's shingles they
+do not share. Copies that are edited or cut too far for a link to their original have so many shingles of their own, or
+lack so many different ones, that their pairs are ruled out without comparing them. Each comparison is exact: overlap
+of both multisets. So a group of thousands of copies costs a few comparisons a copy, and no link that a bucket shows is
+lost between components.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 LEADER_ROUNDS = 2
 SLICE_BYTES = 4_000_000
+#: Bits that tell which of a leader's shingles a text lacks, at most.
+LACK_CELLS = 1024
 
 
 def counted(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,29 +123,65 @@ def with_content(docs: DataFrame, text_col: str = "text", into: str = "content")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.BinaryType())]))
 
 
+def _multiset(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, in order of their hashes, the place of each one's first occurrence, and counts."""
+    raw = np.frombuffer(text.as_buffer(), np.uint8)
+    return np.unique(Words(raw, np.array([0, len(raw)])).shingles(SHINGLE)[0], return_index=True, return_counts=True)
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    second = pairs.join(texts.selectExpr("content AS b", "text AS y").hint("merge"), "b")
+    return second.join(texts.selectExpr("content AS a", "text AS x").hint("merge"), "a").select("a", "b", "x", "y")
+
+
+def _met(batch: pa.RecordBatch, held: dict) -> Iterator[tuple]:
+    """For each pair the first text's places and counts, the second one's size, and for shared shingles the index in the first and the lesser and own counts."""
+    for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+        if a not in held:
+            held.clear()
+            held[a] = _multiset(x)
+        kinds, place, counts = held[a]
+        other, _, often = _multiset(y)
+        _, p, q = np.intersect1d(kinds, other, assume_unique=True, return_indices=True)
+        yield place, counts, int(often.sum()), p, np.minimum(counts[p], often[q])
+
+
 def overlaps(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose multisets of shingles have at least that similarity. texts: content, text of every node in pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kinds, counts = None, None, None
+        held: dict = {}
+        for batch in batches:
+            keep = [both.sum() >= least * (counts.sum() + size - both.sum()) - 1e-9 for _, counts, size, _, both in _met(batch, held)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        def multiset(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-            raw = np.frombuffer(text.as_buffer(), np.uint8)
-            return np.unique(Words(raw, np.array([0, len(raw)])).shingles(SHINGLE)[0], return_counts=True)
+    return _with_texts(pairs, texts).mapInArrow(run, "a binary, b binary")
 
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True)):
-                if a != held:
-                    held, (kinds, counts) = a, multiset(x)
-                other, often = multiset(y)
-                _, p, q = np.intersect1d(kinds, other, assume_unique=True, return_indices=True)
-                both = int(np.minimum(counts[p], often[q]).sum())
-                keep[i] = both >= least * (counts.sum() + often.sum() - both) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    second = pairs.join(texts.selectExpr("content AS b", "text AS y").hint("merge"), "b")
-    return second.join(texts.selectExpr("content AS a", "text AS x").hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+def lacking(pairs: DataFrame, texts: DataFrame, most_cells: int = LACK_CELLS) -> DataFrame:
+    """a, b, met (overlap) and lacks: a bit for each shingle of a that b has less often.
+
+    Of a text with more than most_cells shingles neighbouring ones share a bit, which is set if b lacks any of them. So two
+    texts lack together at least as many of a's shingles as bits are set in either.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            met, bits = [], []
+            for place, counts, _, p, both in _met(batch, held):
+                less = np.ones(len(counts), bool)
+                less[p] = both < counts[p]
+                rank = np.empty(len(place), np.int64)
+                rank[np.argsort(place)] = np.arange(len(place))
+                cells = min(len(place), most_cells)
+                cell = np.zeros(-(-cells // 64) * 64, bool)
+                cell[(rank * cells // len(place))[less]] = True
+                met.append(int(both.sum()))
+                bits.append(np.packbits(cell).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(met, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["a", "b", "met", "lacks"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a binary, b binary, met long, lacks array<long>")
 
 
 def own_shingles(texts: DataFrame) -> DataFrame:
@@ -165,6 +205,33 @@ def own_shingles(texts: DataFrame) -> DataFrame:
     return sums.select(F.unhex(F.concat(half("high"), half("low"))).alias("content"), "own")
 
 
+def open_pairs(labelled: DataFrame, texts: DataFrame, similarity: float, near) -> DataFrame:
+    """a, b: pairs of one bucket in different components that may be similar. labelled: band, content, n, degree, component.
+
+    Left out are only pairs that cannot reach the similarity: an overlap is at most the shingles that are not a node's own, and
+    at most the leader's shingles that neither lacks and those common ones that the leader does not have.
+    """
+    open_nodes = settle(labelled.select("content").distinct(), "open")
+    own = settle(own_shingles(texts.join(open_nodes.hint("merge"), "content", "left_semi")), "own")
+    shared = labelled.join(own.hint("merge"), "content", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+    # an overlap of that similarity with any text, the shortest allowed one included, takes so many shingles
+    able = settle(shared.filter(F.col("common") >= similarity * F.col("n") - 1e-6).drop("own"), "able")
+    first = F.min(F.struct((-F.col("degree")).alias("h"), "content", "n")).alias("x")
+    leaders = settle(able.groupBy("band").agg(first).select("band", F.col("x.content").alias("leader"), F.col("x.n").alias("whole")), "leaders")
+    led = settle(able.join(leaders, "band"), "led")
+    asked = settle(led.filter("content <> leader").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct(), "asked")
+    found = settle(lacking(asked, texts).selectExpr("a AS leader", "b AS content", "met", "lacks"), "lacking")
+    rows = settle(led.join(found.hint("merge"), ["leader", "content"], "left").withColumn("extra", F.col("common") - F.coalesce("met", "common")), "bounded")
+    other = rows.selectExpr("band", "content AS a", "n AS n2", "component AS c2", "common AS common2", "lacks AS lacks2", "extra AS extra2")
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) - 1e-6
+    gone = F.aggregate(F.zip_with("lacks", "lacks2", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda s, x: s + x)
+    lacked = F.coalesce(gone, F.aggregate(F.transform(F.coalesce("lacks", "lacks2"), F.bit_count), F.lit(0), lambda s, x: s + x), F.lit(0))
+    bound = F.col("whole") - lacked + F.least("extra", "extra2")
+    likely = near & (F.least("common", "common2") >= needed) & (bound >= needed)
+    met = rows.join(other, "band").filter((F.col("component") != F.col("c2")) & (F.col("a") < F.col("content")) & likely)
+    return met.select("a", F.col("content").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, content, class_id and class_key of every row. class_id: the smallest doc_id among all that equal words or links
     connect, null where none of them has an id; class_key tells classes apart in any case.
@@ -192,15 +259,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             leaders = settle(labelled.groupBy("band").agg(F.min(order).alias("x")).select("band", F.col("x.content").alias("a"), F.col("x.n").alias("n2"), F.col("x.component").alias("c2")), "leaders")
             pairs = labelled.join(leaders, "band").filter((F.col("component") != F.col("c2")) & near).select("a", F.col("content").alias("b"))
         else:
-            open_nodes = settle(labelled.select("content").distinct(), "open")
-            own = settle(own_shingles(texts.join(open_nodes.hint("merge"), "content", "left_semi")), "own")
-            shared = labelled.join(own.hint("merge"), "content", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
-            # an overlap of that similarity with any text, the shortest allowed one included, takes so many shingles
-            able = settle(shared.filter(F.col("common") >= similarity * F.col("n") - 1e-6).drop("own", "degree"), "able")
-            other = able.selectExpr("band", "content AS a", "n AS n2", "component AS c2", "common AS common2")
-            needed = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) - 1e-6
-            likely = (F.least("common", "common2") >= needed) & near
-            pairs = able.join(other, "band").filter((F.col("component") != F.col("c2")) & (F.col("a") < F.col("content")) & likely).select("a", F.col("content").alias("b"))
+            pairs = open_pairs(labelled, texts, similarity, near)
         pairs = settle(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             break

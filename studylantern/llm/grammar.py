@@ -101,7 +101,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts with their end id and write them in ascending order of doc_id.
 
-    One shuffle, of the texts by ranges of ids. A null text counts as empty; rows without an id come first; repeated
+    One shuffle, of the texts by ranges of ids; rows of one id, or without one, are dealt on by the hash of their text. A null text counts as empty; rows without an id come first; repeated
     rows follow each other. Files are Parquet with one row for each block, on any store that Spark writes.
     """
 
@@ -140,7 +140,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             yield row()
 
     plain = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text")
-    ranged = plain.repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = plain.repartitionByRange(parts(docs), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
     ranged.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 

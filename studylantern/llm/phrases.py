@@ -84,7 +84,7 @@ def by_shard(keyed: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
     docs = keyed.select(F.lit(1).alias("kind"), "k", "text", "row", *(F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in extra))
     asks = wanted.select(F.lit(0).alias("kind"), "k", F.lit(None).cast("string").alias("text"), F.lit(None).cast(keyed.schema["row"].dataType).alias("row"), *extra)
     both = docs.union(asks).withColumn("shard", F.pmod("k", F.lit(shards)))
-    return both.repartition(max(parts(keyed), min(shards, 4 * parts(keyed))), "shard").sortWithinPartitions("shard", "kind")
+    return both.repartition(max(parts(keyed), shards), "shard").sortWithinPartitions("shard", "kind")
 
 
 def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
@@ -151,8 +151,9 @@ def confirmed(keyed: DataFrame, shards: int, width: int = WIDTH, gram: int = GRA
     some = windows.join(again, "window").groupBy("block").agg(F.expr("bit_or(shiftleft(1L, at))").alias("some"))
     whole = kinds.filter("count > 1").select("block", F.lit(-1).cast("long").alias("some"))
     masks = settle(some.union(whole).groupBy("block").agg(F.bit_or("some").alias("mask")), "masks")
-    found = every.join(masks, "block").groupBy(F.pmod("k", F.lit(shards)).alias("shard"), "block").agg(F.min(F.struct("k", "first", "n")).alias("x"), F.first("mask").alias("mask"))
-    return found.select("x.*", "mask")
+    # a block has one row a shard before it meets its mask, however many documents hold it
+    found = every.groupBy(F.pmod("k", F.lit(shards)).alias("shard"), "block").agg(F.min(F.struct("k", "first", "n")).alias("x"))
+    return found.join(masks, "block").select("x.*", "mask")
 
 
 def passages(text: list[bytes], first: int, n: int, mask: int, width: int) -> Iterator[list[bytes]]:

@@ -114,7 +114,8 @@ def test_far_edits_of_one_text_are_compared_with_few(spark):
         copy = list(words)
         for i in rng.sample(range(len(copy)), n):
             copy[i] = f"x{rng.randrange(10**9)}"
-        return copy
+        cut = rng.randrange(len(copy) - 20)
+        return copy if rng.random() < 0.6 else copy[:cut] + copy[cut + rng.randrange(5, 20) :]
 
     docs = [" ".join(base)]
     for _ in range(60):
@@ -134,6 +135,20 @@ def test_own_shingles(spark):
     assert own == {"b" * 16: 7, "\x80\xff" * 8: 2}
 
 
+def test_lacking(spark):
+    """Bits are set for what a text has less often; with few cells a bit stands for several neighbouring shingles."""
+    long = [f"w{i}" for i in range(304)]
+    texts = [(b"a" * 16, " ".join(long)), (b"b" * 16, " ".join(long[:104] + long[204:])), (b"c" * 16, " ".join([*long, *long])), (b"d" * 16, "x x x x x x x"), (b"e" * 16, "x x x x x x")]
+    frame = spark.createDataFrame(texts, "content binary, text string")
+    pairs = spark.createDataFrame([(b"a" * 16, b"b" * 16), (b"a" * 16, b"c" * 16), (b"c" * 16, b"a" * 16), (b"d" * 16, b"e" * 16), (b"a" * 16, b"e" * 16)], "a binary, b binary")
+    for cells in (1024, 64, 30):
+        rows = {(bytes(r["a"])[:1] + bytes(r["b"])[:1]).decode(): (r["met"], sum(int(x % 2**64).bit_count() for x in r["lacks"])) for r in near.lacking(pairs, frame, cells).collect()}
+        # b has 100 + 96 shingles of a, four new ones at the cut; c has all of a's and repeats them
+        assert rows["ac"] == (300, 0) and rows["de"] == (2, 1) and rows["ae"] == (0, min(cells, 300))
+        assert rows["ab"][0] == 196 and (rows["ab"][1] == 104 if cells == 1024 else 104 * cells // 300 <= rows["ab"][1] <= 104 * cells // 300 + 2)
+        assert rows["ca"][0] == 300 and rows["ca"][1] >= min(cells, 304)
+
+
 def test_near_copies_without_ids_and_clashing_columns(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words)]
