@@ -64,6 +64,8 @@ def definitions(d: Dialect) -> dict[str, str]:
         "case event_id % 8 when 0 then 'R1' when 1 then 'R2' when 2 then 'R3' when 3 then 'Y1' when 4 then 'Y1b' "
         "when 5 then 'Y2' when 6 then 'Y3' else 'Y4' end"
     )
+    # two of the eight drafts of a learner carry no code, so flags of these codes still lack a draft
+    drafted_code = f"case when (user_id + event_id) % 4 <> 0 then {nudge_code} end"
     nudge_kind = (
         "case event_id % 8 when 0 then 'reengagement' when 1 then 'late_submission' when 2 then 'gate_ahead' "
         "when 3 then 'reengagement' when 4 then 'activity_no_work' when 7 then 'score_dropping' "
@@ -124,11 +126,15 @@ def definitions(d: Dialect) -> dict[str, str]:
                    cast(count(*) filter (where event_type = 'click') as int) as participations
             from {events} group by cast(ts as date)""",
         "in_quizzes": "select p_partkey as quiz_id, p_name as title, p_size as question_count from {part}",
+        # some attempts name a quiz that is in no table
+        "in_quiz_attempts": """
+            select event_id, case when event_id % 17 = 0 then 1000000000 + event_id % 5 else event_id % 50 end as quiz_id, user_id, value, ts
+            from {events} where event_type = 'signup'""",
         "in_quiz_submissions": """
-            select event_id as quiz_submission_id, event_id % 50 as quiz_id, user_id, value as score, value as kept_score,
-                   cast(row_number() over (partition by event_id % 50, user_id order by ts) as int) as attempt,
+            select event_id as quiz_submission_id, quiz_id, user_id, value as score, value as kept_score,
+                   cast(row_number() over (partition by quiz_id, user_id order by ts) as int) as attempt,
                    'complete' as workflow_state, ts as started_at
-            from {events} where event_type = 'signup'""",
+            from {in_quiz_attempts}""",
         # a gate three days after each error event; every third is entered twice
         "in_gate_rows": """
             select event_id as gate_id, 'Gate ' || event_id as gate_name, cast(1 + event_id % 9 as int) as week_number,
@@ -150,7 +156,7 @@ def definitions(d: Dialect) -> dict[str, str]:
             select event_id as nudge_id, cast(user_id * 8 + event_id % 8 as string) as draft_id, user_id,
                    cast(null as bigint) as computation_id,
                    case when event_id % 31 = 0 then 'escalation_alert' else {nudge_kind} end as nudge_type,
-                   {nudge_code} as flag_code, {nudge_kind} as template_id, {_NULL_S} as variant_id,
+                   {drafted_code} as flag_code, {nudge_kind} as template_id, {_NULL_S} as variant_id,
                    case when event_id % 37 = 0 then 'sms' else 'email' end as channel,
                    case event_type when 'view' then 'pending_review' when 'click' then 'approved'
                         when 'purchase' then 'sent' when 'error' then 'rejected' else 'escalated' end as delivery_status,
@@ -187,10 +193,11 @@ def definitions(d: Dialect) -> dict[str, str]:
                    cast(c_nationkey as string) as country, c_custkey as ordinal
             from {customer}""",
         "in_runs": """
-            select cast(floor(event_id / 100) as bigint) as run_id, min(ts) as started_at, max(ts) as finished_at,
-                   case when count(*) filter (where event_type = 'error' and value > 200) > 0 then 'failed'
+            select cast(floor(event_id / 100) as bigint) as run_id, cast(event_id % 3 as int) as attempt, min(ts) as started_at,
+                   max(ts) as finished_at,
+                   case when count(*) filter (where event_type = 'error' and value > 50) > 0 then 'failed'
                         else 'success' end as status
-            from {events} group by floor(event_id / 100)""",
+            from {events} group by floor(event_id / 100), event_id % 3""",
         **_merge_inputs(),
         # one "submission" per line item; a unit of 16 days keeps the distances in range
         "in_line_timing": f"""

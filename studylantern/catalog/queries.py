@@ -13,9 +13,9 @@ from studylantern.catalog import feed_frames as feed
 from studylantern.catalog.inputs import AS_OF, MERGE_TABLES, Inputs
 from studylantern.config import DEFAULT, DELIVERY_STATUSES, CHANNELS, FLAG_CODES, NUDGE_TYPES
 from studylantern.operators import checks, delivery, drafts, flags, lifecycle, merge, signals
-from studylantern.plans import reports
-from studylantern.session import prepare
-from studylantern.sources import demographics, dims, feeds, runlog
+from studylantern.plans import incremental, nightly, reports
+from studylantern.session import prepare, scratch
+from studylantern.sources import demographics, dims, feeds, runlog, tables
 
 Query = Callable[[Inputs], DataFrame]
 CFG = replace(DEFAULT, ta_recipients="first@example.org, ,second@example.org", test_learner_id=13)
@@ -237,6 +237,96 @@ def last_run(p):
     return runlog.last_run(p.in_runs)
 
 
+@query
+def run_states(p):
+    return runlog.run_states(p.in_runs)
+
+
+# --- stored tables: written to the shared folder and read back ----------------------
+LEARNER = 7
+_LOG = ("nudge_id", "draft_id", "user_id", "flag_code", "delivery_status", "subject", "created_at")
+
+
+def _pages(p: Inputs) -> DataFrame:
+    """Events landed as JSON pages, one a line; every tenth record has a text where a number belongs."""
+    base = scratch(p.spark)
+    number = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("no. "), F.col("user_id"))).otherwise(F.col("user_id").cast("string"))
+    record = F.regexp_replace(F.to_json(F.struct(F.col("event_id").alias("id"), number.alias("user_id"), "value")), '"([0-9]+)"', "$1")
+    page = F.concat(F.lit("["), F.concat_ws(",", F.collect_list(record)), F.lit("]"))
+    p.events.groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(page.alias("value")).select("value").write.text(base)
+    return feeds.parse_pages(p.spark, base, "id long, user_id long, value double", page_per_line=True)
+
+
+@query
+def page_records(p):
+    return feeds.records_of(_pages(p)).drop(feeds.ORDINAL)
+
+
+@query
+def page_rejects(p):
+    record = F.from_json("record", "id long, user_id string, value double")
+    rows = feeds.rejects_of(_pages(p)).select(record.alias("r")).select("r.*")
+    return rows.select("id", F.regexp_extract("user_id", "([0-9]+)", 1).cast("long").alias("user_id"), "value")
+
+
+def _merged(p: Inputs) -> str:
+    base = scratch(p.spark)
+    tables.replace(tables.conform(p.stored_submissions, "submissions"), base, "submissions")
+    tables.merge(p.batch_submissions, base, "submissions", ordinal="ordinal")
+    return base
+
+
+@query
+def stored_merge(p):
+    return tables.load(p.spark, _merged(p), "submissions")
+
+
+@query
+def stored_learner(p):
+    return tables.lookup(p.spark, _merged(p), "submissions", LEARNER)
+
+
+@query
+def stored_signals(p):
+    """Two nights: the parts are built from some of the facts and brought up to date with the rest."""
+    base = scratch(p.spark)
+    for name, rows in (("users", p.in_users), ("student_summaries", p.in_summaries), ("gate_calendar", p.in_gates)):
+        tables.replace(tables.conform(rows, name), base, name)
+    night = None
+    for late in (False, True):
+        for name, rows in (("submissions", p.in_submissions), ("enrollments", p.in_enrollments)):
+            tables.merge(rows.filter((F.col("user_id") % 5 == 0) == late), base, name)
+        night = incremental.refreshed_signals(p.spark, base, AS_OF, CFG)
+    return night.drop("computed_at")
+
+
+def _compacted(p: Inputs) -> str:
+    base, log = scratch(p.spark), tables.conform(p.in_nudges, "nudge_events")
+    for part in range(4):
+        if part == 3:
+            tables.compact(p.spark, base, "nudge_events")
+        tables.append(log.filter(F.col("nudge_id") % 4 == part), base, "nudge_events", f"batch-{part}")
+    return base
+
+
+@query
+def stored_log(p):
+    return tables.load_log(p.spark, _compacted(p), "nudge_events").select(*_LOG)
+
+
+@query
+def stored_log_learner(p):
+    return tables.load_log(p.spark, _compacted(p), "nudge_events", key=LEARNER).select(*_LOG)
+
+
+@query
+def seeded_gates(p):
+    base = scratch(p.spark)
+    for rows in (p.in_gates.filter("gate_id % 2 = 0"), p.in_gates):
+        nightly.seed_gates(p.spark, base, rows.select("gate_name", "week_number", "gate_date", "description"))
+    return tables.load(p.spark, base, "gate_calendar").drop("gate_id")
+
+
 # --- drafts ---------------------------------------------------------------------
 @query
 def flags_without_drafts(p):
@@ -412,6 +502,16 @@ def flag_detail(p):
     return reports.flag_detail(p.in_flags)
 
 
+@query
+def flag_detail_of_learner(p):
+    base = scratch(p.spark)
+    for part in range(2):
+        rows = p.in_flags.filter(F.col("flag_id") % 2 == part)
+        tables.append(tables.conform(rows, "flag_events"), base, "flag_events", f"batch-{part}")
+    tables.compact(p.spark, base, "flag_events")
+    return reports.flag_detail(tables.load_log(p.spark, base, "flag_events", key=LEARNER), LEARNER)
+
+
 @query
 def flag_log(p):
     return reports.flag_log(p.in_flags, ("red", "yellow"), " [13579]$ ")

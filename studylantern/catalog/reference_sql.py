@@ -45,6 +45,7 @@ def _tag(slot: str) -> str:
     return f"case flag_code {routes} end"
 
 
+LOG_COLUMNS = ("nudge_id", "draft_id", "user_id", "flag_code", "delivery_status", "subject", "created_at")
 slot_index = {"template_id": 0, "nudge_type": 1, "severity": 2}
 
 # rule -> (condition, reason, inputs as a struct)
@@ -460,7 +461,21 @@ def _queries() -> dict[str, str]:
             union all select 'enrollments', count(*) from {in_enrollments}
             union all select 'demographics_loaded', count(*) from {o_loaded}
             union all select 'demographics_skipped', (select count(*) from {in_demographics}) - (select count(*) from {o_loaded})""",
-        "last_run": "select strftime(started_at, '%Y-%m-%d %H:%M') as last_sync, status from {in_runs} order by run_id desc limit 1",
+        "last_run": "select strftime(started_at, '%Y-%m-%d %H:%M') as last_sync, status from {in_runs} order by run_id desc, attempt desc limit 1",
+        "run_states": """
+            select run_id, attempt, started_at, finished_at, status from {in_runs}
+            qualify row_number() over (partition by run_id order by attempt desc) = 1""",
+        "page_records": "select event_id as id, user_id, value from {events} where event_id % 10 <> 0",
+        "page_rejects": "select event_id as id, user_id, value from {events} where event_id % 10 = 0",
+        "stored_merge": _upsert("submissions"),
+        "stored_learner": f"select * from ({_upsert('submissions')}) u where user_id = 7",
+        "stored_signals": "select * exclude (computed_at) from {o_signals}",
+        "stored_log": f"select {', '.join(LOG_COLUMNS)} from {{in_nudges}}",
+        "stored_log_learner": f"select {', '.join(LOG_COLUMNS)} from {{in_nudges}} where user_id = 7",
+        "seeded_gates": "select gate_name, week_number, gate_date::varchar as gate_date, description from {in_gates}",
+        "flag_detail_of_learner": f"""
+            select user_id, flag_id, flagged_at, {L['flag_icon']} as icon, upper(flag_type) as severity, reason, resolved
+            from {{in_flags}} where user_id = 7""",
         "flags_without_drafts": "select * from {o_candidates}",
         "route_flags": "select * from {o_routed}",
         "unrouted_flags": f"""

@@ -17,7 +17,7 @@ ACTIONS = {"approve": "approved", "reject": "rejected", "escalate": "escalated"}
 
 def latest_state(nudge_events: DataFrame) -> DataFrame:
     """Newest row of every draft by (created_at, nudge_id)."""
-    return _newest(nudge_events, F.struct("created_at", "nudge_id"))
+    return _newest(nudge_events, _order_key())
 
 
 def latest_by_id(nudge_events: DataFrame) -> DataFrame:
@@ -25,10 +25,22 @@ def latest_by_id(nudge_events: DataFrame) -> DataFrame:
     return _newest(nudge_events, F.col("nudge_id"))
 
 
+def _order_key() -> Column:
+    """(created_at, nudge_id) as one number, a missing time first: it fits the fixed-width buffer of a hash aggregate."""
+    micros = F.coalesce(F.unix_micros("created_at"), F.lit(-(2**61))).cast("decimal(20,0)")
+    return micros * F.lit(str(2**64)).cast("decimal(20,0)") + F.col("nudge_id").cast("decimal(20,0)")
+
+
 def _newest(events: DataFrame, order: Column) -> DataFrame:
-    cols = [c for c in events.columns if c != "draft_id"]
-    newest = events.groupBy("draft_id").agg(F.max_by(F.struct(*cols), order).alias("row"))
-    return newest.select("draft_id", *[F.col(f"row.{c}").alias(c) for c in cols])
+    """Late materialisation: the winners are found from (draft, order) alone, then their rows are taken by a semi-join.
+
+    A ``nudge_id`` is given once, so each draft gets one row. Message columns are in no aggregate; where the winners are few
+    Spark broadcasts them and no message is moved.
+    """
+    keyed = events.withColumn("_order", order)
+    newest = keyed.groupBy("draft_id").agg(F.max("_order").alias("_newest")).withColumnRenamed("draft_id", "_draft")
+    same = F.col("draft_id").eqNullSafe(F.col("_draft")) & (F.col("_order") == F.col("_newest"))
+    return keyed.join(newest, same, "left_semi").select("draft_id", *[c for c in events.columns if c != "draft_id"])
 
 
 def pending_drafts(nudge_events: DataFrame) -> DataFrame:
@@ -44,10 +56,7 @@ def pending_drafts(nudge_events: DataFrame) -> DataFrame:
 
 def status_counts(nudge_events: DataFrame) -> DataFrame:
     """Drafts per current state."""
-    now = nudge_events.groupBy("draft_id").agg(
-        F.max(F.struct("created_at", "nudge_id", "delivery_status")).alias("row")
-    )
-    return now.groupBy(F.col("row.delivery_status").alias("delivery_status")).agg(F.count(F.lit(1)).alias("n_drafts"))
+    return latest_state(nudge_events).groupBy("delivery_status").agg(F.count(F.lit(1)).alias("n_drafts"))
 
 
 def _input_problem(cfg: Config) -> Column:
@@ -86,19 +95,26 @@ def one_outcome(outcomes: DataFrame) -> DataFrame:
     return best.select("draft_id", *[F.col(f"best.{c}").alias(c) for c in ("ok", "message_id", "error")])
 
 
-def _with_send_result(accepted: DataFrame, outcomes: DataFrame, pii: DataFrame) -> DataFrame:
-    """Send result of approved drafts: ``sent``, ``failed`` or null while none is known."""
-    reported = one_outcome(outcomes)
+def _reviewed(nudge_events: DataFrame, decisions: DataFrame, outcomes: DataFrame, pii: DataFrame, cfg: Config) -> DataFrame:
+    """One row per draft named in the batch: verdict, send result and the state it is in afterwards.
+
+    Events and rejects both come from this frame, so state, outcome and contact meet once. ``send_status`` of an
+    accepted approval is ``sent``, ``failed``, or null while no result is known.
+    """
+    verdicts = _draft_verdicts(nudge_events, decisions, cfg)
     on_file = pii.select("user_id", F.lit(True).alias("has_pii"))
-    joined = accepted.join(reported, "draft_id", "left").join(on_file, "user_id", "left")
-    approving = F.col("first.action") == "approve"
+    joined = verdicts.join(one_outcome(outcomes), "draft_id", "left").join(on_file, "user_id", "left")
+    accepted, action = F.col("accepted_id").isNotNull(), F.col("first.action")
+    approving = accepted & (action == "approve")
     unknown_recipient = F.concat(F.lit("no contact details stored for learner "), F.col("user_id").cast("string"))
-    return joined.withColumn(
+    sent = joined.withColumn(
         "send_status",
         F.when(approving & F.col("has_pii").isNull(), "failed").when(approving & F.col("ok"), "sent").when(
             approving & ~F.col("ok"), "failed"
         ),
     ).withColumn("send_error", F.when(F.col("has_pii").isNull(), unknown_recipient).otherwise(F.col("error")))
+    led_to = F.when(action == "approve", "approved").when(action == "reject", "rejected").otherwise("escalated")
+    return sent.withColumn("state_after", F.coalesce("send_status", F.when(accepted, led_to), "delivery_status"))
 
 
 def _decision_rows(sent: DataFrame, as_of) -> DataFrame:
@@ -131,9 +147,8 @@ def apply_decisions(
     ``failed``; without a reported outcome the draft stays ``approved`` until
     ``record_outcomes`` gets one.
     """
-    verdicts = _draft_verdicts(nudge_events, decisions, cfg)
-    sent = _with_send_result(verdicts.filter(F.col("accepted_id").isNotNull()), outcomes, pii)
-    return _decision_rows(sent, as_of), _rejects(verdicts, decisions, sent, cfg)
+    reviewed = _reviewed(nudge_events, decisions, outcomes, pii, cfg)
+    return _decision_rows(reviewed.filter(F.col("accepted_id").isNotNull()), as_of), _rejects(reviewed, decisions, cfg)
 
 
 def record_outcomes(nudge_events: DataFrame, outcomes: DataFrame, as_of=None) -> DataFrame:
@@ -156,17 +171,8 @@ def record_outcomes(nudge_events: DataFrame, outcomes: DataFrame, as_of=None) ->
     return waiting.select(F.struct(*finished).alias("row")).select("row.*").select(*EVENT_COLUMNS)
 
 
-def _rejects(verdicts: DataFrame, decisions: DataFrame, sent: DataFrame, cfg: Config) -> DataFrame:
-    after = F.coalesce(
-        "send_status",
-        F.when(F.col("first.action") == "approve", "approved").when(F.col("first.action") == "reject", "rejected").otherwise(
-            "escalated"
-        ),
-    )
-    settled = sent.select("draft_id", after.alias("state_after"))
-    per_draft = verdicts.select("draft_id", "delivery_status", "accepted_id").join(settled, "draft_id", "left").select(
-        "draft_id", "accepted_id", F.coalesce("state_after", "delivery_status").alias("state"), F.lit(True).alias("known")
-    )
+def _rejects(reviewed: DataFrame, decisions: DataFrame, cfg: Config) -> DataFrame:
+    per_draft = reviewed.select("draft_id", "accepted_id", F.col("state_after").alias("state"), F.lit(True).alias("known"))
     wrong_state = F.concat(
         F.col("action"), F.lit(" needs a pending draft, but "), F.col("draft_id"), F.lit(" is "), F.col("state"),
     )

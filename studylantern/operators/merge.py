@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 @dataclass(frozen=True)
@@ -83,9 +84,24 @@ def split_keyless(incoming: DataFrame, rule: MergeRule) -> tuple[DataFrame, Data
 def settle_batch(incoming: DataFrame, rule: MergeRule, ordinal: str) -> DataFrame:
     """One row per key: updated columns from the last arrival, insert-only columns from the first.
 
-    ``max_by``/``min_by`` combine before the shuffle, so copies of one key
-    shrink to one row per map task.
+    ``ordinal`` ranks the arrivals of a key, without ties. Where it is a number, only keys and ordinals are aggregated, in
+    fixed-width buffers that combine before the shuffle, and the records are picked by semi-joins on (key, ordinal), which
+    deal the copies of a hot key over all tasks. Any other ordinal goes through ``max_by``/``min_by`` of whole records.
     """
+    if not isinstance(incoming.schema[ordinal].dataType, NumericType):
+        return _settle_by_records(incoming, rule, ordinal)
+    keys, at = list(rule.keys), F.col(ordinal)
+    ends = incoming.groupBy(*keys).agg(F.max(at).alias("_last"), F.min(at).alias("_first"))
+
+    def picked(end: str, columns: tuple[str, ...]) -> DataFrame:
+        chosen = ends.select(*keys, F.col(end).alias(ordinal))
+        return incoming.select(*keys, ordinal, *columns).join(chosen, [*keys, ordinal], "left_semi").drop(ordinal)
+
+    last = picked("_last", rule.update)
+    return last.join(picked("_first", rule.insert_only), keys) if rule.insert_only else last
+
+
+def _settle_by_records(incoming: DataFrame, rule: MergeRule, ordinal: str) -> DataFrame:
     merged = []
     if rule.update:
         merged.append(F.max_by(F.struct(*rule.update), F.col(ordinal)).alias("_last"))
@@ -98,6 +114,15 @@ def settle_batch(incoming: DataFrame, rule: MergeRule, ordinal: str) -> DataFram
     )
 
 
+def settled(incoming: DataFrame, rule: MergeRule, ordinal: str | None = None) -> DataFrame:
+    """A batch ready for ``upsert`` without ordinal: one row per key, and all rows that lack a nullable key."""
+    if ordinal is None:
+        return incoming
+    missing = _any_null(rule.nullable_keys)
+    one = settle_batch(incoming.filter(~missing) if rule.nullable_keys else incoming, rule, ordinal)
+    return one.unionByName(incoming.filter(missing).select(*one.columns)) if rule.nullable_keys else one
+
+
 def _any_null(names: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for name in names:

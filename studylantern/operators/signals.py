@@ -131,7 +131,12 @@ def timing_halves(submissions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def timing_trend(submissions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Average, count and trend label per learner with timed submissions.
+    """Average, count and trend label per learner with timed submissions."""
+    return trend_of_halves(timing_halves(submissions, cfg), cfg)
+
+
+def trend_of_halves(halves: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Average, count and trend label from the sums of ``timing_halves``.
 
     The average is rounded before any rule sees it; the trend compares the
     unrounded averages of the two halves.
@@ -147,7 +152,7 @@ def timing_trend(submissions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .when(change < -cfg.trend_step_days, "worsening")
         .otherwise("stable")
     )
-    return timing_halves(submissions, cfg).select(
+    return halves.select(
         "user_id",
         py_round(_mean(F.col("total"), n), 2).alias("avg_days_from_deadline"),
         n.cast("int").alias("total_submissions"),
@@ -189,16 +194,24 @@ def risk_signals(
     users: DataFrame, submissions: DataFrame, enrollments: DataFrame, summaries: DataFrame, gates: DataFrame,
     as_of=None, cfg: Config = DEFAULT,
 ) -> DataFrame:
-    """Signals for every row of ``users``; absent pieces take their defaults.
+    """Signals for every row of ``users``; absent pieces take their defaults."""
+    return signals_of_parts(users, timing_trend(submissions, cfg), primary_enrollment(enrollments), summaries, gates, as_of, cfg)
+
+
+def signals_of_parts(
+    users: DataFrame, timing: DataFrame, courses: DataFrame, summaries: DataFrame, gates: DataFrame,
+    as_of=None, cfg: Config = DEFAULT,
+) -> DataFrame:
+    """Signals from frames with one row per learner (``timing_trend``, ``primary_enrollment``).
 
-    All joined frames have one row per learner, so the joins are balanced and
-    share the ``user_id`` partitioning; the course-wide values are one row each.
+    The joins are balanced and share the ``user_id`` partitioning; the
+    course-wide values are one row each.
     """
     now = moment(as_of)
     joined = (
         users.select("user_id")
-        .join(timing_trend(submissions, cfg), "user_id", "left")
-        .join(primary_enrollment(enrollments), "user_id", "left")
+        .join(timing, "user_id", "left")
+        .join(courses, "user_id", "left")
         .join(summaries.select("user_id", "page_views"), "user_id", "left")
         .crossJoin(F.broadcast(course_max_views(summaries)))
         .crossJoin(F.broadcast(next_gate(gates, as_of, cfg)))

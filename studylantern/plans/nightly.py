@@ -2,26 +2,31 @@
 
 Every step reads committed tables and commits its own output, so a lost
 executor costs a task, a lost job costs one step, and a repeated step gives
-the same tables: snapshots replace, committed log batches stay.
+the same tables: merges rewrite the buckets they touch, committed log batches stay.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from studylantern.config import DEFAULT, Config
 from studylantern.functions import moment
-from studylantern.operators import delivery, drafts, flags, lifecycle, merge, signals
+from studylantern.operators import delivery, drafts, flags, lifecycle, merge
+from studylantern.plans import incremental
 from studylantern.schemas import FEEDS
 from studylantern.session import prepare
 from studylantern.sources import dims, feeds, runlog, tables
+from studylantern.sources.files import Folder
 
 FEED_STEPS = (
     "users", "assignments", "enrollments", "student_summaries", "submissions", "quizzes", "quiz_submissions", "course_activity",
 )
+STATE_TABLES = (*FEED_STEPS, "gate_calendar", "learner_timing", "learner_courses", "student_risk_signals", "student_pii", "student_demographics")
+LOGS = ("flag_events", "nudge_events", "feed_rejects", "sync_runs")
 
 
 def _counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
@@ -35,7 +40,7 @@ def _appended(df: DataFrame, base: str, name: str, batch: str) -> int:
     """Append a batch to a log, or find it there; returns its row count."""
     spark = df.sparkSession
     if batch in tables.batches(spark, base, name):
-        return spark.read.parquet(f"{base}/{name}/batch={batch}").count()
+        return tables.load_log(spark, base, name, only_batch=batch).count()
     return _counted(df, lambda rows: tables.append(rows, base, name, batch))
 
 
@@ -44,6 +49,12 @@ def _attempt(spark: SparkSession, base: str, batch: str) -> str:
     return f"{batch}-{sum(b.startswith(batch) for b in tables.batches(spark, base, 'feed_rejects'))}"
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """A frame written next to the tables and read back, so that it is evaluated once."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def seed_gates(spark: SparkSession, base: str, gates: DataFrame | None = None) -> int:
     """Add missing gates by name, then keep the lowest id per name."""
     stored = tables.load(spark, base, "gate_calendar")
@@ -82,26 +93,30 @@ def ingest_feed(
     """
     if batch is None:
         batch = _attempt(spark, base, "manual")
-    feed, broken = feeds.read_pages(spark, f"{landing}/{name}", FEEDS[name])
-    rule = merge.rule_for(name)
-    incoming, keyless = merge.split_keyless(_rows(spark, feed, name, base, as_of, cfg), rule)
-    text = F.to_json(F.struct(*[c for c in keyless.columns if c != feeds.ORDINAL]))
-    rejects = broken.select(F.lit(name).alias("feed"), F.lit("unreadable page").alias("reason"), "page", "record", "parsed").unionByName(
-        keyless.select(F.lit(name).alias("feed"), F.lit("no key").alias("reason"), F.lit(None).cast("string").alias("page"), text.alias("record"), F.lit(None).cast("string").alias("parsed"))
-    )
+    aside = f"landed/{name}-{uuid.uuid4().hex}"
+    parsed = _stored(feeds.parse_pages(spark, f"{landing}/{name}", FEEDS[name]), f"{base}/{aside}")
+    feed, broken = feeds.records_of(parsed), feeds.rejects_of(parsed)
+    incoming, keyless = merge.split_keyless(_rows(spark, feed, name, base, as_of, cfg), merge.rule_for(name))
+
+    def logged(rows: DataFrame, reason: str, page: Column, record: Column, part: Column) -> DataFrame:
+        return rows.select(F.lit(name).alias("feed"), F.lit(reason).alias("reason"), page.alias("page"), record.alias("record"), part.alias("parsed"))
+
+    none = F.lit(None).cast("string")
+    rejects = logged(broken, "unreadable page", F.col("page"), F.col("record"), F.col("parsed"))
+    for rows in (keyless, feeds.without_keys(feed, name)):
+        if rows is not None:
+            text = F.to_json(F.struct(*[c for c in rows.columns if c != feeds.ORDINAL]))
+            rejects = rejects.unionByName(logged(rows, "no key", none, text, none))
     n_rejects = _appended(tables.conform(rejects, "feed_rejects"), base, "feed_rejects", f"{batch}-{name}")
     seen = Observation()
-    merged = merge.upsert(
-        tables.load(spark, base, name), incoming.observe(seen, F.count(F.lit(1)).alias("n")), rule, feeds.ORDINAL
-    )
-    tables.replace(tables.conform(merged, name), base, name)
+    tables.merge(incoming.observe(seen, F.count(F.lit(1)).alias("n")), base, name, ordinal=feeds.ORDINAL)
+    Folder(spark, base).remove(aside)
     return seen.get["n"], n_rejects
 
 
 def refresh_signals(spark: SparkSession, base: str, as_of=None, cfg: Config = DEFAULT) -> int:
-    """Recompute the signals; learners that vanished from ``users`` keep their old row."""
-    names = ("users", "submissions", "enrollments", "student_summaries", "gate_calendar")
-    fresh = signals.risk_signals(*[tables.load(spark, base, n) for n in names], as_of, cfg)
+    """Bring the signals up to date from stored parts; learners that vanished from ``users`` keep their old row."""
+    fresh = incremental.refreshed_signals(spark, base, as_of, cfg)
     stored = tables.load(spark, base, "student_risk_signals")
     merged = merge.upsert(stored, fresh, merge.rule_for("student_risk_signals"))
     return _counted(
@@ -139,8 +154,9 @@ def run_nightly(
     started = _clock(spark)
     counts: dict[str, int] = {}
     rejected: dict[str, int] = {}
-    # rejects of a repeated run are those of what it read then
+    # rejects of a repeated run are those of what it read then; its outcome is a row of its own
     attempt = _attempt(spark, base, batch)
+    number = sum(b.startswith(batch) for b in tables.batches(spark, base, "sync_runs"))
     try:
         counts["gate_calendar"] = seed_gates(spark, base)
         for name in FEED_STEPS:
@@ -149,14 +165,25 @@ def run_nightly(
         counts["flag_events"] = raise_flags(spark, base, batch, as_of, cfg)
         counts["nudge_events"] = write_drafts(spark, base, batch, as_of, cfg)
     except Exception as error:
-        row = runlog.run_row(spark, run_id, started, _clock(spark), "failed", str(error), counts, cfg)
-        tables.append(row, base, "sync_runs", batch)
+        row = runlog.run_row(spark, run_id, started, _clock(spark), "failed", str(error), counts, cfg, number)
+        tables.append(row, base, "sync_runs", f"{batch}-{number}")
         raise
-    row = runlog.run_row(spark, run_id, started, _clock(spark), "success", None, counts, cfg)
-    tables.append(row, base, "sync_runs", batch)
+    row = runlog.run_row(spark, run_id, started, _clock(spark), "success", None, counts, cfg, number)
+    tables.append(row, base, "sync_runs", f"{batch}-{number}")
+    tidy(spark, base)
     return counts | {"feed_rejects": sum(rejected.values())}
 
 
+def tidy(spark: SparkSession, base: str, keep: int = 3, least_batches: int = 30) -> None:
+    """Fold many small log batches into files by learner, and drop versions and folders that nobody reads any more."""
+    for name in STATE_TABLES:
+        tables.expire(spark, base, name, keep)
+    for name in LOGS:
+        tables.compact(spark, base, name, least_batches)
+        tables.expire(spark, base, name, keep)
+        tables.expire_batches(spark, base, name)
+
+
 def _clock(spark: SparkSession):
     return spark.range(1).select(F.current_timestamp()).first()[0]
 
@@ -187,13 +214,19 @@ def record_reviews(
 
 
 def load_demographics(spark: SparkSession, path: str, base: str, as_of=None) -> tuple[int, int]:
-    """Match the export to learners and merge both parts; returns (loaded, skipped) row counts."""
+    """Match the export to learners and merge both parts; returns (loaded, skipped) row counts.
+
+    Records and their match are stored once and feed both tables, the count of skipped rows included.
+    """
     from studylantern.sources.demographics import match_demographics, read_demographics, split_pii
 
-    matched, skipped = match_demographics(read_demographics(spark, path), tables.load(spark, base, "users"))
+    aside = f"landed/demographics-{uuid.uuid4().hex}"
+    export = _stored(read_demographics(spark, path), f"{base}/{aside}/records")
+    found, skipped = match_demographics(export, tables.load(spark, base, "users"))
+    matched = _stored(found, f"{base}/{aside}/matched")
     pii, rest = split_pii(matched, moment(as_of))
     for name, part in (("student_pii", pii), ("student_demographics", rest)):
-        merged = merge.upsert(tables.load(spark, base, name), part, merge.rule_for(name), feeds.ORDINAL)
-        tables.replace(tables.conform(merged, name), base, name)
+        tables.merge(part, base, name, ordinal=feeds.ORDINAL)
     counts = {r["table_name"]: r["n_rows"] for r in runlog.run_metrics({"loaded": matched, "skipped": skipped}).collect()}
+    Folder(spark, base).remove(aside)
     return counts["loaded"], counts["skipped"]

@@ -27,7 +27,7 @@ _TABLES: dict[str, str] = {
     "sync_runs": "run_id long, course_id long, started_at timestamp, finished_at timestamp, status string, "
                  "error_message string, courses_synced int, users_synced int, enrollments_synced int, "
                  "assignments_synced int, submissions_synced int, quizzes_synced int, quiz_submissions_synced int, "
-                 "student_summaries_synced int",
+                 "student_summaries_synced int, attempt int",
     "feed_rejects": "feed string, reason string, page string, record string, parsed string",
     "gate_calendar": "gate_id long, gate_name string, week_number int, gate_date date, description string",
     "student_summaries": "user_id long, page_views int, max_page_views int, participations int, "
@@ -42,6 +42,9 @@ _TABLES: dict[str, str] = {
                             "days_since_last_login int, total_submissions int, zero_submissions int, "
                             "engagement_ratio double, gate_approaching int, gate_name string, days_until_gate int, "
                             "computed_at timestamp",
+    # stored parts of the signals: sums of hundredths of days, and the enrollment that counts
+    "learner_timing": "user_id long, n long, total long, first_total long",
+    "learner_courses": "user_id long, final_score double, current_score double, last_activity_at timestamp, enrollment_id long",
     "student_pii": "user_id long, full_name string, email string, person_reference_id string, prefix string, "
                    "most_recent_role string, most_recent_employer string, loaded_at timestamp",
     "nudge_events": "nudge_id long, draft_id string, computation_id long, rendered_template string, "
@@ -102,8 +105,8 @@ _FEEDS: dict[str, str] = {
     "student_summaries": "id long, page_views int, max_page_views int, participations int, max_participations int, "
                          "tardiness_breakdown struct<on_time: int, late: int, missing: int, floating: int, total: int>",
     "submissions": "id long, assignment_id long, user_id long, score double, grade string, submitted_at string, "
-                   "graded_at string, workflow_state string, late boolean, missing boolean",
-    "quizzes": "id long, title string, quiz_type string, points_possible double, due_at string, published boolean, "
+                   "graded_at string, workflow_state string, late string, missing string",
+    "quizzes": "id long, title string, quiz_type string, points_possible double, due_at string, published string, "
                "question_count int",
     "quiz_submissions": "id long, user_id long, score double, kept_score double, attempt int, "
                         "workflow_state string, started_at string, finished_at string, "

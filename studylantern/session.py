@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Correctness: timestamps are UTC everywhere.
@@ -21,3 +24,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, which all nodes share; on one machine without it, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        folder = tempfile.mkdtemp(prefix="studylantern-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"

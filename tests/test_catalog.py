@@ -1,5 +1,6 @@
 """Every registered query against its reference SQL, value by value."""
 
+import os
 import re
 
 import duckdb
@@ -34,10 +35,24 @@ def test_equals_reference(spark, duck, data_dir, name):
     assert sorted(columns) == sorted(frame.columns)
     order = [columns.index(c) for c in frame.columns]
     expected = sorted(repr(tuple(row[i] for i in order)) for row in cursor.fetchall())
+    # 1,000 events are too few for some rules
+    assert expected or name in ("flag_y1", "flag_y1b", "flag_y2", "flag_y3"), "a query that returns nothing shows nothing"
     assert sorted(repr(tuple(row)) for row in frame.collect()) == expected
     check_plan(frame._jdf.queryExecution().executedPlan().toString())
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_draft_path_and_orphans_have_rows_at_larger_scales(scale):
+    folder = f"/root/testdata/{scale}"
+    if not os.path.isdir(folder):
+        pytest.skip("driver tables are not available")
+    connection = duckdb.connect()
+    for name in TABLE_NAMES:
+        connection.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    for name in ("flags_without_drafts", "route_flags", "nudge_context", "render_drafts", "generate_drafts", "check_fk"):
+        assert connection.execute(f"select count(*) from ({REFERENCE[name]}) q").fetchone()[0] > 0, name
+
+
 def check_plan(text):
     """No Python, no Cartesian product, no window over a whole table, nested loops only for one-row values."""
     assert "EvalPython" not in text and "InPandas" not in text and "CartesianProduct" not in text

@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 
@@ -91,6 +93,41 @@ def test_pages_rank_by_number(spark, tmp_path):
     assert [r.email for r in rows.orderBy(feeds.ORDINAL).collect()] == ["from2@x", "from10@x"]
 
 
+def test_a_malformed_field_costs_its_record_only(spark, tmp_path):
+    (tmp_path / "page 1.json").write_text('[{"id": 1, "email": "a"}, {"id": "x", "email": "b"}, null, 7, {"id": 3, "email": "c"}]', encoding="utf-8")
+    (tmp_path / "page 2.json").write_text('\ufeff \n{"id": 4, "email": "{[d"}', encoding="utf-8")
+    (tmp_path / "page 3.json").write_text('[{"id": 5}, {"id": 6,', encoding="utf-8")
+    (tmp_path / "page 4.json").write_text("[]", encoding="utf-8")
+    (tmp_path / "page 5.json").write_text("", encoding="utf-8")
+    (tmp_path / "page 6.json").write_text("no page", encoding="utf-8")
+    records, rejects = feeds.read_pages(spark, str(tmp_path), FEEDS["users"])
+    assert records.count() == 3 and rejects.count() == 5
+    assert [(r.id, r.email) for r in records.orderBy(feeds.ORDINAL).collect()] == [(1, "a"), (3, "c"), (4, "{[d")]
+    assert {r.record for r in rejects.collect()} == {'{"id":"x","email":"b"}', "null", "7", '[{"id": 5}, {"id": 6,', "no page"}
+    assert [r.parsed for r in rejects.filter("record like '%x%'").collect()] == ['{"email":"b"}']
+    assert all("page" in r.page for r in rejects.collect())
+
+
+def test_flags_may_be_numbers(landed, table):
+    record = {"assignment_id": 7, "user_id": 1}
+    feed = landed("submissions", [{**record, "id": i, "late": v} for i, v in enumerate((1, 0, True, False, None))])
+    rows = feeds.submissions_from_feed(feed, table("assignments")).orderBy("submission_id").collect()
+    assert [r.late for r in rows] == [1, 0, 1, 0, 0]
+
+
+def test_ordinals_rank_lines_records_and_wrapped_records(spark, tmp_path):
+    record = {"user_id": 5, "attempt": 1}
+    lines = [json.dumps({"quiz_submissions": [{**record, "id": 10 * n + k} for k in range(3)]}) for n in range(4)]
+    (tmp_path / "quiz_id=4").mkdir()
+    (tmp_path / "quiz_id=4" / "bulk.json").write_text("\n".join(lines), encoding="utf-8")
+    for per_line in (True, False):
+        feed = feeds.read_feed(spark, str(tmp_path), FEEDS["quiz_submissions"], page_per_line=per_line)
+        rows = feeds.quiz_submissions_from_feed(feed)
+        ids = [r.quiz_submission_id for r in rows.orderBy(feeds.ORDINAL).collect()]
+        assert ids == ([10 * n + k for n in range(4) for k in range(3)] if per_line else [0, 1, 2])
+        assert rows.select(feeds.ORDINAL).distinct().count() == len(ids)
+
+
 def test_dates_that_are_no_plain_dates_have_no_key(landed):
     feed = landed("course_activity", [{"date": "2024-01-03T05:00:00Z", "views": 4}, {"date": "soon", "views": 1}])
     assert [r.activity_date for r in feeds.activity_from_feed(feed).collect()] == [None, None]
@@ -126,31 +163,44 @@ def test_demographics_export(spark, table, export):
     assert not {"full_name", "email"} & set(rest.columns)
 
 
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path):
+    """Small splits: records begin in one and end in another, some splits hold no record's beginning."""
+    rng = random.Random(2)
+    pieces = ["plain", "two\nlines", 'a "quoted" word', "x" * 300, "\n\n\n", "comma, comma", "", "\r\nodd", "end\n"]
+    written = []
+    for n in range(3):
+        rows = [[f"u{n}-{k}@x", "".join(rng.choices(pieces, k=rng.randrange(1, 4)))] for k in range(80)]
+        with open(tmp_path / f"part-{n}.csv", "w", encoding="utf-8", newline="") as file:
+            file.write("\ufeff" if n == 0 else "")
+            csv.writer(file, lineterminator="\r\n" if n == 1 else "\n").writerows([["Email", "Note\nof two lines"], *rows])
+        written += rows
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        frame = demographics.read_demographics(spark, str(tmp_path))
+        got = frame.orderBy("ordinal").collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert frame.columns == ["Email", "Note\nof two lines", "ordinal"]
+    assert [[r[0], r[1]] for r in got] == written
+
+
+def test_an_export_without_files_or_rows(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("", encoding="utf-8")
+    assert demographics.read_demographics(spark, str(tmp_path)).count() == 0
+    (tmp_path / "head.csv").write_text("Email,Name\n", encoding="utf-8")
+    assert demographics.read_demographics(spark, str(tmp_path)).columns[:2] == ["Email", "Name"]
+
+
 def test_shared_address_takes_the_highest_learner(spark, table, export):
     users = table("users", dict(user_id=3, email="ann@x"), dict(user_id=8, email="ANN@x"))
     matched, _ = demographics.match_demographics(demographics.read_demographics(spark, export), users)
     assert {r.user_id for r in matched.collect()} == {8}
 
 
-def test_tables_are_versioned_and_log_batches_replace_themselves(spark, table, tmp_path):
-    base = str(tmp_path / "store")
-    assert tables.load(spark, base, "users").count() == 0 and tables.load_log(spark, base, "flag_events").count() == 0
-    tables.replace(table("users", dict(user_id=1)), base, "users")
-    # reading the old version while writing the next one
-    tables.replace(tables.load(spark, base, "users").unionByName(table("users", dict(user_id=2))), base, "users")
-    assert tables.load(spark, base, "users").count() == 2
-    # an uncommitted version is not visible
-    table("users").write.parquet(f"{base}/users/v=3")
-    (tmp_path / "store" / "users" / "v=3" / "_SUCCESS").unlink()
-    assert tables.load(spark, base, "users").count() == 2
-    for _ in range(2):
-        tables.append(table("flag_events", dict(flag_id=1, user_id=1)), base, "flag_events", "b1")
-    tables.append(table("flag_events", dict(flag_id=2, user_id=1)), base, "flag_events", "b2")
-    assert tables.load_log(spark, base, "flag_events").count() == 2
-    assert [r.flag_id for r in tables.load_log(spark, base, "flag_events", except_batch="b2").collect()] == [1]
-    assert tables.highest_id(tables.load_log(spark, base, "flag_events"), "flag_id") == 2
-
-
 def test_ids_are_unique_and_above_the_log(spark):
     frame = tables.with_ids(spark.range(100).repartition(5), "new_id", 41)
     ids = [r.new_id for r in frame.collect()]
@@ -162,6 +212,10 @@ def test_run_log(spark, table):
 
     rows = runlog.run_row(spark, 2, datetime(2024, 1, 2, 3, 4, 5), None, "success", None, {"users": 7})
     runs = table("sync_runs", dict(run_id=1, started_at="2024-01-01", status="failed")).unionByName(rows)
+    again = runlog.run_row(spark, 2, datetime(2024, 1, 2, 9, 0), None, "failed", "no", None, attempt=1)
+    states = runlog.run_states(runs.unionByName(again))
+    assert {(r.run_id, r.status, r.attempt) for r in states.collect()} == {(1, "failed", None), (2, "failed", 1)}
+    assert tuple(runlog.last_run(runs.unionByName(again)).first()) == ("2024-01-02 09:00", "failed")
     assert tuple(runlog.last_run(runs).first()) == ("2024-01-02 03:04", "success") and rows.first().users_synced == 7
     counts = runlog.run_metrics({"a": spark.range(3), "b": spark.range(0)})
     assert {r.table_name: r.n_rows for r in counts.collect()} == {"a": 3, "b": 0}

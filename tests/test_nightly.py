@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from studylantern.config import DEFAULT
 from studylantern.plans import nightly, reports
-from studylantern.sources import tables
+from studylantern.sources import runlog, tables
 
 AS_OF = "2026-07-12 12:00:00"
 CFG = replace(DEFAULT, ta_recipients="ta@example.org")
@@ -58,7 +58,8 @@ def test_night_and_review(spark, landing, tmp_path):
     later = nightly.run_nightly(spark, str(landing), base, 2, AS_OF, CFG)
     assert (later["flag_events"], later["nudge_events"]) == (0, 0)
     assert tables.load(spark, base, "course_activity").first().activity_id == 1
-    assert [r.status for r in tables.load_log(spark, base, "sync_runs").orderBy("run_id").collect()] == ["success", "success"]
+    runs = tables.load_log(spark, base, "sync_runs")
+    assert sorted((r.run_id, r.attempt, r.status) for r in runs.collect()) == [(1, 0, "success"), (1, 1, "success"), (2, 0, "success")]
 
     pii = spark.createDataFrame([(1, "Ann", "ann@x")], "user_id long, full_name string, email string")
     tables.replace(tables.conform(pii, "student_pii"), base, "student_pii")
@@ -106,12 +107,12 @@ def test_unreadable_pages_and_keyless_records_are_reported(spark, landing, tmp_p
     base = str(tmp_path / "store")
     (landing / "users" / "page-0002.json").write_text('[{"id": 5, "email": "u5@x"}, {"id": 6,', encoding="utf-8")
     land(landing, "quizzes", [{"id": None, "title": "none"}, {"id": 40, "title": "Q"}])
-    for run in (1, 2, 3):
+    for run in (1, 2):
         counts = nightly.run_nightly(spark, str(landing), base, run, AS_OF, CFG)
         assert counts["feed_rejects"] == 2 and counts["users"] == 4 and counts["quizzes"] == 1
         assert tables.load(spark, base, "quizzes").count() == 1 and tables.load(spark, base, "users").count() == 4
     rejects = tables.load_log(spark, base, "feed_rejects").collect()
-    assert len(rejects) == 6 and {(r.feed, r.reason) for r in rejects} == {("users", "unreadable page"), ("quizzes", "no key")}
+    assert len(rejects) == 4 and {(r.feed, r.reason) for r in rejects} == {("users", "unreadable page"), ("quizzes", "no key")}
     assert any('{"id": 6,' in r.record for r in rejects)
 
 
@@ -146,3 +147,24 @@ def test_failed_run_is_logged_and_keeps_committed_steps(spark, landing, tmp_path
     (run,) = tables.load_log(spark, base, "sync_runs").collect()
     assert run.status == "failed" and run.error_message and run.users_synced == 4
     assert tables.load(spark, base, "users").count() == 4 and tables.load(spark, base, "submissions").count() == 0
+    # the same run, repeated with the missing feed
+    (landing / "submissions").mkdir()
+    (landing / "elsewhere.json").rename(landing / "submissions" / "page-0001.json")
+    nightly.run_nightly(spark, str(landing), base, 1, AS_OF, CFG)
+    runs = tables.load_log(spark, base, "sync_runs")
+    assert runs.count() == 2 and [r.status for r in runlog.run_states(runs).collect()] == ["success"]
+    assert runlog.last_run(runs).first().status == "success"
+
+
+def test_records_without_keys_are_logged_and_counted(spark, landing, tmp_path):
+    base = str(tmp_path / "store")
+    land(landing, "assignments", [{"id": 3320}])
+    land(landing, "submissions", [{"id": 1, "assignment_id": 3320, "user_id": 1}, {"id": 2, "assignment_id": 0, "user_id": 1}, {"id": 3, "assignment_id": 3320}, {"id": "?"}])
+    land(landing, "quiz_submissions", {"quiz_submissions": [{"id": 1, "user_id": None}, {"id": 2, "user_id": 4}]}, "quiz_id=40")
+    land(landing, "course_activity", [{"views": 1}, {"date": "2026-07-01"}])
+    found = {name: nightly.ingest_feed(spark, str(landing), base, name, AS_OF, CFG) for name in ("assignments", "submissions", "quiz_submissions", "course_activity")}
+    assert found == {"assignments": (1, 0), "submissions": (1, 3), "quiz_submissions": (1, 1), "course_activity": (1, 1)}
+    logged = tables.load_log(spark, base, "feed_rejects").collect()
+    assert sorted((r.feed, r.reason) for r in logged) == [
+        ("course_activity", "no key"), ("quiz_submissions", "no key"), ("submissions", "no key"), ("submissions", "no key"), ("submissions", "unreadable page")]
+    assert not (tmp_path / "store" / "landed").exists() or not list((tmp_path / "store" / "landed").iterdir())

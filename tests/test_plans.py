@@ -196,3 +196,27 @@ def test_skewed_open_flags_are_split(spark, table, skewed, tiny_skew_limits):
     nudges = tables.conform(spark.range(1000, 3000).selectExpr("id as nudge_id", "id as user_id", "'R1' as flag_code"), "nudge_events")
     frame = drafts.flags_without_drafts(events, nudges)
     assert split_by_spark(frame) == events.filter("user_id < 1000").count()
+
+
+def test_latest_state_aggregates_keys_only(spark):
+    """The winners come from fixed-width buffers; message columns meet them in one semi-join."""
+    from studylantern.operators import lifecycle
+
+    log = tables.conform(spark.range(100).selectExpr("id as nudge_id", "cast(id % 9 as string) as draft_id"), "nudge_events")
+    for frame in (lifecycle.latest_state(log), lifecycle.latest_by_id(log)):
+        text = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in text and "LeftSemi" in text
+        assert all("html_body" not in line for line in text.splitlines() if "Aggregate" in line)
+
+
+def test_numbered_batches_settle_in_hash_aggregates(spark):
+    from studylantern.operators import merge
+
+    rule = merge.rule_for("submissions")
+    batch = tables.conform(spark.range(100).selectExpr("id as submission_id", "id % 7 as assignment_id", "id % 3 as user_id"), "submissions")
+    for kind in ("long", "decimal(38,0)"):
+        settled = merge.settle_batch(batch.withColumn("ordinal", F.col("submission_id").cast(kind)), rule, "ordinal")
+        text = settled._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in text and text.count("LeftSemi") == 2
+        assert all("workflow_state" not in line for line in text.splitlines() if "Aggregate" in line)
+    assert settled.count() == 21
