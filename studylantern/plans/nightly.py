@@ -94,7 +94,7 @@ def ingest_feed(
     if batch is None:
         batch = _attempt(spark, base, "manual")
     aside = f"landed/{name}-{uuid.uuid4().hex}"
-    parsed = _stored(feeds.parse_pages(spark, f"{landing}/{name}", FEEDS[name]), f"{base}/{aside}")
+    parsed = _stored(feeds.parse_pages(spark, f"{landing}/{name}", FEEDS[name], wrapper=feeds.WRAPPERS.get(name)), f"{base}/{aside}")
     feed, broken = feeds.records_of(parsed), feeds.rejects_of(parsed)
     incoming, keyless = merge.split_keyless(_rows(spark, feed, name, base, as_of, cfg), merge.rule_for(name))
 

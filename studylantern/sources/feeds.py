@@ -51,13 +51,18 @@ def numbered_files(lines: DataFrame) -> DataFrame:
     return lines.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _number long")
 
 
-def parse_pages(spark: SparkSession, path: str, schema: str, page_per_line: bool = False) -> DataFrame:
+# --- fixed values: feeds whose pages may wrap their records in an object, and its field --
+WRAPPERS = {"quiz_submissions": "quiz_submissions"}
+
+
+def parse_pages(spark: SparkSession, path: str, schema: str, page_per_line: bool = False, wrapper: str | None = None) -> DataFrame:
     """One row for each record of the JSON pages under ``path``: a page is a list of records or one record.
 
     A page is first cut into the texts of its records, without a schema, and each text is parsed on its own: a malformed
     field costs its record, not the page. Columns: the schema's, null where the record cannot be read; ``page`` (file);
     ``ordinal``; and ``unreadable``, the text of a record that does not fit the schema, or of a page that
-    cannot be cut, such as a truncated one. A folder's partition values fill the columns of their name.
+    cannot be cut, such as a truncated one. A folder's partition values fill the columns of their name. With ``wrapper`` a page
+    may also be an object that holds its records in the list of that name.
 
     By default one file is one page; such files are small by nature and Spark packs many into a task. Bulk history is
     better landed with one page per line, which lets Spark split files of any size. The ordinal ranks pages by file name,
@@ -74,7 +79,10 @@ def parse_pages(spark: SparkSession, path: str, schema: str, page_per_line: bool
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("_line"),
     ).filter(F.col("_page_text") != "")
     first = F.substring("_page_text", 1, 1)
-    cut = F.when(first == "[", F.from_json("_page_text", "array<string>")).when(first == "{", F.array("_page_text"))
+    single = F.array("_page_text")
+    if wrapper is not None:
+        single = F.coalesce(F.from_json(F.get_json_object("_page_text", f"$.{wrapper}"), "array<string>"), single)
+    cut = F.when(first == "[", F.from_json("_page_text", "array<string>")).when(first == "{", single)
     fields = StructType.fromDDL(schema)
     # a page that cannot be cut goes on as one text, marked by its missing slot
     slots = F.posexplode_outer("_cut").alias("_slot", "_text")

@@ -108,6 +108,18 @@ def test_a_malformed_field_costs_its_record_only(spark, tmp_path):
     assert all("page" in r.page for r in rejects.collect())
 
 
+def test_a_wrapped_page_is_cut_into_its_records(spark, tmp_path):
+    record = {"user_id": 5, "attempt": 1}
+    pages = [{"quiz_submissions": [{**record, "id": 1}, {**record, "id": 2, "attempt": "first"}, {**record, "id": 3}]}, {"quiz_submissions": []}, {**record, "id": 4}]
+    (tmp_path / "quiz_id=4").mkdir()
+    for n, page in enumerate(pages):
+        (tmp_path / "quiz_id=4" / f"page-{n}.json").write_text(json.dumps(page), encoding="utf-8")
+    parsed = feeds.parse_pages(spark, str(tmp_path), FEEDS["quiz_submissions"], wrapper=feeds.WRAPPERS["quiz_submissions"])
+    rows = feeds.quiz_submissions_from_feed(feeds.records_of(parsed)).orderBy(feeds.ORDINAL).collect()
+    assert [(r.quiz_submission_id, r.quiz_id) for r in rows] == [(1, 4), (3, 4), (4, 4)]
+    assert [json.loads(r.record)["id"] for r in feeds.rejects_of(parsed).collect()] == [2]
+
+
 def test_flags_may_be_numbers(landed, table):
     record = {"assignment_id": 7, "user_id": 1}
     feed = landed("submissions", [{**record, "id": i, "late": v} for i, v in enumerate((1, 0, True, False, None))])
