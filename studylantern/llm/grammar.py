@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylantern.llm.bpe import WordEncoder, worker_encoder
-from studylantern.llm.common import parts, shared_folder
+from studylantern.llm.bpe import ENCODE_BYTES, WordEncoder, worker_encoder
+from studylantern.llm.common import in_slices, parts, shared_folder, utf8
 
 #: Ids gathered in a block; a longer document has a block of its own.
 BLOCK_IDS = 500_000
@@ -39,43 +39,65 @@ def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST) -> tuple[np.
     In a round, all pairs that occur `least` times without overlapping themselves compete by count, and of overlapping
     occurrences the more frequent pair is replaced. The most frequent pair is replaced wherever it occurs, so the rounds
     end when no pair occurs `least` times. Pairs are counted exactly; a table of hash slots, whose counts are at least
-    those of their pairs, only keeps rare pairs out of the sort.
+    those of their pairs, only keeps rare pairs out of the count. Replacing never makes a pair of older symbols more
+    frequent, so after the first round only those places are counted where the pair was frequent or has a new symbol;
+    symbols keep their places and are linked to their neighbours.
     """
-    symbols, last, rules, made = ids.astype(np.int64), last.copy(), [np.zeros((0, 2), np.int64)], 0
-    while True:
-        at = np.flatnonzero(~last[:-1])
-        if len(at) < least:
-            break
-        pair = (symbols[at] << 32) | symbols[at + 1]
-        follows = np.flatnonzero((pair[1:] == pair[:-1]) & (at[1:] == at[:-1] + 1)) + 1
+    n, rules, made = len(ids), [np.zeros((0, 2), np.int64)], 0
+    symbols, after, before = ids.astype(np.int64), np.arange(1, n + 2), np.arange(-1, n)  # a second symbol of a rule becomes -1; place n is none
+    after[:-1][last] = n
+    before[np.flatnonzero(last) + 1] = n
+    before[0] = after[n] = n
+    counted = np.zeros(n, bool)
+    at = np.flatnonzero(~last)
+    while len(at) >= least:
+        then = after.take(at)
+        pair = symbols.take(at)
+        pair <<= 32
+        pair |= symbols.take(then)
+        passed = at[:0]
+        follows = np.flatnonzero((pair[1:] == pair[:-1]) & (at[1:] == then[:-1])) + 1
         if len(follows):  # in a run of one symbol every other occurrence counts
             run = np.cumsum(np.concatenate(([0], np.diff(follows) != 1)))
             head = follows[np.concatenate(([True], run[1:] != run[:-1]))]
             odd = follows[(follows - head[run]) % 2 == 0]
-            at, pair = np.delete(at, odd), np.delete(pair, odd)
-        slot = ((pair * np.int64(0x2545F4914F6CDD1D)) >> np.int64(63 - SLOT_BITS)) & np.int64((1 << SLOT_BITS) - 1)
-        maybe = np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= least
-        at = at[maybe]
-        distinct, which, count = np.unique(pair[maybe], return_inverse=True, return_counts=True)
-        frequent = count[which] >= least
-        at, which = at[frequent], which[frequent]
-        weight = np.zeros(len(symbols) + 2, np.int64)
-        weight[at + 1] = (count[which] << 32) | which
-        won = (weight[at + 1] > weight[at]) & (weight[at + 1] > weight[at + 2])
+            passed = at[odd]
+            at, then, pair = (np.delete(x, odd) for x in (at, then, pair))
+        if len(at) > 1 << SLOT_BITS - 2:
+            slot = ((pair * np.int64(0x2545F4914F6CDD1D)) >> np.int64(63 - SLOT_BITS)) & np.int64((1 << SLOT_BITS) - 1)
+            maybe = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least).take(slot))
+            at, then, pair = (x.take(maybe) for x in (at, then, pair))
+        coded = pa.array(pair).dictionary_encode()
+        distinct, which = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+        count = np.bincount(which, minlength=len(distinct))
+        frequent = np.flatnonzero((count >= least).take(which))
+        at, then, which = (x.take(frequent) for x in (at, then, which))
+        rated = ((count << 32) | np.arange(len(distinct))).take(which)
+        won, apart = np.ones(len(at), bool), at[1:] != then[:-1]
+        won[1:] &= apart | (rated[1:] > rated[:-1])
+        won[:-1] &= apart | (rated[1:] < rated[:-1])
         keep = np.bincount(which[won], minlength=len(distinct)) >= least
         if not keep.any():
             break
         number = np.cumsum(keep) - 1 + TERMINALS + made
-        won &= keep[which]
-        here = at[won]
-        symbols[here] = number[which[won]]
-        last[here] = last[here + 1]
-        stay = np.ones(len(symbols), bool)
-        stay[here + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        won = np.flatnonzero(won & keep.take(which))
+        here, second = at.take(won), then.take(won)
+        third = after.take(second)
+        symbols[here], symbols[second] = number.take(which.take(won)), -1
+        after[here], before[third] = third, here
         rules.append(np.column_stack([distinct[keep] >> 32, distinct[keep] & 0xFFFFFFFF]))
         made += len(rules[-1])
-    return np.concatenate(rules), symbols, last
+        ahead = before.take(here)
+        if len(at) < n >> 4:
+            at = np.sort(np.concatenate((at, ahead, passed)))
+            at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+        else:
+            counted[at] = counted[passed] = counted[ahead[ahead < n]] = True
+            at = np.flatnonzero(counted)
+            counted[at] = False
+        at = at.take(np.flatnonzero((symbols.take(at, mode="clip") >= 0) & (after.take(at) < n)))
+    left = symbols >= 0
+    return np.concatenate(rules), symbols[left], after[:-1][left] == n
 
 
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:
@@ -86,16 +108,25 @@ def expansion_lengths(rules: np.ndarray) -> np.ndarray:
     return np.array(sizes, np.int64)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
-    while len(symbols) and (inner := symbols >= TERMINALS).any():
-        size = 1 + inner
-        first = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[first] = symbols
-        out[first[inner]], out[first[inner] + 1] = rules[symbols[inner] - TERMINALS].T
-        symbols = out
-    return symbols
+def expand(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for; sizes: the rules' expansion_lengths, where known. Each distinct symbol is expanded once."""
+    length = np.concatenate((np.ones(TERMINALS, np.int64), expansion_lengths(rules) if sizes is None else sizes))
+    used = np.zeros(len(length), bool)
+    used[symbols] = True
+    open_ = np.flatnonzero(used)
+    place = np.cumsum(length[open_]) - length[open_]
+    first = np.zeros(len(length), np.int64)
+    first[open_] = place
+    flat = np.empty(int(length[open_].sum()), np.int64)
+    while len(open_):
+        inner = open_ >= TERMINALS
+        flat[place[~inner]] = open_[~inner]
+        left, right = rules[open_[inner] - TERMINALS].T
+        place = place[inner]
+        open_, place = np.concatenate((left, right)), np.concatenate((place, place + length[left]))
+    size = length[symbols]
+    ends = np.cumsum(size)
+    return flat[np.repeat(first[symbols] - ends + size, size) + np.arange(int(size.sum()))]
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -107,12 +138,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(WordEncoder, tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         shard, block, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def row() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            ends = np.cumsum([len(x) // 4 for _, x in held])
+            ids = np.concatenate([x for _, x in held])
+            ends = np.cumsum([len(x) for _, x in held])
             last = np.zeros(len(ids), bool)
             last[ends - 1] = True
             rules, symbols, last = compress(ids, last)
@@ -128,14 +158,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                if held and size + len(ids) // 4 > block_ids:
+        for batch in in_slices(batches, "text", ENCODE_BYTES):
+            every, bounds = encoder.encode_texts(*utf8(batch, "text"), end_id)
+            cuts = bounds.tolist()
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), cuts, cuts[1:], strict=False):
+                if held and size + b - a > block_ids:
                     yield row()
                     block, before, held, size = block + 1, before + size, [], 0
-                held.append((doc_id, ids))
-                size += len(ids) // 4
+                held.append((doc_id, every[a:b]))
+                size += b - a
         if held:
             yield row()
 
@@ -167,16 +198,17 @@ def read_ids(spark: SparkSession, path: str, first_doc: int | None = None, last_
                 with pa.ipc.open_stream(value["doc_ids"].as_buffer()) as stream:
                     docs = stream.read_all().column(0).to_pylist()
                 rules, symbols, first = _u4(value["rules"]).reshape(-1, 2), _u4(value["symbols"]), _u4(value["first_symbol"])
+                expansion = _u4(value["expansion"])
                 sizes = np.ones(len(symbols), np.int64)
                 inner = symbols >= TERMINALS
-                sizes[inner] = _u4(value["expansion"])[symbols[inner] - TERMINALS]
+                sizes[inner] = expansion[symbols[inner] - TERMINALS]
                 at = np.concatenate(([0], np.cumsum(sizes)))[first]
                 low, high = 0, len(docs)
                 if first_doc is not None:
                     low = sum(d is None or d < first_doc for d in docs)
                 if last_doc is not None:
                     high = sum(d is None or d <= last_doc for d in docs)
-                ids = expand(symbols[first[low] : first[high]], rules).astype("<u4")
+                ids = expand(symbols[first[low] : first[high]], rules, expansion).astype("<u4")
                 base = start_of[value["shard"].as_py()] + value["before"].as_py()
                 cuts = (at[low : high + 1] - at[low]).tolist()
                 yield pa.RecordBatch.from_arrays(

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from studylantern.llm.bpe import WordEncoder, worker_encoder
-from studylantern.llm.common import settle
+from studylantern.llm.bpe import ENCODE_BYTES, WordEncoder, worker_encoder
+from studylantern.llm.common import in_slices, settle, utf8
 
 WINDOW, UNIT, END_ID = 2048, 8, 1
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -33,16 +33,17 @@ def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(WordEncoder, path)
-        end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                for at in range(0, len(ids), 4 * window):
-                    piece = ids[at : at + 4 * window]
-                    rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 5, names)
+        for batch in in_slices(batches, "text", ENCODE_BYTES):
+            ids, bounds = encoder.encode_texts(*utf8(batch, "text"), END_ID)
+            sizes = np.diff(bounds)
+            pieces = -(-sizes // window)
+            row = np.repeat(np.arange(len(sizes)), pieces)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            length = np.minimum(sizes[row] - start, window)
+            first = bounds[row] + start
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+            columns = [batch.column("doc_id").take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, sizes[row]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, PIECES_SCHEMA)
 

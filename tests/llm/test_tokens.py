@@ -171,3 +171,47 @@ def test_op6_random_access(spark, sf, odd_docs):
 
 def test_settled_tables_keep_rows(spark):
     assert settle(spark.range(5).withColumn("x", F.lit(None).cast("string")), "t").count() == 5
+
+
+@pytest.mark.parametrize("entries", [3, 100_000])
+def test_word_encoder_takes_texts_together(entries):
+    library, own = Tokenizer.from_file(WORD), bpe.WordEncoder(WORD, entries)
+    texts = [*ODD, "ÉCOLE École, straße STRASSE ÿŸ ×÷ª", "x" * 31 + "é" * 9 + " " + "=" * 70, "İé É́ H̱ <|ENDOFTEXT|>", "a b c　d\x85", ""]
+    for repeat in range(2):
+        raw = [t.encode() for t in texts]
+        ids, bounds = own.encode_texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 1)
+        for text, a, b in zip(texts, bounds.tolist(), bounds[1:].tolist(), strict=False):
+            assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], (repeat, text)
+
+
+def test_grammar_recounts_only_places_that_changed(monkeypatch):
+    """A long passage that recurs needs many rounds; they read its places, not the whole block."""
+    rng, read, plain = np.random.default_rng(8), [0], np.bincount
+    passage = rng.integers(0, 40_000, 400)
+    ids = np.concatenate([np.concatenate((passage, rng.integers(0, 40_000, 9_600))) for _ in range(10)])
+    last = np.zeros(len(ids), bool)
+    last[9_999::10_000] = True
+
+    def counting(x, *args, **named):
+        read[0] += len(x)
+        return plain(x, *args, **named)
+
+    monkeypatch.setattr(np, "bincount", counting)
+    rules, symbols, _ = grammar.compress(ids, last)
+    assert len(rules) > 300 and (grammar.expand(symbols, rules) == ids).all()
+    assert read[0] < 12 * len(ids)
+
+
+def test_packing_reads_texts_together(monkeypatch, spark):
+    """Pieces come from the encoder of many texts: one text at a time is not asked for."""
+    batches = []
+    monkeypatch.setattr(packing, "worker_encoder", lambda kind, path: type("Seen", (), {"encode_texts": lambda self, data, at, end: batches.append(len(at) - 1) or bpe.WordEncoder(path).encode_texts(data, at, end)})())
+    taken = {}
+    docs = type("Docs", (), {"selectExpr": lambda self, *_: self, "mapInArrow": lambda self, run, schema: taken.update(run=run)})()
+    packing.cut_pieces(docs, WORD, window=4)
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([7, None, 8], pa.int64()), pa.array(["a b c d e f", None, "a b c"], pa.string())], ["doc_id", "text"])
+    (out,) = taken["run"](iter([batch]))
+    assert batches == [3]
+    assert [tuple(r.values())[:3] + (r["doc_tokens"],) for r in out.to_pylist()] == [(7, 0, 4, 7), (7, 4, 3, 7), (None, 0, 1, 1), (8, 0, 4, 4)]
