@@ -50,14 +50,13 @@ def byte_blocks(batch: pa.RecordBatch, width: int, gram: int) -> tuple[np.ndarra
     if n < width:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     windows = Windows(BYTE_HASH[data], WORD_BASE)
-    starts = np.arange(n - gram + 1)
-    grams = windows.of(starts, starts + gram)
+    grams = windows.runs(gram)
     place = np.uint64(max(1, int(n).bit_length()))
-    keys = ((grams >> place) << place) | starts.astype(np.uint64)
+    keys = ((grams >> place) << place) | np.arange(len(grams), dtype=np.uint64)
     anchor = (lowest(keys, width - gram + 1) & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
     begin = np.arange(n - width + 1)
-    text = np.searchsorted(at, begin, side="right") - 1
-    inside = begin + width <= at[text + 1]
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(begin)]
+    inside = begin + width <= at[1:].take(text)
     change = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(inside & np.concatenate(([True], change | ~inside[:-1])))
     stop = np.flatnonzero(inside & np.concatenate((change | ~inside[1:], [True]))) + 1
@@ -78,19 +77,32 @@ def block_rows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFra
     return docs.select("doc_id", "k", "text").mapInArrow(run, BLOCK_SCHEMA)
 
 
+def in_order(keys: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of keys from 0 to most."""
+    n = len(keys)
+    if (most + 1) * n < 2**63:  # keys made distinct sort faster
+        return np.argsort(keys * n + np.arange(n))
+    return np.argsort(keys, kind="stable")
+
+
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` symbols at least, by doubling; equal ones by place."""
-    rank, step = codes.astype(np.int64), 1
+    """Suffixes in order of their first `depth` symbols at least, by doubling; equal ones by place. Only suffixes that are still equal to another are sorted again."""
+    n, step = len(codes), 1
+    order = in_order(codes.astype(np.int64), int(codes.max(initial=0)))
+    slot, key, row, rank = np.arange(n), codes[order], order, np.empty(n, np.int64)
     while True:
-        order = np.argsort(rank, kind="stable")
-        sorted_rank = rank[order]
-        if step >= depth or (len(order) and (sorted_rank[1:] != sorted_rank[:-1]).all()):
+        starts = np.concatenate(([True], key[1:] != key[:-1]))[:n]
+        rank[row] = slot[np.flatnonzero(starts)][np.cumsum(starts) - 1]
+        slot = slot[~(starts & np.append(starts[1:], True))]
+        if step >= depth or not len(slot):
             return order
-        dense = np.empty(len(rank), np.int64)
-        dense[order] = np.cumsum(np.concatenate(([0], sorted_rank[1:] != sorted_rank[:-1])))
-        beyond = np.zeros(len(rank), np.int64)
-        beyond[:-step] = dense[step:] + 1
-        rank, step = dense * (len(rank) + 1) + beyond, 2 * step
+        row = order[slot]
+        beyond = row + step
+        key = rank[row] * (n + 1) + np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        by = in_order(key, n * (n + 1))
+        key, row = key[by], row[by]
+        order[slot] = row
+        step *= 2
 
 
 def transform(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -107,34 +119,48 @@ def transform(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, i
 
 
 def merge(parts_: list[tuple[np.ndarray, np.ndarray, int]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each suffix in merged order: its shard, its place there, and its common prefix with the one before, at most `depth`."""
+    """For each suffix in merged order: its shard, its place there, and its common prefix with the one before, at most `depth`.
+
+    A pass reads the symbols before the suffixes in interleave order and moves each suffix to the one that is longer by its symbol
+    (the LF step of its shard's transform), stably by symbol. Suffixes of an interval longer by one symbol come from
+    one interval, so a suffix that has parted from both neighbours is at its place, and those longer than it need no pass:
+    only intervals of several suffixes are read on.
+    """
     sizes, marks = [len(b) for b, _, _ in parts_], [m for _, _, m in parts_]
     symbols, places = (np.concatenate([p[i] for p in parts_]) for i in (0, 1))
     n, top = sum(sizes), sum(marks)
-    shard = np.repeat(np.arange(len(parts_), dtype=np.uint8), sizes)
-    ends = np.repeat(np.arange(len(parts_), dtype=np.uint8), marks)  # the suffixes that are only an end mark, in any pass
+    longer = np.empty(n, np.int32)  # the row of the suffix that is longer by the symbol before
+    base = np.cumsum([0, *sizes])
+    for (b, _, _), at in zip(parts_, base.tolist(), strict=False):
+        longer[at + np.argsort(b, kind="stable")] = np.arange(at, at + len(b), dtype=np.int32)
     prefix = np.full(n, depth, np.int32)
     prefix[:1] = 0
-    starts = np.zeros(n, bool)
-    starts[:1] = True
-    symbol = np.empty(n, np.uint8)
+    # slots in merged order that are open, the rows there, and where intervals of the pass before the last and of the last begin
+    slot, row, old, new = np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32), np.zeros(n, bool), np.zeros(n, bool)
+    old[:1] = new[:1] = True
+    merged = row.copy()
     for h in range(depth):
-        symbol[np.argsort(shard, kind="stable")] = symbols  # each shard's symbols in interleave order
+        symbol = symbols.take(row)
         order = np.argsort(symbol, kind="stable")
-        group = np.cumsum(starts, dtype=np.int32)[order]
-        symbol = symbol[order]
-        shard = shard[order]
-        shard[:top] = ends
-        parted = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1])))
-        parted[: top + 1] = True
-        fresh = parted & ~starts
-        prefix[fresh] = h
-        starts = parted
-        if starts.all():
+        symbol, row = symbol.take(order), longer.take(row.take(order))
+        several = ~(new & np.append(new[1:], True))  # slots of intervals that are still open
+        slot = slot[several]
+        coarse, fine = (np.cumsum(starts, dtype=np.int32).take(order) for starts in (old, new))
+        if h:
+            turn = symbol[1:] != symbol[:-1]
+            old, new = (np.concatenate(([True], turn | (g[1:] != g[:-1]))) for g in (coarse, fine))
+            stay = ~(old & np.append(old[1:], True)) & (symbol > 0)
+            row, old, new = row[stay], old[stay], new[stay]
+        else:  # the empty prefix: one interval, parted by its suffixes' first symbols; those that are only an end mark lead
+            row[:top] = np.concatenate([np.arange(at, at + m, dtype=np.int32) for at, m in zip(base.tolist(), marks, strict=False)])
+            new = np.concatenate(([True], symbol[1:] != symbol[:-1]))
+            new[: top + 1] = True
+        merged[slot] = row
+        prefix[slot[new & ~old]] = h
+        if not len(row) or new.all():
             break
-    place = np.empty(n, places.dtype)
-    place[np.argsort(shard, kind="stable")] = places
-    return shard, place, prefix
+    shard = np.repeat(np.arange(len(parts_), dtype=np.uint8), sizes)
+    return shard[merged], places[merged], prefix
 
 
 def repeated_starts(texts: list[bytes], rank: list[tuple], strings: list[int], width: int, leaf_bytes: int = LEAF_BYTES) -> list[np.ndarray]:
@@ -157,7 +183,10 @@ def repeated_starts(texts: list[bytes], rank: list[tuple], strings: list[int], w
     text = np.searchsorted(base, where, side="right") - 1
     offset = where - base[text]
     interval = np.cumsum(prefix < width)
-    chosen = offset < np.array(strings)[text]
+    shared = prefix >= width
+    chosen = (shared | np.append(shared[1:], False)) & (offset < np.array(strings)[text])
+    if not chosen.any():
+        return [np.zeros(n, bool) for n in strings]
     text, offset, interval = text[chosen], offset[chosen], interval[chosen]
     documents = sorted({r[:-1] for r in rank})
     number = {d: i for i, d in enumerate(documents)}

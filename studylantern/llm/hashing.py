@@ -37,6 +37,13 @@ class Windows:
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mix((self.sums[last] - self.sums[first]) * self.back[first] + (last - first).astype(np.uint64))
 
+    def runs(self, size: int) -> np.ndarray:
+        """Hashes of all stretches of `size` symbols, as `of` gives them."""
+        found = self.sums[size:] - self.sums[:-size]
+        found *= self.back[: len(found)]
+        found += np.uint64(size)
+        return mix(found)
+
 
 class Words:
     """The words of several texts: start and end byte of each word, its hash, and for each text its range of words."""

@@ -100,3 +100,25 @@ def test_a_passage_in_most_documents_fills_no_merge_group(spark, monkeypatch, le
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert got_bytes(frame, gram=16, many_kinds=20) == expected_bytes(docs, 100)
     assert 0 < max(sizes) < 12_000
+
+
+def test_merge_reads_only_open_intervals(monkeypatch):
+    """Suffixes that have parted from their neighbours are sorted no more: about as many symbols as common prefixes are long."""
+    rng, sorted_, plain = random.Random(6), [0], np.argsort
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(130)).encode() for _ in range(300)]
+    texts += [t[40:] + b"z" for t in texts[:10]]
+
+    def counting(x, *args, **named):
+        sorted_[0] += len(x)
+        return plain(x, *args, **named)
+
+    monkeypatch.setattr(np, "argsort", counting)
+    found = bwt.repeated_starts(texts, [(True, i, 0, 0) for i in range(len(texts))], [max(0, len(t) - 79) for t in texts], 80, 8_000)
+    assert [int(f.sum()) for f in found] == [0] * 300 + [11] * 10
+    assert sorted_[0] < 30 * sum(map(len, texts))
+
+
+def test_hashes_of_all_runs():
+    symbols = bwt.BYTE_HASH[np.frombuffer(b"some bytes, some more bytes", np.uint8)]
+    windows, starts = bwt.Windows(symbols, bwt.WORD_BASE), np.arange(len(symbols) - 4)
+    assert (windows.runs(5) == windows.of(starts, starts + 5)).all()
