@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studylantern.llm.common import discard, free_name, in_slices, settle, utf8
+from studylantern.llm.common import discard, files_for, free_name, in_slices, settle, total, utf8
 from studylantern.llm.components import components
 from studylantern.llm.hashing import Words, mix
 
@@ -205,23 +205,23 @@ def own_shingles(texts: DataFrame) -> DataFrame:
     return sums.select(F.unhex(F.concat(half("high"), half("low"))).alias("content"), "own")
 
 
-def open_pairs(labelled: DataFrame, texts: DataFrame, similarity: float, near) -> DataFrame:
+def open_pairs(labelled: DataFrame, texts: DataFrame, similarity: float, near, files: int | None = None) -> DataFrame:
     """a, b: pairs of one bucket in different components that may be similar. labelled: band, content, n, degree, component.
 
     Left out are only pairs that cannot reach the similarity: an overlap is at most the shingles that are not a node's own, and
     at most the leader's shingles that neither lacks and those common ones that the leader does not have.
     """
-    open_nodes = settle(labelled.select("content").distinct(), "open")
-    own = settle(own_shingles(texts.join(open_nodes.hint("merge"), "content", "left_semi")), "own")
+    open_nodes = settle(labelled.select("content").distinct(), "open", files)
+    own = settle(own_shingles(texts.join(open_nodes.hint("merge"), "content", "left_semi")), "own", files)
     shared = labelled.join(own.hint("merge"), "content", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
     # an overlap of that similarity with any text, the shortest allowed one included, takes so many shingles
-    able = settle(shared.filter(F.col("common") >= similarity * F.col("n") - 1e-6).drop("own"), "able")
+    able = settle(shared.filter(F.col("common") >= similarity * F.col("n") - 1e-6).drop("own"), "able", files)
     first = F.min(F.struct((-F.col("degree")).alias("h"), "content", "n")).alias("x")
-    leaders = settle(able.groupBy("band").agg(first).select("band", F.col("x.content").alias("leader"), F.col("x.n").alias("whole")), "leaders")
-    led = settle(able.join(leaders, "band"), "led")
-    asked = settle(led.filter("content <> leader").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct(), "asked")
-    found = settle(lacking(asked, texts).selectExpr("a AS leader", "b AS content", "met", "lacks"), "lacking")
-    rows = settle(led.join(found.hint("merge"), ["leader", "content"], "left").withColumn("extra", F.col("common") - F.coalesce("met", "common")), "bounded")
+    leaders = settle(able.groupBy("band").agg(first).select("band", F.col("x.content").alias("leader"), F.col("x.n").alias("whole")), "leaders", files)
+    led = settle(able.join(leaders, "band"), "led", files)
+    asked = settle(led.filter("content <> leader").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct(), "asked", files)
+    found = settle(lacking(asked, texts).selectExpr("a AS leader", "b AS content", "met", "lacks"), "lacking", files)
+    rows = settle(led.join(found.hint("merge"), ["leader", "content"], "left").withColumn("extra", F.col("common") - F.coalesce("met", "common")), "bounded", files)
     other = rows.selectExpr("band", "content AS a", "n AS n2", "component AS c2", "common AS common2", "lacks AS lacks2", "extra AS extra2")
     needed = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) - 1e-6
     gone = F.aggregate(F.zip_with("lacks", "lacks2", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda s, x: s + x)
@@ -240,45 +240,46 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     text of fewer words is one run. A null text counts as empty; empty texts equal each other and nothing else. Rows
     without an id are classed too. Repeated rows stay.
     """
-    rows = settle(sketches(docs, id_col, text_col), "sketches")
+    files = files_for(total(docs, F.octet_length(F.col(text_col).cast("string"))))
+    rows = settle(sketches(docs, id_col, text_col), "sketches", files)
     nodes = rows.filter("n > 0").groupBy("content").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    every = settle(nodes.select("content", "n", F.explode("bands").alias("band")), "bands")
-    buckets = settle(every.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1"), "buckets")
-    met = settle(every.join(buckets.hint("merge"), "band"), "met")
-    degrees = settle(met.groupBy("content").agg(F.sum("k").alias("degree")), "degrees")
-    members = settle(met.drop("k").join(degrees.hint("merge"), "content"), "members")
+    every = settle(nodes.select("content", "n", F.explode("bands").alias("band")), "bands", files)
+    buckets = settle(every.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1"), "buckets", files)
+    met = settle(every.join(buckets.hint("merge"), "band"), "met", files)
+    degrees = settle(met.groupBy("content").agg(F.sum("k").alias("degree")), "degrees", files)
+    members = settle(met.drop("k").join(degrees.hint("merge"), "content"), "members", files)
     discard(every, buckets, met)
     subjects = with_content(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))).join(degrees.select("content").hint("merge"), "content", "left_semi")
-    texts = settle(subjects.groupBy("content").agg(F.first("text").alias("text")), "texts")
+    texts = settle(subjects.groupBy("content").agg(F.first("text").alias("text")), "texts", files)
     near = (F.col("n") >= similarity * F.col("n2")) & (F.col("n2") >= similarity * F.col("n"))
     links, labels, labelled = None, None, members.withColumn("component", F.col("content"))
     for turn in range(LEADER_ROUNDS + 1):
         if turn < LEADER_ROUNDS:
             first = -F.col("degree") if turn == 0 else F.xxhash64("content", F.lit(turn))
             order = F.struct(first.alias("h"), "content", "n", "component")
-            leaders = settle(labelled.groupBy("band").agg(F.min(order).alias("x")).select("band", F.col("x.content").alias("a"), F.col("x.n").alias("n2"), F.col("x.component").alias("c2")), "leaders")
+            leaders = settle(labelled.groupBy("band").agg(F.min(order).alias("x")).select("band", F.col("x.content").alias("a"), F.col("x.n").alias("n2"), F.col("x.component").alias("c2")), "leaders", files)
             pairs = labelled.join(leaders, "band").filter((F.col("component") != F.col("c2")) & near).select("a", F.col("content").alias("b"))
         else:
-            pairs = open_pairs(labelled, texts, similarity, near)
-        pairs = settle(pairs.distinct(), "pairs")
+            pairs = open_pairs(labelled, texts, similarity, near, files)
+        pairs = settle(pairs.distinct(), "pairs", files)
         if pairs.isEmpty():
             break
-        found = settle(overlaps(pairs, texts, similarity), "links")
+        found = settle(overlaps(pairs, texts, similarity), "links", files)
         links = found if links is None else links.union(found)
-        labels = components(links).selectExpr("node AS content", "component AS c")
+        labels = components(links, files).selectExpr("node AS content", "component AS c")
         discard(pairs)
         if turn < LEADER_ROUNDS:  # buckets of one component are done
-            now = settle(members.join(labels, "content", "left").select("band", "content", "n", "degree", F.coalesce("c", "content").alias("component")), "labelled")
-            mixed = settle(now.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").drop("mixed"), "mixed")
-            labelled = settle(now.join(mixed, "band"), "labelled")
+            now = settle(members.join(labels, "content", "left").select("band", "content", "n", "degree", F.coalesce("c", "content").alias("component")), "labelled", files)
+            mixed = settle(now.groupBy("band").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").drop("mixed"), "mixed", files)
+            labelled = settle(now.join(mixed, "band"), "labelled", files)
             discard(now, mixed, leaders)
     classed = rows.select("doc_id", "content")
     if labels is not None:
         classed = classed.join(labels, "content", "left").select("doc_id", "content", F.coalesce("c", "content").alias("class_key"))
     else:
         classed = classed.withColumn("class_key", F.col("content"))
-    classed = settle(classed, "classed")
-    lowest = settle(classed.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "classes")
+    classed = settle(classed, "classed", files)
+    lowest = settle(classed.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "classes", files)
     discard(texts, members, degrees)
     return classed.join(lowest, "class_key").select("doc_id", "content", "class_id", "class_key")
 

@@ -23,11 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Text whose rows in a settled table are worth a file, and files that are always allowed.
+FILE_TEXT_BYTES, LEAST_FILES = 2_000_000, 32
+
+
+def files_for(text_bytes: int) -> int:
+    """Files enough for a table about so much text."""
+    return max(LEAST_FILES, text_bytes // FILE_TEXT_BYTES)
+
+
+def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    files: as many at most, where there are more partitions. Without Hadoop's native library an executor starts two processes
+    for each file it writes (chmod of the file and of its checksum), so a step of many small tables should not write one of each for every partition.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.settled_at = path
     return written

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studylantern.llm.common import in_slices, parts, settle, total, utf8
+from studylantern.llm.common import files_for, in_slices, parts, settle, total, utf8
 from studylantern.llm.hashing import Words
 
 WIDTH, GRAM = 35, 8
@@ -138,19 +138,19 @@ def window_rows(keyed: DataFrame, examples: DataFrame, shards: int, width: int =
     return by_shard(keyed, examples, shards).mapInArrow(run, "block long, at int, window long, count long")
 
 
-def confirmed(keyed: DataFrame, shards: int, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def confirmed(keyed: DataFrame, shards: int, width: int = WIDTH, gram: int = GRAM, files: int | None = None) -> DataFrame:
     """k, first and mask: for each shard one example of every block with repeated windows, and which of its windows are."""
-    every = settle(block_rows(keyed, width, gram), "blocks")
-    recurring = settle(every.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "anchors")
-    every = settle(every.join(recurring, "anchor"), "recurring")
-    kinds = settle(every.groupBy("anchor", "block").agg(F.count("*").alias("count"), F.min(F.struct("k", "first", "n")).alias("x")), "kinds")
-    mixed = settle(kinds.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "mixed")
+    every = settle(block_rows(keyed, width, gram), "blocks", files)
+    recurring = settle(every.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "anchors", files)
+    every = settle(every.join(recurring, "anchor"), "recurring", files)
+    kinds = settle(every.groupBy("anchor", "block").agg(F.count("*").alias("count"), F.min(F.struct("k", "first", "n")).alias("x")), "kinds", files)
+    mixed = settle(kinds.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "mixed", files)
     examples = kinds.join(mixed, "anchor").select("x.*", "block", "count")
-    windows = settle(window_rows(keyed, examples, shards, width), "windows")
-    again = settle(windows.groupBy("window").agg(F.sum("count").alias("c")).filter("c > 1").drop("c"), "again")
+    windows = settle(window_rows(keyed, examples, shards, width), "windows", files)
+    again = settle(windows.groupBy("window").agg(F.sum("count").alias("c")).filter("c > 1").drop("c"), "again", files)
     some = windows.join(again, "window").groupBy("block").agg(F.expr("bit_or(shiftleft(1L, at))").alias("some"))
     whole = kinds.filter("count > 1").select("block", F.lit(-1).cast("long").alias("some"))
-    masks = settle(some.union(whole).groupBy("block").agg(F.bit_or("some").alias("mask")), "masks")
+    masks = settle(some.union(whole).groupBy("block").agg(F.bit_or("some").alias("mask")), "masks", files)
     # a block has one row a shard before it meets its mask, however many documents hold it
     found = every.groupBy(F.pmod("k", F.lit(shards)).alias("shard"), "block").agg(F.min(F.struct("k", "first", "n")).alias("x"))
     return found.join(masks, "block").select("x.*", "mask")
@@ -199,8 +199,9 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard
     if not 0 < gram <= width <= 63:
         raise ValueError("0 < gram <= width <= 63 is required")
     keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
-    shards = max(parts(docs), total(docs, F.octet_length(text_col)) // shard_bytes)
-    wanted = settle(confirmed(keyed, shards, width, gram), "wanted")
+    size = total(docs, F.octet_length(text_col))
+    shards, files = max(parts(docs), size // shard_bytes), files_for(size)
+    wanted = settle(confirmed(keyed, shards, width, gram, files), "wanted", files)
     added = [T.StructField("p_words", T.LongType()), T.StructField("p_removed", T.LongType()), T.StructField("p_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("p_kept", T.StringType())]
     schema = T.StructType([T.StructField("row", docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType), *added])
 

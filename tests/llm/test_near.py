@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from studylantern.llm import bagminhash as near
-from studylantern.llm import queries
+from studylantern.llm import common, queries
+from studylantern.llm import components as contraction
 from studylantern.llm.components import components
 from studylantern.llm.hashing import Words
 
@@ -177,3 +178,17 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(21), 0), **dict.fromkeys(range(30, 51), 30), 61: 61, 62: 61, 63: 61}
     assert components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_settled_tables_have_few_files(spark, monkeypatch):
+    """A small table is not written as one file for every partition of the session, whatever adaptive execution coalesces."""
+    few = common.settle(spark.range(0, 1000, 1, 50), "few", 8)
+    assert few.count() == 1000 and len(few.inputFiles()) == 8
+    assert common.files_for(0) == common.LEAST_FILES and common.files_for(10**12) == 500_000
+    asked = []
+    settle = lambda df, name, files=None: asked.append(files) or common.settle(df, name, files)
+    for module in (near, contraction):
+        monkeypatch.setattr(module, "settle", settle)
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "a b c d e f g h i"), (4, "z")], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert asked and set(asked) == {common.LEAST_FILES}
