@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from studylantern.llm.common import in_slices, parts, settle, total, utf8
 from studylantern.llm.hashing import BYTE_HASH, WORD_BASE, Windows
-from studylantern.llm.phrases import SHARD_BYTES, by_shard, lowest, shards_of
+from studylantern.llm.phrases import SHARD_BYTES, bare, by_shard, lowest, shards_of
 
 WIDTH, GRAM = 100, 32
 SLICE_BYTES = 2_000_000
@@ -231,7 +231,7 @@ def pieces(keyed: DataFrame, examples: DataFrame, shards: int, width: int) -> Da
                 kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["core", "digest", "doc_id", "k", "first", "n", "bytes"])
 
-    return by_shard(keyed, examples, shards).mapInArrow(run, "core long, digest binary, doc_id long, k long, first int, n int, bytes binary")
+    return by_shard(bare(keyed), examples, shards).mapInArrow(run, "core long, digest binary, doc_id long, k long, first int, n int, bytes binary")
 
 
 def collapsed(made: DataFrame, width: int, many_kinds: int) -> tuple[DataFrame, int, DataFrame]:

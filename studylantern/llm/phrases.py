@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -78,6 +79,11 @@ def block_rows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFra
     return docs.select("k", "text").mapInArrow(run, BLOCK_SCHEMA)
 
 
+def bare(keyed: DataFrame) -> DataFrame:
+    """Documents (k, text, row) for steps that do not return their rows: these are neither shuffled nor sent to Python."""
+    return keyed.select("k", "text", F.lit(None).cast("int").alias("row"))
+
+
 def by_shard(keyed: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
     """Rows of wanted (k, first, and more) before the documents (k, text, row) of the same shard, shard by shard."""
     extra = [c for c in wanted.columns if c != "k"]
@@ -135,7 +141,7 @@ def window_rows(keyed: DataFrame, examples: DataFrame, shards: int, width: int =
                 arrays = [np.repeat(block, n), at.astype(np.int32), words.runs.of(start, start + width).view(np.int64), np.repeat(count, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["block", "at", "window", "count"])
 
-    return by_shard(keyed, examples, shards).mapInArrow(run, "block long, at int, window long, count long")
+    return by_shard(bare(keyed), examples, shards).mapInArrow(run, "block long, at int, window long, count long")
 
 
 def confirmed(keyed: DataFrame, shards: int, width: int = WIDTH, gram: int = GRAM, files: int | None = None) -> DataFrame:
@@ -182,7 +188,7 @@ def compile_automaton(phrases: Iterator[list[bytes]]) -> tuple[ahocorasick.Autom
 def covered(words: list[bytes], automaton: ahocorasick.Automaton, numbers: dict[bytes, int]) -> list[tuple[int, int]]:
     """Spans of words, merged, that lie within an occurrence of a phrase."""
     spans: list[tuple[int, int]] = []
-    for end, length in automaton.iter(tuple([numbers.get(w, 0) for w in words])):
+    for end, length in automaton.iter(tuple(map(numbers.get, words, repeat(0)))):
         first, last = end + 1 - length, end + 1
         while spans and spans[-1][1] >= first:
             first = min(first, spans.pop()[0])

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from studylantern.llm import phrases, queries
+from studylantern.llm import bwt, phrases, queries
 from studylantern.llm.hashing import Words
 
 
@@ -73,3 +73,14 @@ def test_equal_windows_have_equal_anchors():
             assert own.setdefault(int(words.runs.of(np.array([s]), np.array([s + 9]))[0]), a) == a
     counts = np.diff(words.bounds)
     assert n.sum() == np.maximum(counts - 8, 0).sum() and set(number) == {0, 2}
+
+
+def test_counting_steps_leave_rows_behind(spark):
+    """The steps that read texts for windows and pieces neither shuffle nor decode the whole rows."""
+    keyed = spark.range(4).selectExpr("id AS k", "repeat('a b ', 30) AS text", "named_struct('id', id, 'text', repeat('a b ', 30)) AS row")
+    ask = "id AS k, cast(0 AS int) AS first, cast(5 AS int) AS n"
+    windows = phrases.window_rows(keyed, spark.range(4).selectExpr(*ask.split(", "), "id AS block", "1L AS count"), 2)
+    cuts = bwt.pieces(keyed, spark.range(4).selectExpr(*ask.split(", "), "id AS doc_id", "id AS anchor", "cast(0 AS int) AS at", "false AS many"), 2, 100)
+    assert cuts.count() == 4
+    for frame in (windows, cuts):
+        assert "struct" not in frame._jdf.queryExecution().optimizedPlan().toString()
