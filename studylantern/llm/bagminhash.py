@@ -39,7 +39,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 26 bands of 5 registers: of pairs with similarity 0.8, all but 0.00003 share a bucket.
 BANDS, ROWS = 26, 5
 LEADER_ROUNDS = 2
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 #: Bits that tell which of a leader's shingles a text lacks, at most.
 LACK_CELLS = 1024
 

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from studylantern.llm.bpe import ENCODE_BYTES, WordEncoder, worker_encoder
+from studylantern.llm.bpe import WordEncoder, worker_encoder
 from studylantern.llm.common import in_slices, settle, utf8
 
 WINDOW, UNIT, END_ID = 2048, 8, 1
+SLICE_BYTES = 1_000_000
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Rows that one task ranks within a bin; more rows of a bin are dealt to more tasks.
 ROWS_PER_RANKING = 500_000
@@ -33,7 +34,7 @@ def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(WordEncoder, path)
-        for batch in in_slices(batches, "text", ENCODE_BYTES):
+        for batch in in_slices(batches, "text", SLICE_BYTES):
             ids, bounds = encoder.encode_texts(*utf8(batch, "text"), END_ID)
             sizes = np.diff(bounds)
             pieces = -(-sizes // window)

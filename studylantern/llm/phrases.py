@@ -32,7 +32,7 @@ from studylantern.llm.common import files_for, in_slices, parts, settle, total,
 from studylantern.llm.hashing import Words
 
 WIDTH, GRAM = 35, 8
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 #: Text of a shard, about: a task holds one shard's documents and their automaton.
 SHARD_BYTES = 6_000_000
 BLOCK_SCHEMA = "anchor long, block long, k long, first int, n int"
