@@ -122,3 +122,25 @@ def test_hashes_of_all_runs():
     symbols = bwt.BYTE_HASH[np.frombuffer(b"some bytes, some more bytes", np.uint8)]
     windows, starts = bwt.Windows(symbols, bwt.WORD_BASE), np.arange(len(symbols) - 4)
     assert (windows.runs(5) == windows.of(starts, starts + 5)).all()
+
+
+def test_merge_moves_by_four_symbols(monkeypatch):
+    """Strings that stay together for all of the width take a pass for every four symbols."""
+    rng, summed, plain = random.Random(9), [0], np.cumsum
+    passages = ["".join(rng.choice("abcdefgh") for _ in range(140)) for _ in range(40)]
+    texts = [(rng.choice("xyz") + rng.choice(passages) + rng.choice("xyz")).encode() for _ in range(400)]
+
+    def counting(x, *args, **named):
+        summed[0] += len(x)
+        return plain(x, *args, **named)
+
+    monkeypatch.setattr(np, "cumsum", counting)
+    for width in (97, 98, 99, 100):
+        summed[0] = 0
+        found = bwt.repeated_starts(texts, [(True, i, 0, 0) for i in range(len(texts))], [len(t) - width + 1 for t in texts], width, 8_000)
+        seen = set()
+        for text, again in zip(texts, found, strict=True):
+            strings = [text[i : i + width] for i in range(len(text) - width + 1)]
+            assert again.tolist() == [s in seen for s in strings]
+            seen.update(strings)
+        assert summed[0] < 60 * sum(map(len, texts))

@@ -6,7 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from studylantern.llm import bagminhash, packing, phrases
+from studylantern.llm import bagminhash, bwt, packing, phrases
 
 
 class Captured:
@@ -24,6 +24,7 @@ class Captured:
 STEPS = {
     "sketches": (lambda d: bagminhash.sketches(d), ["doc_id", "text"]),
     "phrases": (lambda d: phrases.block_rows(d), ["k", "text"]),
+    "bwt": (lambda d: bwt.block_rows(d), ["doc_id", "k", "text"]),
     "packing": (lambda d: packing.cut_pieces(d, public_tokenizers.path("word_bpe_49k.json")), ["doc_id", "text"]),
 }
 
