@@ -8,6 +8,10 @@ with the probability of their generalised Jaccard similarity, sum of minima over
 A bid and 29 bits that name (term, t) are packed into one long, so a sample is a minimum of longs: whole-stage code, pre-
 aggregated by hash. The samples come in chunks of 4, a row for each, which keeps the generated methods small enough to be
 compiled.
+
+With weight S a bid's a is exponentially distributed at rate S, so the lowest of a text of n words lies below MOST / n but for a
+chance of exp(-MOST), 4e-18. Two products of uniforms bound a from below without a logarithm; where the bound exceeds that limit
+the rest of the bid is not worked out. A lowest bid below its limit is the lowest of all; should one lie above, the job fails.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 from studylantern.llm.common import parts, settle, total
 
 SAMPLES, CHUNK = 64, 4
+#: Bids that are worked out: those that may lie below this over the words of the text.
+MOST = 40.0
 #: Documents of neighbouring ids in one group of the window that finds the next document.
 GROUP_BITS = 6
 #: Text that one task samples, about.
@@ -30,11 +36,21 @@ def uniforms(x: Column) -> tuple[Column, Column]:
     return (F.shiftrightunsigned(x, 32) + 0.5) * 2.0**-32, (x.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * 2.0**-32
 
 
-def draws(term: Column, number: Column) -> list[Column]:
-    """What a term draws for sample `number` whatever its weight: r, ln c, b and 29 bits that name the term."""
-    own = F.xxhash64(term, number, F.lit(3))
-    r, c = (-F.log(_product(F.xxhash64(term, number, F.lit(k)))) for k in (1, 2))
-    return [r, F.log(c), uniforms(own)[0], own.bitwiseAND(F.lit((1 << 29) - 1))]
+def draws(chunks: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns kept and what each term draws for the samples of its chunk whatever its weight: r, ln c, b and 29 bits that name the term (n).
+
+    They are null where a cannot be below `limit` (null: no limit), by a >= c exp(-r) / S and c = -ln(y) >= 2 (1 - y) / (1 + y).
+    """
+    number = lambda k: F.col("chunk") * CHUNK + k
+    product = lambda k, j: _product(F.xxhash64("term", number(k), F.lit(j)))
+    each = range(CHUNK)
+    tried = chunks.select("*", *(product(k, j).alias(f"{n}{k}") for k in each for n, j in (("x", 1), ("y", 2))))
+    low = lambda k: F.col(f"x{k}") * (1 - F.col(f"y{k}")) * 2.0
+    tried = tried.select("*", *(F.coalesce(low(k) <= F.col("limit") * (F.col(f"y{k}") + 1.0), F.lit(True)).alias(f"ok{k}") for k in each))
+    parts = lambda k: {"r": -F.log(f"x{k}"), "c": F.log(-F.log(f"y{k}")), "own": F.xxhash64("term", number(k), F.lit(3))}
+    drawn = tried.select(*kept, *(F.when(F.col(f"ok{k}"), x).alias(f"{n}{k}") for k in each for n, x in parts(k).items()))
+    name = lambda k: F.col(f"own{k}").bitwiseAND(F.lit((1 << 29) - 1))
+    return drawn.select(*kept, *(x.alias(f"{n}{k}") for k in each for n, x in (("r", F.col(f"r{k}")), ("c", F.col(f"c{k}")), ("b", uniforms(F.col(f"own{k}"))[0]), ("n", name(k)))))
 
 
 def bid(r: Column, c: Column, b: Column, name: Column, log_weight: Column) -> Column:
@@ -89,24 +105,30 @@ def with_next(docs: DataFrame, n: int) -> DataFrame:
 
 
 def term_weights(rows: DataFrame) -> DataFrame:
-    """group, place, term (hash) and its count in the text and in the edited text. The document after a group stands at one place more."""
+    """group, place, term (hash), its counts w in the text and v in the edited text, and where it occurs there the words of those texts, n_w and n_v.
+
+    The document after a group stands at one place more.
+    """
     texts = F.array(
         F.struct("place", F.lit(0).alias("edited"), F.col("text").alias("t")),
         F.struct("place", F.lit(1).alias("edited"), F.col("edited_text").alias("t")),
         F.when(F.col("ends"), F.struct((F.col("place") + 1).alias("place"), F.lit(0).alias("edited"), F.col("next_text").alias("t"))),
     )
     each = rows.select("group", F.explode(texts).alias("x")).filter("x IS NOT NULL").select("group", "x.place", "x.edited", F.col("x.t").alias("t"))
-    words = each.select("group", "place", "edited", F.explode(F.split(F.btrim("t", F.lit(" \t\n\r\f\x0b")), f"[{BLANK}]+")).alias("word"))
-    return words.groupBy("group", "place", F.xxhash64("word").alias("term")).agg(F.sum(1 - F.col("edited")).alias("w"), F.sum("edited").alias("v"))
+    split = each.select("group", "place", "edited", F.split(F.btrim("t", F.lit(" \t\n\r\f\x0b")), f"[{BLANK}]+").alias("words"))
+    words = split.select("group", "place", "edited", F.size("words").alias("size"), F.explode("words").alias("word"))
+    of = lambda edited: F.max(F.when(F.col("edited") == edited, F.col("size")))
+    sums = [F.sum(1 - F.col("edited")).alias("w"), F.sum("edited").alias("v"), of(0).alias("n_w"), of(1).alias("n_v")]
+    return words.groupBy("group", "place", F.xxhash64("word").alias("term")).agg(*sums)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float | None = MOST) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document.
 
     The edited text has its last third, n_chars / 3 code points rounded down, replaced by as many from the start of the
     next document. A fingerprint has four hexadecimal digits for each of 64 samples; the likeness of two is the share of
     equal samples. A null text counts as empty; a text without words has the empty word as its only term, so such
-    texts are alike. Repeated rows stay.
+    texts are alike. Repeated rows stay. most: as described above; without it every bid is worked out, with the same results.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = max(parts(docs), total(plain, F.octet_length("text")) // TASK_BYTES)
@@ -114,12 +136,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - cut as int))"), F.expr("substring(next_text, 1, cast(cut as int))"))
     rows = rows.withColumn("edited_text", edited)
     facts = rows.select("group", "place", "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"))
-    weights = term_weights(rows).withColumn("w", F.log(F.nullif("w", F.lit(0)))).withColumn("v", F.log(F.nullif("v", F.lit(0))))
+    limit = F.lit(most).cast("double") * F.greatest(F.col("w") / F.col("n_w"), F.col("v") / F.col("n_v")) * (1 + 1e-9)
+    log = lambda c: F.log(F.nullif(c, F.lit(0))).alias(c)
+    weights = term_weights(rows).select("group", "place", "term", log("w"), log("v"), "n_w", "n_v", limit.alias("limit"))
     chunks = weights.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // CHUNK - 1))))
-    drawn = chunks.select("group", "place", "chunk", "w", "v", *(x.alias(f"{n}{k}") for k in range(CHUNK) for n, x in zip("rcbn", draws(F.col("term"), F.col("chunk") * CHUNK + k), strict=True)))
+    drawn = draws(chunks, ["group", "place", "chunk", "w", "v", "n_w", "n_v"])
     lows = [F.min(bid(*(F.col(f"{n}{k}") for n in "rcbn"), F.col(x))).alias(f"{x}{k}") for k in range(CHUNK) for x in "wv"]
-    samples = drawn.groupBy("group", "place", "chunk").agg(*lows)
+    samples = drawn.groupBy("group", "place", "chunk").agg(*lows, F.max("n_w").alias("n_w"), F.max("n_v").alias("n_v"))
     digits = lambda c: F.array(*(F.xxhash64(f"{c}{k}").bitwiseAND(F.lit(0xFFFF)).cast("int") for k in range(CHUNK)))
+    above = lambda c, k: (F.shiftright(f"{c}{k}", 29) + 1) * 2.0**-26 - 128.0 > F.log(F.lit(most) / F.col(f"n_{c}"))
+    over = lambda c: F.col(f"n_{c}").isNotNull() & F.array_contains(F.array(*(F.coalesce(above(c, k), F.lit(True)) for k in range(CHUNK))), True)
+    if most is not None:
+        told = F.raise_error(F.lit(f"a lowest bid lies above {most} / words, where others were passed over: call fingerprints with a larger `most`"))
+        samples = samples.withColumn("chunk", F.when(over("w") | over("v"), told.cast("int")).otherwise(F.col("chunk")))
     signed = samples.select("group", "place", "chunk", digits("w").alias("w"), digits("v").alias("v"))
     signed = signed.withColumn("after", F.lead("w").over(Window.partitionBy("group", "chunk").orderBy("place")))
     same = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))

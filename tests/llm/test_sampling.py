@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from studylantern.llm import queries, sampling
@@ -84,3 +85,16 @@ def test_op3_plan_has_no_python_and_one_exchange_of_texts(spark, sf):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "Python" not in plan and "Arrow" not in plan and "ReusedExchange" in plan
+
+
+def test_bids_above_the_limit_are_not_worked_out_and_change_no_sample(spark):
+    texts = [" ".join(f"w{(i * 31 + j * j) % 4001}" for j in range(300)) for i in range(150)] + ["", "one", "a b c d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    numbers = spark.createDataFrame([(t, c, bound) for t in range(2000) for c in range(2) for bound in (sampling.MOST / 300, None)], "term long, chunk int, limit double")
+    r0 = sampling.draws(numbers, ["limit"]).groupBy("limit").agg(F.count("r0").alias("r"), F.count("n3").alias("n"), F.count("*").alias("all")).collect()
+    worked = {r["limit"]: (r["r"] / r["all"], r["n"] / r["all"]) for r in r0}
+    assert worked[None] == (1, 1) and max(worked[sampling.MOST / 300]) < 0.5
+    want = sorted(map(tuple, sampling.fingerprints(docs).collect()))
+    assert sorted(map(tuple, sampling.fingerprints(docs, most=None).collect())) == want
+    with pytest.raises(Exception, match="a lowest bid lies above"):  # told, not passed over
+        sampling.fingerprints(docs, most=0.5).collect()
