@@ -188,16 +188,17 @@ class WordEncoder:
         coded = units.dictionary_encode()
         which = coded.indices.to_numpy()
         ids = self.lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), odd)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        size = sizes[which]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        out = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - ends + size, size) + np.arange(total)]
-        bounds = np.concatenate(([0], ends))[bounds]
+        _, offsets, data = pa.array(ids, pa.large_binary()).take(coded.indices).buffers()
+        out = np.frombuffer(data, "<u4") if data is not None else np.zeros(0, "<u4")
+        bounds = (np.frombuffer(offsets, np.int64)[: len(which) + 1] >> 2).take(bounds) if len(which) else np.zeros(len(bounds), np.int64)
         if end_id is None:
             return out, bounds
-        return np.insert(out, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
+        ended = np.empty(len(out) + len(bounds) - 1, "<u4")
+        at = bounds[1:] + np.arange(len(bounds) - 1)
+        inside = np.ones(len(ended), bool)
+        inside[at] = False
+        ended[inside], ended[at] = out, end_id
+        return ended, bounds + np.arange(len(bounds))
 
     def units(self, data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, bool]:
         """The units of texts, for each text its range of them, and whether any is a whole text.

@@ -44,7 +44,7 @@ def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST) -> tuple[np.
     symbols keep their places and are linked to their neighbours.
     """
     n, rules, made = len(ids), [np.zeros((0, 2), np.int64)], 0
-    symbols, after, before = ids.astype(np.int64), np.arange(1, n + 2), np.arange(-1, n)  # a second symbol of a rule becomes -1; place n is none
+    symbols, after, before = ids.astype(np.int32), np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # a second symbol of a rule becomes -1; place n is none
     after[:-1][last] = n
     before[np.flatnonzero(last) + 1] = n
     before[0] = after[n] = n
@@ -52,7 +52,7 @@ def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST) -> tuple[np.
     at = np.flatnonzero(~last)
     while len(at) >= least:
         then = after.take(at)
-        pair = symbols.take(at)
+        pair = symbols.take(at).astype(np.int64)
         pair <<= 32
         pair |= symbols.take(then)
         passed = at[:0]
@@ -63,8 +63,10 @@ def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST) -> tuple[np.
             odd = follows[(follows - head[run]) % 2 == 0]
             passed = at[odd]
             at, then, pair = (np.delete(x, odd) for x in (at, then, pair))
-        if len(at) > 1 << SLOT_BITS - 2:
-            slot = ((pair * np.int64(0x2545F4914F6CDD1D)) >> np.int64(63 - SLOT_BITS)) & np.int64((1 << SLOT_BITS) - 1)
+        if made and len(at) > 1 << SLOT_BITS - 2:  # most pairs of the first round pass
+            slot = pair.view(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+            slot >>= np.uint64(64 - SLOT_BITS)
+            slot = slot.view(np.int64)
             maybe = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least).take(slot))
             at, then, pair = (x.take(maybe) for x in (at, then, pair))
         coded = pa.array(pair).dictionary_encode()
@@ -97,15 +99,18 @@ def compress(ids: np.ndarray, last: np.ndarray, least: int = LEAST) -> tuple[np.
             counted[at] = False
         at = at.take(np.flatnonzero((symbols.take(at, mode="clip") >= 0) & (after.take(at) < n)))
     left = symbols >= 0
-    return np.concatenate(rules), symbols[left], after[:-1][left] == n
+    return np.concatenate(rules), symbols[left].astype(np.int64), after[:-1][left] == n
 
 
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:
     """Ids below each nonterminal. A rule only names earlier symbols."""
-    sizes = [0] * len(rules)
-    for k, (a, b) in enumerate(rules.tolist()):
-        sizes[k] = (1 if a < TERMINALS else sizes[a - TERMINALS]) + (1 if b < TERMINALS else sizes[b - TERMINALS])
-    return np.array(sizes, np.int64)
+    sizes = np.ones(TERMINALS + len(rules), np.int64)
+    highest, first = np.maximum.accumulate(rules.max(axis=1, initial=0)), 0
+    while first < len(rules):  # as many rules at once as name none of each other
+        last = int(np.searchsorted(highest, TERMINALS + first))
+        sizes[TERMINALS + first : TERMINALS + last] = sizes[rules[first:last]].sum(axis=1)
+        first = last
+    return sizes[TERMINALS:]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:

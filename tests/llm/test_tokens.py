@@ -1,6 +1,7 @@
 """Operators 2, 4 and 6 against the tokenizers library and exact round trips."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -215,3 +216,20 @@ def test_packing_reads_texts_together(monkeypatch, spark):
     (out,) = taken["run"](iter([batch]))
     assert batches == [3]
     assert [tuple(r.values())[:3] + (r["doc_tokens"],) for r in out.to_pylist()] == [(7, 0, 4, 7), (7, 4, 3, 7), (None, 0, 1, 1), (8, 0, 4, 4)]
+
+
+def test_compressing_a_block_takes_little_memory_and_lengths_are_those_of_the_rules():
+    ids = np.array([(i * 31 + i * i) % 9973 for i in range(300_000)], np.uint32)
+    last = np.arange(1, len(ids) + 1) % 100 == 0
+    tracemalloc.start()
+    try:
+        rules, symbols, ends = grammar.compress(ids, last)
+        assert tracemalloc.get_traced_memory()[1] < 100 * len(ids)
+    finally:
+        tracemalloc.stop()
+    sizes = []
+    for pair in rules.tolist():
+        sizes.append(sum(1 if x < grammar.TERMINALS else sizes[x - grammar.TERMINALS] for x in pair))
+    assert len(rules) and grammar.expansion_lengths(rules).tolist() == sizes
+    assert grammar.expansion_lengths(rules[:0]).tolist() == []
+    assert (grammar.expand(symbols, rules) == ids).all() and ends.sum() == last.sum()
